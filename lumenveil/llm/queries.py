@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, quality, substring, tokencount
+from . import chat, langid, neardup, packing, quality, substring, tokencount, warc
 from .common import read_table
 
 
@@ -24,6 +25,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replica is a copy of pages in which ids that leave 7 by 89 are cut by a character and ids that leave 5 by 97 are lost."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cut = F.when(F.col("page_id") % 89 == 7, F.expr("substring(html, 2)")).otherwise(F.col("html"))
+    return warc.audit(pages, pages.where("coalesce(page_id % 97 <> 5, true)").withColumn("html", cut))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()), public_tokenizers.path("piece_bpe_32k.model"))
@@ -31,6 +39,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -43,8 +55,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
+    "op3_warc_fixity": op3_warc_fixity,
+    "op6_chat_formatting": op6_chat_formatting,
     "op4_language_id": op4_language_id,
     "op7_token_counts": op7_token_counts,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+_RECORD = """'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+    || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc_fixity": f"""
+        WITH a AS (SELECT page_id, {_RECORD} AS r FROM pages),
+        placed AS (SELECT page_id, page_id >> 12 AS file_no, sha256(r) AS expected, strlen(r) AS length,
+            CAST(coalesce(sum(strlen(r)) OVER (PARTITION BY page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM a),
+        b AS (SELECT page_id, sha256({_RECORD}) AS found FROM (SELECT page_id, url, CASE WHEN page_id % 89 = 7 THEN substr(html, 2) ELSE html END AS html FROM pages WHERE page_id % 97 <> 5))
+        SELECT page_id, file_no, "offset", length, CASE WHEN found IS NULL THEN 'lost' ELSE 'damaged' END AS problem, expected, found
+        FROM placed LEFT JOIN b USING (page_id) WHERE found IS DISTINCT FROM expected""",
+    "op6_chat_formatting": """
+        WITH c AS (SELECT conv_id, list(role || chr(1) || text ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+        p AS (SELECT DISTINCT l[1:i] AS pl FROM (SELECT l, unnest(range(1, len(l))) AS i FROM c)),
+        k AS (SELECT min(conv_id) AS conv_id FROM c WHERE l NOT IN (SELECT pl FROM p) GROUP BY l)
+        SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || text || chr(10) AS rendered FROM conversations WHERE conv_id IN (SELECT conv_id FROM k)""",
+}
