@@ -120,8 +120,8 @@ def verified(pairs: DataFrame, texts: DataFrame, config: Join) -> DataFrame:
 
 
 def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id): a row for each row of docs (doc_id, text); component_id is the least doc_id
-    that links lead to. key is row_key() of the row.
+    """(doc_id, key, n_shingles, component_id, stays): a row for each row of docs (doc_id, text); component_id is the least
+    doc_id that links lead to, key is row_key() of the row, and stays holds for a component's least (doc_id, key).
 
     Rows with equal sets are one class from the start. Each class enters each tree's node by its minwise token there.
     In a node every class is held against the node's least class first; classes that this links into one component need no
@@ -179,8 +179,10 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         members = members.join(root.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     else:
         members = members.withColumn("root", F.col("digest"))
-    least = members.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return members.join(least, "root", "left").select("doc_id", "key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    least = members.where("root is not null").groupBy("root").agg(F.min(place).alias("least"))
+    stays = F.col("least").isNull() | (place == F.col("least"))
+    return members.join(least, "root", "left").select("doc_id", "key", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), stays.alias("stays"))
 
 
 def with_root(rows: DataFrame, root: DataFrame | None) -> DataFrame:
@@ -199,3 +201,10 @@ def apart_only(pairs: DataFrame, root: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, config: Join = Join()) -> DataFrame:
     """groups() with kept: whether the row's doc_id is its component's."""
     return groups(docs, config).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_copies(docs: DataFrame, config: Join = Join()) -> DataFrame:
+    """Rows of docs, all columns, one of each component: its least (doc_id, key), once. Texts without words all stay."""
+    keep = groups(docs, config).where("stays").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("key").alias("_key"))
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_key", row_key())
+    return rows.join(keep, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, neardup, packing, quality, substring, tokencount, warc
+from . import chat, decontaminate, langid, linededup, neardup, packing, quality, substring, tokencount, warc
 from .common import read_table
 
 
@@ -39,6 +39,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(texts, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.surplus(read_table(spark, sf_dir, "documents")).drop("key")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(read_table(spark, sf_dir, "conversations"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op8_near_duplicates": op8_near_duplicates,
     "op3_warc_fixity": op3_warc_fixity,
+    "op5_line_dedup": op5_line_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op4_language_id": op4_language_id,
     "op7_token_counts": op7_token_counts,
