@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,80 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
+#: Odd factors of rolling hashes modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Bytes of text that are hashed at once; more only for a text that is longer by itself.
+STRETCH = 1 << 18
+
+
+def marks(of: bytes) -> np.ndarray:
+    """Which of the 256 bytes are among `of`."""
+    out = np.zeros(256, bool)
+    out[list(of)] = True
+    return out
+
+
+SPACES = marks(b" \t\n\x0b\x0c\r")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+@lru_cache(maxsize=8)
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n; callers round n up, so that few sizes occur."""
+    up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    return up, down
+
+
+def prefix_sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums from which stretch() gets the polynomial hash of any stretch of values."""
+    up, down = powers(base, 1 << max(10, len(values).bit_length()))
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)]), down
+
+
+def stretch(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((sums[0][end] - sums[0][start]) * sums[1][start])
+
+
+def word_hashes(column: pa.Array, fold: np.ndarray | None = None, parts: np.ndarray = SPACES, n: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text of an Arrow column, n arrays of 64-bit hashes of its words, in order; null texts have none.
+
+    Words are stretches without a byte of `parts`; `fold` maps each byte before that. All in array operations on the column's
+    own bytes: no Python object for a word is made.
+    """
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    places = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(places, places[at] + STRETCH, "right")) - 1)
+        lo, own = int(places[at]), places[at : to + 1] - places[at]
+        data = raw[lo : lo + int(own[-1])]
+        if fold is not None:
+            data = fold[data]
+        word = ~parts[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[own] = True
+        before = np.concatenate([[False], word[:-1]]) if len(word) else word
+        start = np.flatnonzero(word & (~before | edge[:-1]))
+        after = np.concatenate([word[1:], [False]]) if len(word) else word
+        end = np.flatnonzero(word & (~after | edge[1:])) + 1
+        # Bytes are spread over 64 bits first, so that short words differ in all of them.
+        value = SPREAD[data]
+        hashes = [stretch(prefix_sums(value, base), start, end) for base in BASES[:n]]
+        first = np.searchsorted(start, own)
+        for k in range(to - at):
+            yield tuple(h[first[k] : first[k + 1]] for h in hashes)
+        at = to
+
+
+SPREAD = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,11 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import marks, word_hashes
 
-#: A Python worker keeps the buckets of words that it has met.
-_BUCKETS: dict[bytes, int] = {}
-MEMO = 1_000_000
+#: Words here are lower-cased stretches without white space and common punctuation.
+PARTS = marks(b" \t\n\x0b\x0c\r.,;:!?\"'()")
+FOLD = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
+TABLE = bytes(32 if PARTS[b] else int(FOLD[b]) for b in range(256))
+
+
+def terms(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "replace").translate(TABLE).split() if text else []
 
 
 @dataclass(frozen=True)
@@ -37,15 +42,10 @@ class Retrieval:
     block: int = 2000
 
 
-def bucket_ids(words: list[bytes], buckets: int) -> np.ndarray:
-    """Buckets of words, lower-cased and without the punctuation around them."""
-    import xxhash
-
-    if len(_BUCKETS) > MEMO:
-        _BUCKETS.clear()
-    for w in set(words).difference(_BUCKETS):
-        _BUCKETS[w] = xxhash.xxh3_64_intdigest(w.lower().strip(b".,;:!?\"'()")) & 0x7FFFFFFF
-    return np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)) & (buckets - 1)
+def bucket_ids(texts: pa.Array, buckets: int) -> Iterator[np.ndarray]:
+    """The buckets of each text's words, in order."""
+    for (h,) in word_hashes(texts, FOLD, PARTS):
+        yield (h & np.uint64(buckets - 1)).astype(np.int64)
 
 
 def frequencies(docs: DataFrame, config: Retrieval) -> np.ndarray:
@@ -54,10 +54,14 @@ def frequencies(docs: DataFrame, config: Retrieval) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(config.buckets, np.int64), 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                if words:
-                    df[np.unique(bucket_ids(list(set(words)), config.buckets))] += 1
+            for ids in bucket_ids(b.column("text"), config.buckets):
+                if len(ids):
+                    here = np.zeros(config.buckets, bool) if len(ids) > 2000 else None
+                    if here is None:
+                        df[np.unique(ids)] += 1
+                    else:
+                        here[ids] = True
+                        df += here
                     n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["k", "n"])
@@ -102,14 +106,13 @@ def decompose(docs: DataFrame, idf: np.ndarray, config: Retrieval) -> np.ndarray
         marks: list[np.ndarray] = []
         n = 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                for at in range(0, len(words), 1 << 18):
-                    ids = bucket_ids(words[at : at + (1 << 18)], config.buckets)
+            for whole in bucket_ids(b.column("text"), config.buckets):
+                for at in range(0, len(whole), 1 << 16):
+                    ids = whole[at : at + (1 << 16)]
                     held.append(ids)
                     marks.append(n + np.arange(0, len(ids), config.passage))
                     n += len(ids)
-                    if n > 1 << 17:
+                    if n > 1 << 16:
                         add(np.concatenate(held), np.concatenate(marks))
                         held, marks, n = [], [], 0
         if n:
@@ -152,29 +155,27 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], latent: np.ndarray, config: Retrieval):
         self.config, self.latent = config, latent
         self.ids = [i for i, _ in items]
-        self.words = [[w.lower().strip(b".,;:!?\"'()") for w in words_of(t)] for _, t in items]
+        self.words = [terms(t) for _, t in items]
         self.sets = [set(w) for w in self.words]
         chunks: dict[int, list[tuple[int, int, np.ndarray]]] = {n: [] for n in config.windows}
-        for k, (_, text) in enumerate(items):
-            words = words_of(text)
-            parts = max(1, -(-len(words) // (config.windows[-1] + 8)))
+        for k, ids in enumerate(bucket_ids(pa.array([t for _, t in items], pa.string()), config.buckets)):
+            parts = max(1, -(-len(ids) // (config.windows[-1] + 8)))
             for p in range(parts):
-                a, z = len(words) * p // parts, len(words) * (p + 1) // parts
-                v = latent[bucket_ids(words[a:z], config.buckets)].sum(axis=0)
+                a, z = len(ids) * p // parts, len(ids) * (p + 1) // parts
+                v = latent[ids[a:z]].sum(axis=0)
                 if (norm := float(np.linalg.norm(v))) > 0:
                     chunks[min(config.windows, key=lambda n: abs(n - (z - a)))].append((k, a, v / norm))
         self.chunks = {n: (np.array([c[0] for c in cs]), np.array([c[1] for c in cs]), np.stack([c[2] for c in cs])) for n, cs in chunks.items() if cs}
 
-    def search(self, text: str | None) -> list[tuple[int, float, float, int]]:
+    def search(self, text: Callable[[], str | None], ids: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item_id, cosine, share of its words in order, first word of the window) for each item that the text leaks."""
-        words = words_of(text)
         found: dict[int, tuple[float, float, int]] = {}
         lowered: list[bytes] | None = None
         span = 1 << 14
-        for base in range(0, len(words), span):  # stretches overlap by the longest window
-            part = words[base : base + span + self.config.windows[-1]]
+        for base in range(0, len(ids), span):  # stretches overlap by the longest window
+            part = ids[base : base + span + self.config.windows[-1]]
             sums = np.zeros((len(part) + 1, self.latent.shape[1]), np.float32)
-            np.cumsum(self.latent[bucket_ids(part, self.config.buckets)], axis=0, out=sums[1:])
+            np.cumsum(self.latent[part], axis=0, out=sums[1:])
             for n, (items, starts, vectors) in self.chunks.items():
                 at = np.arange(0, max(1, len(part) - n + n // 4), n // 4)
                 v = sums[np.minimum(at + n, len(part))] - sums[at]
@@ -184,7 +185,7 @@ class Index:
                     if k in found:
                         continue
                     if lowered is None:
-                        lowered = [w.lower().strip(b".,;:!?\"'()") for w in words]
+                        lowered = terms(text())
                     first = base + int(at[row]) - int(starts[col])
                     region = lowered[max(0, first - n // 2) : max(0, first + len(self.words[k]) + n)]
                     if len(self.sets[k].intersection(region)) < self.config.paraphrase * 0.9 * len(self.sets[k]):
@@ -211,7 +212,7 @@ class Decontaminator:
         self.blocks: list[list[tuple[int, str]]] = []
         some: list[tuple[int, str]] = []
         for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-            if len(words_of(r["text"])) >= 5:
+            if len(terms(r["text"])) >= 5:
                 some.append((r["item_id"], r["text"]))
                 if len(some) == config.block:
                     self.blocks.append(some)
@@ -231,7 +232,7 @@ class Decontaminator:
             def found(batches: Iterator[pa.RecordBatch], latent=latent, block=block) -> Iterator[pa.RecordBatch]:
                 index = Index(block.value, latent.value, config)
                 for b in batches:
-                    rows = [(doc, *x) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in index.search(text)]
+                    rows = [(doc, *x) for doc, text, ids in zip(b.column("doc_id").to_pylist(), b.column("text"), bucket_ids(b.column("text"), config.buckets), strict=True) for x in index.search(text.as_py, ids)]
                     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "cosine", "in_order", "first_word"])
 
@@ -247,7 +248,7 @@ class Decontaminator:
             def kept(batches: Iterator[pa.RecordBatch], latent=latent, block=block) -> Iterator[pa.RecordBatch]:
                 index = Index(block.value, latent.value, config)
                 for b in batches:
-                    yield b.filter(pa.array([not index.search(t) for t in b.column("text").to_pylist()], pa.bool_()))
+                    yield b.filter(pa.array([not index.search(t.as_py, ids) for t, ids in zip(b.column("text"), bucket_ids(b.column("text"), config.buckets), strict=True)], pa.bool_()))
 
             docs = docs.mapInArrow(kept, docs.schema)
         return docs

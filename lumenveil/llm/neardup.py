@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, row_key
+from .common import components, materialize, mix, row_key, word_hashes
 
 #: Lower-cases A-Z in UTF-8.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER_BYTES = np.frombuffer(LOWER, np.uint8)
 
 
 @dataclass(frozen=True)
@@ -44,40 +45,26 @@ def shingles(text: str | None, width: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[i:] for i in range(width)))))  # noqa: B905
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def signer(config: Join):
     """For each row: number of shingles, digest of the whole set, minwise tokens (8 bytes each) and their sketch: two longs."""
-    import xxhash
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix(np.arange(1, config.coords + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        word64: dict[bytes, int] = {}
         for b in batches:
             sizes, digests, tokens, bits = [], [], [], []
-            for text in b.column("text").to_pylist():
-                words = text.encode("utf-8", "replace").translate(LOWER).split() if text else []
-                if not words:
+            for (h,) in word_hashes(b.column("text"), LOWER_BYTES):
+                if not len(h):
                     sizes.append(0)
                     digests.append(None)
                     tokens.append(None)
                     bits.append((None, None))
                     continue
-                if len(word64) > 1_000_000:
-                    word64.clear()
-                for w in set(words).difference(word64):
-                    word64[w] = xxhash.xxh3_64_intdigest(w)
-                h = np.fromiter(map(word64.__getitem__, words), np.uint64, len(words))
                 n, s = max(1, len(h) - config.width + 1), np.zeros(max(1, len(h) - config.width + 1), np.uint64)
                 for k in range(min(config.width, len(h))):
                     s = mix(s + h[k : k + n] + np.uint64(k))
                 s = np.unique(s)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.astype("<u8").tobytes() + bytes([len(words) < config.width]), digest_size=16).digest())
+                digests.append(hashlib.blake2b(s.astype("<u8").tobytes() + bytes([len(h) < config.width]), digest_size=16).digest())
                 low = np.full(config.coords, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(s), 512):  # stays in the processor's cache
                     x = (s[at : at + 512, None] ^ salts) * np.uint64(0x9FB21C651E98DF25)

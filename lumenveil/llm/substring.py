@@ -4,74 +4,32 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, words_of
-
-#: Odd factors of the two rolling hashes, and their inverses modulo 2**64.
-BASE = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-MEMO = 1_000_000
-
-
-@lru_cache(maxsize=4)
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i < n; n is rounded up by the caller so that few sizes occur."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-    return up, down
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
+from .common import BASES, materialize, mix, prefix_sums, row_key, stretch, word_hashes, words_of
 
 class Roller:
-    """Hashes of any stretch of a text's words, from two prefix sums over 64-bit word hashes; both words and sums differ
+    """Hashes of any stretch of a text's words, from prefix sums over two 64-bit hashes of each word. Words and sums differ
     between the two, so that two stretches count as equal only if 128 bits agree."""
 
-    def __init__(self):
-        import xxhash
-
-        self.digest = xxhash.xxh3_128_intdigest
-        self.memo: dict[bytes, int] = {}
-        self.table = np.zeros((1 << 12, 2), np.uint64)
-
-    def load(self, words: list[bytes]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, low = self.memo, (1 << 64) - 1
-        for w in set(words).difference(memo):
-            if len(memo) == len(self.table):
-                self.table = np.vstack([self.table, np.zeros_like(self.table)])
-            d = self.digest(w)
-            self.table[len(memo)] = (d >> 64, d & low)
-            memo[w] = len(memo)
-        h = self.table[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))]
-        n = 1 << max(10, len(words).bit_length())
-        self.sums, self.down = [], []
-        for k, base in enumerate(BASE):
-            up, down = powers(base, n)
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(h[:, k] * up[: len(words)], dtype=np.uint64)]))
-            self.down.append(down)
+    def __init__(self, words: tuple[np.ndarray, ...]):
+        self.n = len(words[0])
+        self.sums = [prefix_sums(h, base) for h, base in zip(words, BASES, strict=True)]
 
     def of(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[k][end] - self.sums[k][start]) * self.down[k][start])
+        return stretch(self.sums[k], start, end)
 
 
-def paths_of(roller: Roller, words: list[bytes], window: int, core: int) -> tuple[np.ndarray, ...]:
+def paths_of(roller: Roller, window: int, core: int) -> tuple[np.ndarray, ...]:
     """Nonbranching paths of one text: maximal runs lo..hi of windows that share their least core (leftmost if tied).
 
     Returns (core's hash, hash of the whole path, lo, hi). Which core is least depends on a window's own words only, so
     equal windows lie in paths of the same core."""
-    n = len(words)
-    roller.load(words)
+    n = roller.n
     at = np.arange(n - core + 1)
     cores = roller.of(0, at, at + core)
     least = np.lib.stride_tricks.sliding_window_view(cores, window - core + 1).argmin(axis=1)
@@ -100,13 +58,11 @@ def repeated_spans(docs: DataFrame, window: int = 35, core: int = 10) -> DataFra
     """
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller()
         for b in batches:
             parts = []
-            for doc, key, text in zip(b.column("id").to_pylist(), b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                if len(words) >= window:
-                    a, f, lo, hi = paths_of(roller, words, window, core)
+            for doc, key, words in zip(b.column("id").to_pylist(), b.column("key").to_pylist(), word_hashes(b.column("text"), n=2), strict=True):
+                if len(words[0]) >= window:
+                    a, f, lo, hi = paths_of(Roller(words), window, core)
                     parts.append((np.full(len(a), doc), np.full(len(a), key), a, f, lo, hi))
             yield _batch(parts, ["id", "key", "a", "f", "lo", "hi"], [pa.int64()] * 4 + [pa.int32()] * 2)
 
@@ -120,11 +76,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, core: int = 10) -> DataFra
     by_row = one.groupBy("id", "key").agg(F.collect_list(F.struct("a", "n", "lo", "hi")).alias("paths"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller()
         for b in batches:
             parts = []
-            for doc, key, text, own in zip(*(b.column(c).to_pylist() for c in ("id", "key", "text", "paths")), strict=True):
-                roller.load(words_of(text))
+            for doc, key, words, own in zip(b.column("id").to_pylist(), b.column("key").to_pylist(), word_hashes(b.column("text"), n=2), b.column("paths").to_pylist(), strict=True):
+                roller = Roller(words)
                 for p in own:
                     at = np.arange(p["lo"], p["hi"] + 1)
                     same = np.ones(len(at), np.int64)
