@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +22,16 @@ LOWER_BYTES = np.frombuffer(LOWER, np.uint8)
 @dataclass(frozen=True)
 class Join:
     """width: words in a shingle. least: similarity in hundredths that links two sets. trees: independent trees, each with a
-    coordinate of its own at the root. small: up to so many sets, a node is compared exhaustively. early: coordinates that
-    the first levels of a larger node follow; later levels follow `1 / similarity` on average, the chosen-path rate, so that
-    sets below the threshold die out. deepest: levels at most. coords: minwise tokens of a set. far: sketches of two sets
+    coordinate of its own at the root. small: up to so many sets, all pairs of a node are held against each other's sketches;
+    tiny: up to so many, in Spark's own functions. early: coordinates that the first levels of a larger node follow; later
+    levels follow `1 / similarity` on average, the chosen-path rate, so that sets below the threshold die out. deepest: levels at most. coords: minwise tokens of a set. far: sketches of two sets
     that are linked differ in at most so many of `coords` two-bit places (at similarity 0.8, 27 of 64 leave out 5 in 10**7)."""
 
     width: int = 2
     least: int = 80
     trees: int = 12
-    small: int = 24
+    small: int = 1000
+    tiny: int = 24
     early: tuple[int, ...] = (3, 2, 2)
     deepest: int = 40
     coords: int = 64
@@ -136,29 +138,24 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         if root is not None:
             star = star.join(root.select(F.col("id").alias("b"), F.col("root").alias("its")), "b", "left").where("root <> coalesce(its, b)")
         star = materialize(star.select("a", "b").distinct(), "near-star")
-        small = live.where(F.col("n").between(3, config.small)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("digest", "b0", "b1", "root"))).alias("m"))
-        open_ = small.where(F.exists("m", lambda x: x["root"] != F.col("m")[0]["root"]))
+        tiny = live.where(F.col("n").between(3, config.tiny)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("digest", "b0", "b1", "root"))).alias("m"))
+        open_ = tiny.where(F.exists("m", lambda x: x["root"] != F.col("m")[0]["root"]))
         first = open_.select(F.explode("m").alias("x"), "m").select("x.*", F.explode(F.filter("m", lambda y: (y["digest"] > F.col("x.digest")) & (y["root"] != F.col("x.root")))).alias("other"))
         pairs = first.where(close(config)).select(F.col("digest").alias("b"), F.col("other.digest").alias("a")).distinct()
         pairs = materialize(pairs.select("a", "b").join(star, ["a", "b"], "left_anti"), "near-pairs")
-        need = materialize(star.union(pairs).select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "row"), "digest").select("digest", "row.doc_id", "row.key"), "near-need")
-        if need.head(1):
-            on = need.select("digest", F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-            texts = rows.join(on, (rows.doc_id.eqNullSafe(on["_id"])) & (rows.key == on["_key"])).select("digest", "text").dropDuplicates(["digest"])
-            texts = materialize(texts, "near-texts")
-            found = materialize(verified(star, texts, config), "near-links")
-            edges = found if edges is None else edges.union(found)
-            root = components(edges, "near")
-            apart = apart_only(pairs, root)
-            more = materialize(verified(apart, texts, config), "near-links")
-            if more.head(1):
-                edges = edges.union(more)
-                root = components(edges, "near")
-        wide = with_root(live.where(F.col("n") > config.small).drop("root"), root)
-        mixed = wide.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
+        texts = texts_of(star.union(pairs), classes, rows)
+        for some in (star, pairs):
+            edges, root = linked(some, texts, edges, root, config)
+        rooted = with_root(live.where(F.col("n") > config.tiny).drop("root"), root)
+        mixed = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
+        rooted = materialize(rooted.join(mixed, "node", "left_semi").select("node", "digest", "b0", "b1", "n", "root"), "near-mixed")
+        middle = rooted.where(F.col("n") <= config.small).select("node", "digest", "b0", "b1", "root").repartition("node").sortWithinPartitions("node")
+        middle = materialize(middle.mapInArrow(within(config), "a binary, b binary").distinct(), "near-pairs")
+        edges, root = linked(middle, texts_of(middle, classes, rows), edges, root, config)
+        wide = rooted.where(F.col("n") > config.small).select("node", "digest", "b0", "b1")
         rate = F.lit(config.early[depth]) if depth < len(config.early) else F.lit(100 // config.least) + (F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(config.least)) < 100 % config.least).cast("int")
         picks = F.transform(F.sequence(F.lit(1), rate), lambda k: F.pmod(F.xxhash64("node", k), F.lit(config.coords)).cast("int"))
-        grown = wide.join(mixed, "node", "left_semi").join(classes.select("digest", "tokens"), "digest")
+        grown = wide.join(classes.select("digest", "tokens"), "digest")
         grown = grown.select("node", "digest", "b0", "b1", "tokens", F.explode(F.array_distinct(picks)).alias("i"))
         nodes = grown.select(F.xxhash64("node", "i", F.expr("substring(tokens, 8 * i + 1, 8)")).alias("node"), "digest", "b0", "b1")
     members = signed.select("doc_id", "key", "n_shingles", "digest")
@@ -172,6 +169,68 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     return members.join(least, "root", "left").select("doc_id", "key", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), stays.alias("stays"))
 
 
+def texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(digest, text) for the ends of pairs; none if there are no pairs."""
+    if not pairs.head(1):
+        return None
+    need = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "row"), "digest")
+    need = materialize(need.select("digest", F.coalesce("row.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("row.key").alias("_key")), "near-need")
+    own = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("key").alias("_key"), "text")
+    return materialize(own.join(need, ["_id", "_key"]).select("digest", "text").dropDuplicates(["digest"]), "near-texts")
+
+
+def linked(pairs: DataFrame, texts: DataFrame | None, edges: DataFrame | None, root: DataFrame | None, config: Join) -> tuple[DataFrame | None, DataFrame | None]:
+    """Edges and components with those of pairs that hold and are not in one component yet."""
+    if texts is None:
+        return edges, root
+    found = materialize(verified(pairs if root is None else apart_only(pairs, root), texts, config), "near-links")
+    if not found.head(1):
+        return edges, root
+    edges = found if edges is None else edges.union(found)
+    return edges, components(edges, "near")
+
+
+def within(config: Join):
+    """All pairs of each node with close sketches and different roots; rows come sorted by node, `small` of one at most."""
+
+    def compared(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        node = t["node"].to_numpy()
+        cut = np.flatnonzero(np.diff(node)) + 1
+        x, y = (t[c].to_numpy().view(np.uint64) for c in ("b0", "b1"))
+        root = pa.compute.dictionary_encode(t["root"].combine_chunks()).indices.to_numpy()
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for lo, hi in zip([0, *cut], [*cut, len(node)], strict=True):
+            for i in range(lo, hi - 1):
+                far = np.bitwise_count((x[i] ^ x[i + 1 : hi]) | (y[i] ^ y[i + 1 : hi]))
+                j = np.flatnonzero((far <= config.far) & (root[i + 1 : hi] != root[i])) + i + 1
+                if len(j):
+                    a.append(j)
+                    b.append(np.full(len(j), i))
+        digest = t["digest"].combine_chunks()
+        take = lambda at: digest.take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
+        p, q = take(a), take(b)
+        swap = pa.compute.less(p, q)  # each pair in one order only
+        return pa.RecordBatch.from_arrays([pa.compute.if_else(swap, q, p), pa.compute.if_else(swap, p, q)], names=["a", "b"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            node = b.column("node").to_numpy()
+            if node[0] != node[-1]:  # all nodes but the last are complete
+                last = int(np.flatnonzero(node != node[-1])[-1]) + 1
+                yield compared([*held[:-1], b.slice(0, last)])
+                held = [b.slice(last)]
+        if held:
+            yield compared(held)
+
+    return pairs
+
+
 def with_root(rows: DataFrame, root: DataFrame | None) -> DataFrame:
     if root is None:
         return rows.withColumn("root", F.col("digest"))
