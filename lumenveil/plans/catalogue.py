@@ -1,11 +1,529 @@
-"""All queries of the privacy engine, and their SQL."""
+"""All queries of the privacy engine, each with DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .. import resources as R
+from ..config import PrivacyConfig
+from ..functions import rng
+from ..functions.spans import mask
+from ..functions.tokens import ngrams, offsets, words
+from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, utility
+from ..sources import readers
+from ..streaming import live
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+CONFIG = PrivacyConfig()
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+#: Patterns that RE2 reads as Java does on these texts, by type.
+PLAIN = [(k, p) for k, p in R.PATTERNS if k in ("EMAIL_ADDRESS", "IP_ADDRESS", "QQ_NUMBER", "URL", "DATE_TIME") or (k == "PHONE_NUMBER" and p[0] == "1")]
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in R.STOP_WORDS)
+WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
+U = rng.uniform_sql
+
+
+def _hits(extra: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS ord, '{k}' AS entity_type, doc_id, lang, source, unnest(regexp_extract_all(text, '{p}')) AS m FROM documents{extra}" for i, (k, p) in enumerate(PLAIN))
+
+
+def pattern_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, lang, source, ord, entity_type, m): matches of patterns; texts without a digit or @ are passed over."""
+    def named(i: int, kind: str, pattern: str):
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("entity_type"), m.alias("m")))
+
+    found = [named(i, k, p) for i, (k, p) in enumerate(PLAIN)]
+    some = docs(spark, sf).where(F.col("text").rlike(r"[0-9@]|https?://|www\."))
+    return some.select("doc_id", "lang", "source", F.explode(F.concat(*found)).alias("x")).select("doc_id", "lang", "source", "x.*")
+
+
+@query(f"SELECT ord, entity_type, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({_hits()}) GROUP BY ALL")
+def pii_regex_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_hits(spark, sf).groupBy("ord", "entity_type").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
+
+
+_SURE = """CASE WHEN entity_type = 'PHONE_NUMBER' THEN CASE WHEN regexp_matches(m, '^1[3-9]') THEN 0.95 ELSE 0.6 END
+    WHEN entity_type = 'EMAIL_ADDRESS' THEN CASE WHEN regexp_matches(m, 'qq\\.com|163\\.com|126\\.com|gmail\\.com|sina\\.com|sohu\\.com') THEN 0.95 ELSE 0.8 END
+    WHEN entity_type = 'QQ_NUMBER' THEN 0.8 ELSE 0.7 END::DOUBLE"""
+
+
+@query(f"SELECT doc_id, ord, m, count(*) AS n, {_SURE} AS confidence FROM ({_hits()}) GROUP BY doc_id, ord, entity_type, m")
+def pii_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    sure = F.coalesce(*[F.when(F.col("entity_type") == k, detect.confidence(k, F.col("m"))) for k in dict(PLAIN)])
+    return pattern_hits(spark, sf).groupBy("doc_id", "ord", "entity_type", "m").agg(F.count("*").alias("n")).select("doc_id", "ord", "m", "n", sure.cast("double").alias("confidence"))
+
+
+@query(f"SELECT lang, source, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM ({_hits()}) GROUP BY ROLLUP (lang, source)")
+def pii_census_by_source(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_hits(spark, sf).rollup("lang", "source").agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query(f"SELECT doc_id, count(*) AS hits FROM ({_hits()}) GROUP BY doc_id ORDER BY hits DESC, doc_id LIMIT 20")
+def pii_docs_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return pattern_hits(spark, sf).groupBy("doc_id").agg(F.count("*").alias("hits")).orderBy(F.col("hits").desc(), "doc_id").limit(20)
+
+
+@query()
+def pii_spans_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = docs(spark, sf).select("doc_id", detect.chinese(F.coalesce("text", F.lit(""))).alias("entities"))
+    return detect.explode(found).select("doc_id", "start", "end", "text", "entity_type", "confidence")
+
+
+@query()
+def pii_spans_english(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.explode(detect.detect(docs(spark, sf))).select("doc_id", "start", "end", "text", "entity_type", "confidence")
+
+
+_MAIL = R.PATTERNS[7][1]
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{_MAIL}', '[UNK]', 'g'), '\s+', ' ', 'g')) AS masked_text FROM documents")
+def masked_text(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", mask(F.col("text"), detect.find(F.col("text"), _MAIL)).alias("masked_text"))
+
+
+@query()
+def masked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return live.masked(docs(spark, sf))
+
+
+_RULES = [("the", 2), ("idiot", 5), ("que", 0), ("der", None)]
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{w}' AS rule, {n or 0} AS level, len(regexp_extract_all(text, '(?i){w}'))::BIGINT AS hits FROM documents WHERE regexp_matches(text, '(?i){w}')" for w, n in _RULES))
+def custom_rule_hits(spark: SparkSession, sf: str) -> DataFrame:
+    hits = docs(spark, sf).select("doc_id", F.explode(detect.rule_hits(F.col("text"), _RULES)).alias("h"))
+    return hits.groupBy("doc_id", F.lower("h.text").alias("rule"), F.col("h.level").alias("level")).agg(F.count("*").alias("hits"))
+
+
+@query()
+def interactive_levels(spark: SparkSession, sf: str) -> DataFrame:
+    hits = docs(spark, sf).select("doc_id", F.explode(detect.interactive_rules(F.coalesce("text", F.lit("")))).alias("h"))
+    return hits.groupBy("doc_id", F.col("h.level").alias("level")).agg(F.count("*").alias("hits"))
+
+
+def word_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, pos, token, pii): white-space words; a word with five digits or more is personal."""
+    each = docs(spark, sf).select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "token"))
+    return each.withColumn("pii", F.when(F.col("token").rlike("[0-9]{5}"), 5))
+
+
+_ROWS = f"""t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents)),
+    l AS (SELECT *, CASE WHEN regexp_matches(token, '[0-9]{{{{5}}}}') THEN 5 WHEN lower(token) IN ({STOP_SQL}) OR regexp_matches(token, '^[[:punct:]]+$') THEN NULL
+        ELSE 1 + CAST(floor({U("42", "doc_id", "pos", "'risk'")} * 3) AS BIGINT) END AS level FROM t),
+    b AS (SELECT *, round(8.0::DOUBLE - (level - 1) * ((8.0::DOUBLE - 0.1::DOUBLE) / 4), 2) AS eps FROM l)""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH {_ROWS} SELECT doc_id, level, count(*) AS n, sum(eps) AS eps_sum, min(pos) AS first_pos FROM b WHERE level IS NOT NULL GROUP BY doc_id, level")
+def token_budget(spark: SparkSession, sf: str) -> DataFrame:
+    level = risk.default_level(F.col("token"), F.col("pii"), CONFIG, F.col("doc_id"), F.col("pos"))
+    out = word_rows(spark, sf).withColumn("level", level.cast("long")).withColumn("eps", risk.budget(F.col("level"), CONFIG))
+    return out.where("level is not null").groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.round(F.sum("eps"), 6).alias("eps_sum"), F.min("pos").cast("long").alias("first_pos"))
+
+
+SQL["token_budget"] = SQL["token_budget"].replace("sum(eps) AS eps_sum", "round(sum(eps), 6) AS eps_sum")
+
+
+@query(f"WITH {_ROWS} SELECT doc_id, round(coalesce(avg(eps), 100), 9) AS eps_s, count(eps) AS n FROM b GROUP BY doc_id")
+def sentence_budget(spark: SparkSession, sf: str) -> DataFrame:
+    level = risk.default_level(F.col("token"), F.col("pii"), CONFIG, F.col("doc_id"), F.col("pos"))
+    out = word_rows(spark, sf).withColumn("eps", risk.budget(level, CONFIG))
+    return out.groupBy("doc_id").agg(F.round(F.coalesce(F.avg("eps"), F.lit(100.0)), 9).alias("eps_s"), F.count("eps").alias("n"))
+
+
+@query(f"""WITH {_ROWS}, h AS (SELECT doc_id, pos, token, level, coalesce(bool_or(level = 5) OVER (PARTITION BY doc_id, token), false) AS high FROM b)
+    SELECT doc_id, token, count(*) AS n FROM h WHERE high GROUP BY doc_id, token""")
+def high_risk_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    out = risk.budgets(word_rows(spark, sf), CONFIG)
+    return out.where("high").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ROWS}, v AS (SELECT doc_id, variant, CASE WHEN lower(token) IN ({STOP_SQL}) OR regexp_matches(token, '^[[:punct:]]+$') THEN NULL WHEN variant = 'level_1' THEN 1
+        WHEN variant = 'level_4' THEN 4 ELSE 1 + CAST(floor({U("42", "doc_id", "pos", "'variant'")} * 4) AS BIGINT) END AS level FROM t, (VALUES ('original'), ('level_1'), ('level_4')) x(variant))
+    SELECT doc_id, variant, round(avg(round(8.0::DOUBLE - (level - 1) * ((8.0::DOUBLE - 0.1::DOUBLE) / 4), 2)), 9) AS eps_s FROM v GROUP BY doc_id, variant""")
+def variant_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    return risk.variants(word_rows(spark, sf), CONFIG).groupBy("doc_id", "variant").agg(F.round(F.avg("eps"), 9).alias("eps_s"))
+
+
+_VOCAB = f"""t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents)),
+    v AS (SELECT word, count(*) AS cnt, min(struct_pack(d := doc_id, p := pos)) AS f FROM t GROUP BY word)"""
+
+
+@query(f"WITH {_VOCAB} SELECT word, cnt FROM v")
+def vocab_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.vocabulary(docs(spark, sf)).select("word", "cnt")
+
+
+@query(f"""WITH {_VOCAB}, r AS (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, f.d, f.p) AS rn, count(*) OVER () AS n FROM v)
+    SELECT word, cnt FROM r WHERE rn > n - (floor(0.9 * n) + 1)""")
+def sensitive_words(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.rare_words(corpus.vocabulary(docs(spark, sf))).select("word", "cnt")
+
+
+def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("cand"), F.col("embedding").alias("vec"))
+
+
+def _near_sql(k: int, metric: str) -> str:
+    d = "[x::DOUBLE FOR x IN {0}.embedding]"
+    a, b = d.format("a"), d.format("b")
+    score = "list_dot_product(qa, qb) / (sqrt(list_dot_product(qa, qa)) * sqrt(list_dot_product(qb, qb)) + 1e-12)" if metric == "cosine" else "-list_distance(qa, qb)"
+    return f"""SELECT query, rank, cand, score FROM (SELECT query, cand, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, cand) AS rank
+        FROM (SELECT query, cand, {score} AS score FROM (SELECT a.vec_id AS query, b.vec_id AS cand, {a} AS qa, {b} AS qb FROM embeddings a, embeddings b))) WHERE rank <= {k}"""
+
+
+@query(f"SELECT query, rank::INT AS rank, cand, round(score, 6) AS score FROM ({_near_sql(10, 'cosine')})")
+def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.nearest(*vectors(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT query, rank::INT AS rank, cand, round(score, 6) + 0.0 AS score FROM ({_near_sql(10, 'euclid')}) WHERE query <> cand")
+def knn_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.nearest(*vectors(spark, sf), 10, "euclid").where("query <> cand").withColumn("score", F.round("score", 6))
+
+
+_NORM = """n AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 / count(*) OVER w END AS norm
+    FROM near WINDOW w AS (PARTITION BY query))"""
+_PROB = "p AS (SELECT *, exp(2.0 * norm / 2) / sum(exp(2.0 * norm / 2)) OVER (PARTITION BY query) AS prob FROM n)"
+
+
+def listed(spark: SparkSession, sf: str) -> DataFrame:
+    return perturb.normalised(knn.nearest(*vectors(spark, sf), 20), ["query"])
+
+
+@query(f"WITH near AS ({_near_sql(20, 'cosine')}), {_NORM}, {_PROB} SELECT query, rank::INT AS rank, cand, round(prob, 6) AS prob FROM p")
+def exp_mechanism_probs(spark: SparkSession, sf: str) -> DataFrame:
+    return perturb.exponential(listed(spark, sf), ["query"], F.lit(2.0)).select("query", "rank", "cand", F.round("prob", 6).alias("prob"))
+
+
+_DRAW = f"""c AS (SELECT *, sum(prob) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM p),
+    d AS (SELECT query, arg_min(cand, rank) AS cand FROM c WHERE cum >= {U("42", "query", "'draw'")} - 1e-12 GROUP BY query)"""
+
+
+@query(f"WITH near AS ({_near_sql(20, 'cosine')}), {_NORM}, {_PROB}, {_DRAW} SELECT query, cand FROM d")
+def exp_mechanism_draw(spark: SparkSession, sf: str) -> DataFrame:
+    probs = perturb.exponential(listed(spark, sf), ["query"], F.lit(2.0))
+    return perturb.drawn(probs, ["query"], rng.uniform(42, F.col("query"), "draw")).select("query", "cand")
+
+
+@query(f"""WITH near AS ({_near_sql(20, 'cosine')}), {_NORM} SELECT a.query, a.rank::INT AS rank, a.cand, round(b.norm, 6) AS norm FROM n a JOIN n b ON a.query = b.query AND b.rank = 21 - a.rank""")
+def score_reversal(spark: SparkSession, sf: str) -> DataFrame:
+    return perturb.reversed_scores(listed(spark, sf), ["query"], F.lit(True)).select("query", "rank", "cand", F.round("norm", 6).alias("norm"))
+
+
+_NEG = "n AS (SELECT *, (score - max(score) OVER w) / CASE WHEN max(score) OVER w > min(score) OVER w THEN max(score) OVER w - min(score) OVER w ELSE 1e-6 END AS norm FROM near WINDOW w AS (PARTITION BY query))"
+
+
+@query(f"WITH near AS ({_near_sql(1000000, 'euclid')}), {_NEG}, {_PROB} SELECT query, round(max(prob), 6) AS top, round(sum(prob * prob), 6) AS squares, count(*) AS n FROM p GROUP BY query")
+def santext_probs(spark: SparkSession, sf: str) -> DataFrame:
+    probs = mechanisms.whole_vocabulary(*vectors(spark, sf), 2.0)
+    return probs.groupBy("query").agg(F.round(F.max("prob"), 6).alias("top"), F.round(F.sum(F.col("prob") * F.col("prob")), 6).alias("squares"), F.count("*").alias("n"))
+
+
+@query(f"WITH near AS ({_near_sql(20, 'euclid')}), {_NEG}, {_PROB} SELECT query, rank::INT AS rank, cand, round(prob, 6) AS prob FROM p")
+def custext_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    return mechanisms.mapped(*vectors(spark, sf), 2.0).select("query", "rank", "cand", F.round("prob", 6).alias("prob"))
+
+
+@query(f"""WITH near AS ({_near_sql(20, 'euclid')}), {_NEG}, {_PROB}, {_DRAW} SELECT query AS token, cand FROM d""")
+def custext_sample(spark: SparkSession, sf: str) -> DataFrame:
+    queries, vocab = vectors(spark, sf)
+    lists = mechanisms.mapped(queries, vocab, 2.0)
+    return mechanisms.drawn_from(queries.select(F.col("query").alias("token")), lists, rng.uniform(42, F.col("token"), "draw")).select("token", "cand")
+
+
+@query("""SELECT dim::INT AS dim, round(max(x)::DOUBLE - min(x)::DOUBLE, 6) AS delta FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) GROUP BY dim""")
+def rantext_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    return mechanisms.sensitivity(vectors(spark, sf)[1]).select("dim", F.round("delta", 6).alias("delta"))
+
+
+_BETA = "(delta / (0.01658 * ln(19.0647 * 8 - 38.1294) + 9.3111))"
+_RADIUS = f"""s AS (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x FROM embeddings), b AS (SELECT dim, max(x)::DOUBLE - min(x)::DOUBLE AS delta FROM s GROUP BY dim),
+    z AS (SELECT vec_id AS query, {_BETA} AS beta, greatest({U("42", "vec_id", "dim", "'laplace'")}, 1e-15) - 0.5 AS at FROM embeddings, b),
+    r AS (SELECT query, sqrt(sum(pow(beta * sign(at) * ln(1 - 2 * abs(at)), 2))) AS radius FROM z GROUP BY query)"""
+
+
+@query(f"WITH {_RADIUS} SELECT query, round(radius, 6) AS radius FROM r")
+def rantext_laplace(spark: SparkSession, sf: str) -> DataFrame:
+    queries, vocab = vectors(spark, sf)
+    return mechanisms.noisy_radius(queries, vocab, 8.0, 42, "query").select("query", F.round("radius", 6).alias("radius"))
+
+
+@query(f"""WITH {_RADIUS}, near AS ({_near_sql(1000000, 'euclid')}), j AS (SELECT near.query, cand, -score AS dist, radius FROM near JOIN r USING (query) WHERE -score < radius)
+    SELECT query, count(*) AS n, round(max(w) / sum(w), 6) AS top FROM (SELECT query, exp(8.0 * ((radius - dist) / radius) / 2) AS w FROM j) GROUP BY query""")
+def rantext_adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    queries, vocab = vectors(spark, sf)
+    near = knn.nearest(queries, vocab, vocab.count(), "euclid")
+    out = mechanisms.adjacent(mechanisms.noisy_radius(queries, vocab, 8.0, 42, "query").select("query", "radius"), near, 8.0, ["query"])
+    return out.groupBy("query").agg(F.count("*").alias("n"), F.round(F.max("prob"), 6).alias("top"))
+
+
+@query()
+def snd_project(spark: SparkSession, sf: str) -> DataFrame:
+    queries, vocab = vectors(spark, sf)
+    noisy = queries.select("query", mechanisms.sphere_noise(F.col("vec"), 64, 1.0, 42, F.col("query")).alias("vec"))
+    return mechanisms.projected(noisy, vocab)
+
+
+@query(f"""WITH near AS ({_near_sql(5, 'cosine')}), e AS (SELECT vec_id, label FROM embeddings)
+    SELECT q.label, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS rate FROM (SELECT query, bool_or(e.label = (SELECT label FROM e x WHERE x.vec_id = near.query) AND cand <> query) AS hit
+    FROM near JOIN e ON e.vec_id = near.cand GROUP BY query) JOIN e q ON q.vec_id = query GROUP BY q.label""")
+def inversion_attack_rate(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "embeddings").select("vec_id", "label")
+    near = knn.nearest(*vectors(spark, sf), 5).join(labels.select(F.col("vec_id").alias("query"), "label"), "query").join(labels.select(F.col("vec_id").alias("cand"), F.col("label").alias("other")), "cand")
+    hit = near.groupBy("query", "label").agg(F.bool_or((F.col("label") == F.col("other")) & (F.col("cand") != F.col("query"))).alias("hit"))
+    return hit.groupBy("label").agg(F.round(F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)), 6).alias("rate"))
+
+
+_HITS = f"WITH {_ROWS}, x AS (SELECT doc_id, pos, token, {U('42', 'doc_id', 'pos', chr(39) + 'hit' + chr(39))} < 0.3 AS hit FROM t), g AS (SELECT doc_id, count_if(hit) AS h, count_if(hit AND NOT lower(token) IN ({STOP_SQL}) AND NOT regexp_matches(token, '^[[:punct:]]+$')) AS e, count(*) AS n FROM x GROUP BY doc_id)"
+
+
+def _hit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return word_rows(spark, sf).withColumn("hit", rng.uniform(42, F.col("doc_id"), F.col("pos"), "hit") < 0.3)
+
+
+@query(_HITS + " SELECT doc_id, round(h / n, 9) AS rate, round(e / n, 9) AS rate_exp_stop FROM g")
+def attack_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return attacks.rates(_hit_rows(spark, sf)).select("doc_id", F.round("rate", 9).alias("rate"), F.round("rate_exp_stop", 9).alias("rate_exp_stop"))
+
+
+@query(_HITS + " SELECT doc_id, round(sum(h) OVER w / sum(n) OVER w, 9) AS rate, round(sum(e) OVER w / sum(n) OVER w, 9) AS rate_exp_stop FROM g WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)")
+def cumulative_attack_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return attacks.rates(_hit_rows(spark, sf), cumulative=True).select("doc_id", F.round("rate", 9).alias("rate"), F.round("rate_exp_stop", 9).alias("rate_exp_stop"))
+
+
+@query(f"""WITH {_ROWS}, p AS (SELECT doc_id, pos, CASE WHEN {U("42", "doc_id", "pos", "'guess'")} < 0.25 THEN token ELSE 'other' END AS guess FROM t WHERE pos < 50)
+    SELECT doc_id, count_if(lower(guess) = lower(token)) AS hits, count(*) AS n FROM t JOIN p USING (doc_id, pos) GROUP BY doc_id""")
+def mask_inference_rate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = word_rows(spark, sf)
+    guess = F.when(rng.uniform(42, F.col("doc_id"), F.col("pos"), "guess") < 0.25, F.col("token")).otherwise("other")
+    predictions = rows.where("pos < 50").select("doc_id", "pos", F.lit(1).alias("rank"), guess.alias("token"))
+    return attacks.mask_inference(rows, predictions).groupBy("doc_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ROWS} SELECT doc_id, round(count_if(NOT lower(token) IN ({STOP_SQL})) / count(*), 9) AS rate FROM t GROUP BY doc_id""")
+def unsanitized_upper_bound(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", F.round(attacks.unsanitized_rate(words(F.col("text"))), 9).alias("rate")).where(F.size(words(F.lit("x"))) > 0)
+
+
+@query("""WITH o AS (SELECT label AS doc_id, vec_id, embedding AS v FROM embeddings WHERE vec_id % 4 = 0), n AS (SELECT label AS doc_id, embedding AS v FROM embeddings WHERE vec_id % 4 = 1),
+    m AS (SELECT o.doc_id, vec_id, bool_or(coalesce(list_dot_product([x::DOUBLE FOR x IN o.v], [x::DOUBLE FOR x IN n.v]) >= 0.7, false)) AS hit FROM o LEFT JOIN n ON o.doc_id = n.doc_id GROUP BY o.doc_id, vec_id)
+    SELECT doc_id, matched, total, matched / total >= 0.6 OR (matched > 4 AND matched / total >= 0.5) AS success FROM (SELECT doc_id, count_if(hit) AS matched, count(*) AS total FROM m GROUP BY doc_id)""")
+def pii_match_attack(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("word_id"), F.col("embedding").alias("vec"))
+    return attacks.personal_match(e.where("word_id % 4 = 0"), e.where("word_id % 4 = 1"))
+
+
+_TRI = "list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {WORDS.format("text")} AS w FROM conversations), g AS (SELECT conv_id, turn, {_TRI} AS g FROM w)
+    SELECT a.conv_id, a.turn, round(CASE WHEN len(a.g) > 0 THEN len(list_intersect(a.g, b.g)) / len(a.g) ELSE 0 END, 9) AS leak FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def trigram_leakage(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("other"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(leakage.ngram_leakage(F.col("text"), F.col("other")), 9).alias("leak"))
+
+
+@query(f"""WITH w AS (SELECT item_id, {WORDS.format("text")} AS w FROM benchmark), g AS (SELECT item_id, unnest(list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)])) AS g FROM w),
+    v AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents), h AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)])) AS g FROM v)
+    SELECT item_id, count(DISTINCT doc_id) AS docs, count(DISTINCT g) AS grams FROM g JOIN h USING (g) GROUP BY item_id""")
+def benchmark_contamination(spark: SparkSession, sf: str) -> DataFrame:
+    grams = lambda df, key: df.select(key, F.explode(ngrams(words(F.col("text")), 5)).alias("g"))
+    items = grams(table(spark, sf, "benchmark"), "item_id")
+    return items.join(grams(docs(spark, sf), "doc_id"), "g").groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("g").alias("grams"))
+
+
+@query(f"""WITH m AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS a, list_distinct(regexp_extract_all(regexp_replace(text, '{_MAIL}', '[UNK]', 'g'), '[0-9]+')) AS b FROM documents),
+    s AS (SELECT doc_id, len(list_intersect(a, b)) AS c, len(a) AS na, len(b) AS nb FROM m), r AS (SELECT doc_id, CASE WHEN nb > 0 THEN c / nb ELSE 0 END AS p, CASE WHEN na > 0 THEN c / na ELSE 0 END AS r FROM s)
+    SELECT doc_id, round(p, 9) AS p, round(r, 9) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM r""")
+def pii_leakage_prf(spark: SparkSession, sf: str) -> DataFrame:
+    numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit("[0-9]+"), F.lit(0)))
+    rows = docs(spark, sf).select("doc_id", numbers(F.col("text")).alias("a"), numbers(F.regexp_replace("text", _MAIL, "[UNK]")).alias("b"))
+    s = leakage.set_scores(F.col("a"), F.col("b"))
+    return rows.select("doc_id", F.round(s["precision"], 9).alias("p"), F.round(s["recall"], 9).alias("r"), F.round(s["f1"], 9).alias("f1"))
+
+
+@query("""SELECT a.vec_id, round(list_dot_product([x::DOUBLE FOR x IN a.embedding], [x::DOUBLE FOR x IN b.embedding]), 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def semantic_sim(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", F.round(leakage.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+
+
+@query()
+def pii_census(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.census(detect.detect(docs(spark, sf)))
+
+
+@query()
+def pii_census_by_user(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.census_by_user(detect.detect(table(spark, sf, "conversations").withColumnRenamed("conv_id", "user")))
+
+
+def item_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    b = table(spark, sf, "benchmark")
+    return b.select("item_id", F.col("text").alias("reference")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("candidate")), "item_id")
+
+
+_PAIRS = "(SELECT a.item_id, a.text AS reference, b.text AS candidate FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+
+
+@query(f"SELECT item_id, round(1 - levenshtein(lower(reference), lower(candidate)) / greatest(length(reference), length(candidate)), 9) AS sim FROM {_PAIRS} WHERE regexp_full_match(reference || candidate, '[ -~\\n]*')")
+def levenshtein_sim(spark: SparkSession, sf: str) -> DataFrame:
+    plain = item_pairs(spark, sf).where(F.concat("reference", "candidate").rlike(r"^[ -~\n]*$"))
+    return plain.select("item_id", F.round(utility.levenshtein_similarity(F.col("reference"), F.col("candidate")), 9).alias("sim"))
+
+
+@query(f"""WITH p AS {_PAIRS}, w AS (SELECT item_id, {WORDS.format("lower(reference)")} AS a, {WORDS.format("lower(candidate)")} AS b FROM p),
+    g AS (SELECT item_id, [array_to_string(a[i:i+1], ' ') FOR i IN range(1, len(a))] AS a, [array_to_string(b[i:i+1], ' ') FOR i IN range(1, len(b))] AS b FROM w),
+    c AS (SELECT item_id, g, count(*) AS n, 0 AS side FROM (SELECT item_id, unnest(a) AS g FROM g) GROUP BY ALL UNION ALL SELECT item_id, g, count(*), 1 FROM (SELECT item_id, unnest(b) AS g FROM g) GROUP BY ALL),
+    h AS (SELECT item_id, sum(n) AS n FROM (SELECT item_id, g, min(n) AS n FROM c GROUP BY item_id, g HAVING count(*) = 2) GROUP BY item_id)
+    SELECT g.item_id, round(CASE WHEN len(a) + len(b) > 0 THEN 2.0 * coalesce(h.n, 0) / (len(a) + len(b)) ELSE 0 END, 9) AS f FROM g LEFT JOIN h USING (item_id)""")
+def bigram_f(spark: SparkSession, sf: str) -> DataFrame:
+    return item_pairs(spark, sf).select("item_id", F.round(utility.ngram_f(F.col("reference"), F.col("candidate"), 2), 9).alias("f"))
+
+
+@query()
+def bleu_rouge_ter(spark: SparkSession, sf: str) -> DataFrame:
+    return utility.text_scores(item_pairs(spark, sf)).drop("reference", "candidate")
+
+
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Sure: {"label": ' || (conv_id % 4) || '}' WHEN turn % 3 = 1 THEN '{ ''label'' : ' || turn || ' } {"label": 9}' ELSE text END AS response FROM conversations)
+    SELECT conv_id, turn, coalesce(try_cast(nullif(regexp_extract(response, '\\{\\s*["'']label["'']\\s*:\\s*(\\d+)\\s*\\}', 1), '') AS INT), 100) AS label FROM r""")
+def label_extract(spark: SparkSession, sf: str) -> DataFrame:
+    turn, conv = F.col("turn"), F.col("conv_id")
+    response = F.when(turn % 3 == 0, F.concat(F.lit('Sure: {"label": '), (conv % 4).cast("string"), F.lit("}"))).when(turn % 3 == 1, F.concat(F.lit("{ 'label' : "), turn.cast("string"), F.lit(' } {"label": 9}'))).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", utility.label_of(response).alias("label"))
+
+
+@query()
+def summary_extract(spark: SparkSession, sf: str) -> DataFrame:
+    turn, text = F.col("turn"), F.regexp_replace("text", r"[{}'\"\\\n]", " ")
+    response = F.when(turn % 3 == 0, F.concat(F.lit('{"summary": "'), text, F.lit('"}'))).when(turn % 3 == 1, F.concat(F.lit("{'summary': '"), text, F.lit("'}"))).otherwise(F.concat(F.lit("Summary: '"), text, F.lit("'")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", utility.summary_of(response).alias("summary"))
+
+
+_JUDGED = "(SELECT quality AS truth, CASE WHEN n_chars % 50 = 0 THEN 100 WHEN regexp_matches(text, '[$%&#*|!]{3}|!!') THEN 0 ELSE 1 END AS pred FROM labels JOIN documents USING (doc_id))"
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    pred = F.when(F.col("n_chars") % 50 == 0, utility.UNREAD).when(F.col("text").rlike(r"[$%&#*|!]{3}|!!"), 0).otherwise(1)
+    return table(spark, sf, "labels").join(docs(spark, sf), "doc_id").select(F.col("quality").alias("truth"), pred.alias("pred"))
+
+
+@query(f"""WITH j AS {_JUDGED}, v AS (SELECT * FROM j WHERE pred <> 100), c AS (SELECT c, count_if(truth = c AND pred = c) AS tp, count_if(truth = c) AS s, count_if(pred = c) AS g FROM v, (SELECT DISTINCT unnest([truth, pred]) AS c FROM v) GROUP BY c)
+    SELECT round(sum(tp) / sum(s), 9) AS accuracy, round(sum(2.0 * tp / (s + g) * s) / sum(s), 9) AS weighted_f1, round(avg(2.0 * tp / (s + g)), 9) AS macro_f1, sum(s)::BIGINT AS valid, (SELECT count(*) FROM j) AS total FROM c""")
+def accuracy_f1(spark: SparkSession, sf: str) -> DataFrame:
+    return utility.classification(judged(spark, sf)).select(*[F.round(c, 9).alias(c) for c in ("accuracy", "weighted_f1", "macro_f1")], "valid", "total")
+
+
+@query(f"SELECT truth, pred, count(*) AS n FROM {_JUDGED} GROUP BY truth, pred")
+def confusion_table(spark: SparkSession, sf: str) -> DataFrame:
+    return utility.confusion(judged(spark, sf), exclude_unread=False)
+
+
+@query(f"""WITH {_ROWS}, c AS (SELECT doc_id, pos, token, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isle FROM t WHERE {U("42", "doc_id", "pos", "'change'")} < 0.2)
+    SELECT doc_id, min(pos)::INT AS "index", string_agg(token, ' ' ORDER BY pos) AS original, count(*)::INT AS n FROM c GROUP BY doc_id, isle""")
+def change_groups(spark: SparkSession, sf: str) -> DataFrame:
+    new = F.when(rng.uniform(42, F.col("doc_id"), F.col("pos"), "change") < 0.2, F.concat(F.lit("x"), "token")).otherwise(F.col("token"))
+    groups = restore.change_groups(word_rows(spark, sf).withColumn("new_token", new))
+    return groups.select("doc_id", "index", F.array_join("original_tokens", " ").alias("original"), F.size("indices").alias("n"))
+
+
+@query(f"SELECT conv_id AS doc_id, array_to_string({WORDS.format('text')}, ' ') AS restored FROM conversations WHERE turn = 0")
+def restore_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth word is replaced by a word of its own; a response that repeats the text is restored to the original."""
+    first = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.posexplode(words(F.col("text"))).alias("pos", "token"))
+    tokens = first.withColumn("new_token", F.when(F.col("pos") % 5 == 2, F.concat(F.lit("Zq"), F.col("pos").cast("string"), F.lit("q"))).otherwise(F.col("token")))
+    said = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "new_token"))).alias("t")).select("doc_id", F.array_join(F.transform("t", lambda x: x["new_token"]), " ").alias("response"))
+    return restore.restore(said, restore.change_groups(tokens))
+
+
+@query("SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
+def users_renest(spark: SparkSession, sf: str) -> DataFrame:
+    nested = readers.renested(table(spark, sf, "conversations"), "conv_id", "turn")
+    return nested.select("conv_id", F.transform("comments", lambda c: c["text"]).alias("texts"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '[\r\n\t]+', ' ', 'g'), '\s+', ' ', 'g'), '" ') AS text FROM pages""")
+def text_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", corpus.cleaned(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 END AS label FROM documents WHERE lang IN ('en', 'fr', 'de') AND NOT (lang = 'de' AND source NOT IN ('src1', 'src2'))")
+def domain_filter_map(spark: SparkSession, sf: str) -> DataFrame:
+    rows = docs(spark, sf).select("doc_id", F.col("lang").alias("domain"), F.col("source").alias("document_type"))
+    return corpus.labelled(corpus.chosen(rows, ["en", "fr", "de"], "de", ["src1", "src2"]), "domain", {"en": 0, "fr": 1}).select("doc_id", "label")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return live.windowed(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return live.sessions(table(spark, sf, "events"))
+
+
+@query("SELECT doc_id, text, lang AS ground_truth, text AS perturbed_sentence FROM documents")
+def unsanitized_control(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).select("doc_id", "text", F.col("lang").alias("ground_truth"), F.col("text").alias("perturbed_sentence"))
+
+
+@query()
+def perturbed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole path over benchmark items: detection, budgets, neighbours and draws. The vocabulary is the items' words, each with a vector of
+    the table that its hash picks, which stands in for a trained one."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.count()
+    seen = items.select(F.explode(offsets(F.col("text"))).alias("t")).select(F.lower("t.text").alias("cand")).where(F.col("cand").rlike(r"^\p{L}+$")).distinct()
+    vocab = seen.withColumn("vec_id", F.pmod(F.xxhash64("cand"), F.lit(n))).join(e, "vec_id").select("cand", F.col("embedding").alias("vec"))
+    tokens = risk.budgets(risk.token_rows(detect.detect(items)), PrivacyConfig(epsilon=1.0))
+    return perturb.assembled(perturb.perturb(tokens, vocab, PrivacyConfig(epsilon=1.0)))
+
+
+@query("SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS avg_chars FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())")
+def report_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    return docs(spark, sf).rollup("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("avg_chars"))
+
+
+@query("""SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 5""")
+def longest_by_language(spark: SparkSession, sf: str) -> DataFrame:
+    order = Window.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id")
+    return docs(spark, sf).select("doc_id", F.row_number().over(order).alias("rank")).where("rank <= 5")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
