@@ -28,11 +28,11 @@ class Retrieval:
     the decomposition sees. windows: lengths of windows searched, each moved by a quarter. cosine: least one of a candidate.
     verbatim: share of an item's words, in order, that condemns by itself; paraphrase: the share that does if the answer's
     words are there as well, in order, to the share `answer`. The answer is the item's last fifth, 3 words at least.
-    block: benchmark items searched in one pass."""
+    block: benchmark items searched in one pass. common: a word that a larger share of documents has is common."""
 
     buckets: int = 1 << 15
-    rank: int = 32
-    extra: int = 8
+    rank: int = 16
+    extra: int = 6
     passage: int = 64
     windows: tuple[int, ...] = (20, 36, 56)
     cosine: float = 0.6
@@ -40,39 +40,64 @@ class Retrieval:
     paraphrase: float = 0.7
     answer: float = 0.6
     block: int = 2000
+    common: float = 0.01
 
 
-def bucket_ids(texts: pa.Array, buckets: int) -> Iterator[np.ndarray]:
-    """The buckets of each text's words, in order."""
+def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of each text's words, in order; their low bits are buckets."""
     for (h,) in word_hashes(texts, FOLD, PARTS):
-        yield (h & np.uint64(buckets - 1)).astype(np.int64)
+        yield h
 
 
-def frequencies(docs: DataFrame, config: Retrieval) -> np.ndarray:
-    """Weights of buckets: log of all documents over those that have the bucket. A bounded table, summed by Spark."""
+def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h & np.uint64(buckets - 1)).astype(np.int64)
+
+
+class Lexicon:
+    """The words of some benchmark items, by hash; finds them among a text's words."""
+
+    SLOTS = 22
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.unique(words)
+        self.slots = np.zeros(1 << self.SLOTS, bool)
+        self.slots[(self.words >> np.uint64(64 - self.SLOTS)).astype(np.int64)] = True
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in h words of the lexicon stand, and their numbers."""
+        at = np.flatnonzero(self.slots[(h >> np.uint64(64 - self.SLOTS)).astype(np.int64)])
+        if not len(at):
+            return at, at
+        k = np.minimum(np.searchsorted(self.words, h[at]), len(self.words) - 1)
+        same = self.words[k] == h[at]
+        return at[same], k[same]
+
+
+def frequencies(docs: DataFrame, words: list[np.ndarray], config: Retrieval) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """In how many documents each bucket is; in how many each of the given sorted word hashes is, list by list; all documents.
+    Bounded tables that Spark sums; the driver gets no more than their sizes."""
+    own = docs.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, np.uint64), *words])))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(config.buckets, np.int64), 0
+        lexicon = Lexicon(own.value)
+        df, n = np.zeros(config.buckets + len(lexicon.words), np.int64), 0
         for b in batches:
-            for ids in bucket_ids(b.column("text"), config.buckets):
-                if len(ids):
-                    here = np.zeros(config.buckets, bool) if len(ids) > 2000 else None
-                    if here is None:
-                        df[np.unique(ids)] += 1
-                    else:
-                        here[ids] = True
-                        df += here
+            for h in hashes(b.column("text")):
+                if len(h):
+                    here = np.sort(bucket(h, config.buckets))
+                    df[here[np.flatnonzero(np.diff(here, prepend=-1))]] += 1
+                    df[config.buckets + np.unique(lexicon.places(h)[1])] += 1
                     n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["k", "n"])
 
-    df, n = np.zeros(config.buckets), 0
+    df, n = np.zeros(config.buckets + len(own.value)), 0
     for r in docs.select("text").mapInArrow(counted, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
         if r["k"] < 0:
             n = r["n"]
         else:
             df[r["k"]] = r["n"]
-    return np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
+    return df[: config.buckets], [df[config.buckets + np.searchsorted(own.value, w)] for w in words], n
 
 
 def decompose(docs: DataFrame, idf: np.ndarray, config: Retrieval) -> np.ndarray:
@@ -106,7 +131,7 @@ def decompose(docs: DataFrame, idf: np.ndarray, config: Retrieval) -> np.ndarray
         marks: list[np.ndarray] = []
         n = 0
         for b in batches:
-            for whole in bucket_ids(b.column("text"), config.buckets):
+            for whole in (bucket(h, config.buckets) for h in hashes(b.column("text"))):
                 for at in range(0, len(whole), 1 << 16):
                     ids = whole[at : at + (1 << 16)]
                     held.append(ids)
@@ -150,50 +175,70 @@ def subsequence(item: list[bytes], region: list[bytes]) -> int:
 
 
 class Index:
-    """Benchmark items of one block as latent chunks, by the length of window that suits them."""
+    """Benchmark items of one block as latent chunks, by the length of window that suits them.
+
+    An item that a text leaks shares `paraphrase` of its words with it, and only so many of them can be common ones; so `need`
+    of the item's other words stand close by. Windows around which fewer stand than any item needs are passed over; items of
+    common words only have need 0, and all windows are searched for them. This leaves out nothing that the checks would keep.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], latent: np.ndarray, config: Retrieval):
+    def __init__(self, items: list[tuple[int, str]], rare: np.ndarray, latent: np.ndarray, config: Retrieval):
         self.config, self.latent = config, latent
         self.ids = [i for i, _ in items]
         self.words = [terms(t) for _, t in items]
         self.sets = [set(w) for w in self.words]
-        chunks: dict[int, list[tuple[int, int, np.ndarray]]] = {n: [] for n in config.windows}
-        for k, ids in enumerate(bucket_ids(pa.array([t for _, t in items], pa.string()), config.buckets)):
-            parts = max(1, -(-len(ids) // (config.windows[-1] + 8)))
+        self.rare = Lexicon(rare)
+        chunks: dict[tuple[int, bool], list[tuple[int, int, np.ndarray, int]]] = {}
+        for k, h in enumerate(hashes(pa.array([t for _, t in items], pa.string()))):
+            parts = max(1, -(-len(h) // (config.windows[-1] + 8)))
             for p in range(parts):
-                a, z = len(ids) * p // parts, len(ids) * (p + 1) // parts
-                v = latent[ids[a:z]].sum(axis=0)
+                a, z = len(h) * p // parts, len(h) * (p + 1) // parts
+                v = latent[bucket(h[a:z], config.buckets)].sum(axis=0)
+                need = int(np.ceil(config.paraphrase * len(h))) - (len(h) - len(self.rare.places(h)[0]))
+                need = max(0, need // parts)
                 if (norm := float(np.linalg.norm(v))) > 0:
-                    chunks[min(config.windows, key=lambda n: abs(n - (z - a)))].append((k, a, v / norm))
-        self.chunks = {n: (np.array([c[0] for c in cs]), np.array([c[1] for c in cs]), np.stack([c[2] for c in cs])) for n, cs in chunks.items() if cs}
+                    chunks.setdefault((min(config.windows, key=lambda n: abs(n - (z - a))), need > 0), []).append((k, a, v / norm, need))
+        self.chunks = [(n, guarded, np.array([c[0] for c in cs]), np.array([c[1] for c in cs]), np.stack([c[2] for c in cs]), min(c[3] for c in cs)) for (n, guarded), cs in sorted(chunks.items())]
+        self.least = min((c[5] for c in self.chunks), default=1)
 
-    def search(self, text: Callable[[], str | None], ids: np.ndarray) -> list[tuple[int, float, float, int]]:
+    def search(self, text: Callable[[], str | None], h: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item_id, cosine, share of its words in order, first word of the window) for each item that the text leaks."""
         found: dict[int, tuple[float, float, int]] = {}
+        seen = self.rare.places(h)[0]
+        if not len(h) or len(seen) < self.least:
+            return []
         lowered: list[bytes] | None = None
-        span = 1 << 14
-        for base in range(0, len(ids), span):  # stretches overlap by the longest window
-            part = ids[base : base + span + self.config.windows[-1]]
-            sums = np.zeros((len(part) + 1, self.latent.shape[1]), np.float32)
-            np.cumsum(self.latent[part], axis=0, out=sums[1:])
-            for n, (items, starts, vectors) in self.chunks.items():
-                at = np.arange(0, max(1, len(part) - n + n // 4), n // 4)
-                v = sums[np.minimum(at + n, len(part))] - sums[at]
-                v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-9
-                for row, col in zip(*np.nonzero(v @ vectors.T >= self.config.cosine), strict=True):
+        before = np.zeros(len(h) + 1, np.int64)
+        before[seen + 1] = 1
+        np.cumsum(before, out=before)
+        sums: np.ndarray | None = None
+        for n, guarded, items, starts, vectors, need in self.chunks:
+            at = np.arange(0, max(1, len(h) - n + n // 4), n // 4)
+            if guarded:  # an item reaches two windows to either side at most
+                at = at[before[np.minimum(at + 3 * n, len(h))] - before[np.maximum(at - 2 * n, 0)] >= need]
+                if not len(at):
+                    continue
+            if sums is None:
+                sums = np.zeros((len(h) + 1, self.latent.shape[1]))
+                np.cumsum(self.latent[bucket(h, self.config.buckets)], axis=0, out=sums[1:])
+            v = sums[np.minimum(at + n, len(h))] - sums[at]
+            v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-9
+            for some in range(0, len(at), 4096):
+                near = v[some : some + 4096] @ vectors.T
+                for row, col in zip(*np.nonzero(near >= self.config.cosine), strict=True):
                     k = int(items[col])
                     if k in found:
                         continue
                     if lowered is None:
                         lowered = terms(text())
-                    first = base + int(at[row]) - int(starts[col])
+                    first = int(at[some + row]) - int(starts[col])
                     region = lowered[max(0, first - n // 2) : max(0, first + len(self.words[k]) + n)]
                     if len(self.sets[k].intersection(region)) < self.config.paraphrase * 0.9 * len(self.sets[k]):
                         continue
                     share = subsequence(self.words[k], region) / len(self.words[k])
                     tail = self.words[k][-max(3, len(self.words[k]) // 5) :]
                     if share >= self.config.verbatim or (share >= self.config.paraphrase and subsequence(tail, region) >= self.config.answer * len(tail)):
-                        found[k] = (float(v[row] @ vectors[col]), share, first)
+                        found[k] = (float(near[row, col]), share, first)
         return [(self.ids[k], *x) for k, x in sorted(found.items())]
 
 
@@ -207,8 +252,6 @@ class Decontaminator:
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, config: Retrieval = Retrieval()):
         self.config, self.spark = config, docs.sparkSession
-        self.latent = decompose(docs, idf := frequencies(docs, config), config)
-        del idf
         self.blocks: list[list[tuple[int, str]]] = []
         some: list[tuple[int, str]] = []
         for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
@@ -219,10 +262,14 @@ class Decontaminator:
                     some = []
         if some or not self.blocks:
             self.blocks.append(some)
+        words = [np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes(pa.array([t for _, t in b], pa.string()))])) for b in self.blocks]
+        df, own, n = frequencies(docs, words, config)
+        self.rare = [w[d <= max(1, config.common * n)] for w, d in zip(words, own, strict=True)]
+        self.latent = decompose(docs, (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32), config)
 
     def _shared(self):
         latent = self.spark.sparkContext.broadcast(self.latent)
-        return [(latent, self.spark.sparkContext.broadcast(b)) for b in self.blocks]
+        return [(latent, self.spark.sparkContext.broadcast(b)) for b in zip(self.blocks, self.rare, strict=True)]
 
     def leaks(self, docs: DataFrame) -> DataFrame:
         """(doc_id, item_id, cosine, in_order, first_word): a row for each row of docs (doc_id, text) and item that it leaks."""
@@ -230,9 +277,9 @@ class Decontaminator:
         for latent, block in self._shared():
 
             def found(batches: Iterator[pa.RecordBatch], latent=latent, block=block) -> Iterator[pa.RecordBatch]:
-                index = Index(block.value, latent.value, config)
+                index = Index(*block.value, latent.value, config)
                 for b in batches:
-                    rows = [(doc, *x) for doc, text, ids in zip(b.column("doc_id").to_pylist(), b.column("text"), bucket_ids(b.column("text"), config.buckets), strict=True) for x in index.search(text.as_py, ids)]
+                    rows = [(doc, *x) for doc, text, h in zip(b.column("doc_id").to_pylist(), b.column("text"), hashes(b.column("text")), strict=True) for x in index.search(text.as_py, h)]
                     cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "cosine", "in_order", "first_word"])
 
@@ -246,9 +293,9 @@ class Decontaminator:
         for latent, block in self._shared():
 
             def kept(batches: Iterator[pa.RecordBatch], latent=latent, block=block) -> Iterator[pa.RecordBatch]:
-                index = Index(block.value, latent.value, config)
+                index = Index(*block.value, latent.value, config)
                 for b in batches:
-                    yield b.filter(pa.array([not index.search(t.as_py, ids) for t, ids in zip(b.column("text"), bucket_ids(b.column("text"), config.buckets), strict=True)], pa.bool_()))
+                    yield b.filter(pa.array([not index.search(t.as_py, h) for t, h in zip(b.column("text"), hashes(b.column("text")), strict=True)], pa.bool_()))
 
             docs = docs.mapInArrow(kept, docs.schema)
         return docs
