@@ -67,7 +67,8 @@ def repeated_spans(docs: DataFrame, window: int = 35, core: int = 10) -> DataFra
             yield _batch(parts, ["id", "key", "a", "f", "lo", "hi"], [pa.int64()] * 4 + [pa.int32()] * 2)
 
     found = docs.select("id", "key", "text").mapInArrow(paths, "id long, key long, a long, f long, lo int, hi int")
-    twice = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # Written, so that the join below shuffles both sides for itself and a hot core can be split there.
+    twice = materialize(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "spans-cores")
     met = materialize(found.join(twice, "a", "left_semi"), "spans-met")
     whole = materialize(met.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "lo", "hi")).alias("at")), "spans-paths")
     full = met.join(whole.where("n > 1").select("a", "f"), ["a", "f"], "left_semi").select("id", "key", F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
