@@ -130,6 +130,7 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     root: DataFrame | None = None
     for depth in range(config.deepest):
         size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("digest", "b0", "b1")).alias("other")).where("n > 1")
+        size = materialize(size, "near-sizes")  # so that the join can split a hot node
         live = nodes.join(size, "node")
         live = materialize(with_root(live, root), "near-nodes")
         if not live.head(1):
