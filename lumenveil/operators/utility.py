@@ -46,9 +46,7 @@ def ngram_f(reference: Column, candidate: Column, n: int) -> Column:
 def text_scores(pairs: DataFrame) -> DataFrame:
     """Adds bleu, rouge1, rouge2, rougeL and ter to rows (reference, candidate); exact sequence measures need programs, so Arrow
     batches are scored by plain functions (functions/scores.py). Nulls count as empty."""
-    schema = pairs.schema
-    for c in ("bleu", "rouge1", "rouge2", "rougeL", "ter"):
-        schema = schema.add(c, "double")
+    schema = T.StructType([*pairs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("bleu", "rouge1", "rouge2", "rougeL", "ter")]])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

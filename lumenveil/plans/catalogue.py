@@ -264,8 +264,8 @@ def rantext_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 
 _BETA = "(delta / (0.01658 * ln(19.0647 * 8 - 38.1294) + 9.3111))"
 _RADIUS = f"""s AS (SELECT generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x FROM embeddings), b AS (SELECT dim, max(x)::DOUBLE - min(x)::DOUBLE AS delta FROM s GROUP BY dim),
-    z AS (SELECT vec_id AS query, {_BETA} AS beta, greatest({U("42", "vec_id", "dim", "'laplace'")}, 1e-15) - 0.5 AS at FROM embeddings, b),
-    r AS (SELECT query, sqrt(sum(pow(beta * sign(at) * ln(1 - 2 * abs(at)), 2))) AS radius FROM z GROUP BY query)"""
+    z AS (SELECT vec_id AS query, {_BETA} AS beta, greatest({U("42", "vec_id", "dim", "'laplace'")}, 1e-15) - 0.5 AS pt FROM embeddings, b),
+    r AS (SELECT query, sqrt(sum(pow(beta * sign(pt) * ln(1 - 2 * abs(pt)), 2))) AS radius FROM z GROUP BY query)"""
 
 
 @query(f"WITH {_RADIUS} SELECT query, round(radius, 6) AS radius FROM r")
