@@ -328,7 +328,7 @@ def mask_inference_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {_ROWS} SELECT doc_id, round(count_if(NOT lower(token) IN ({STOP_SQL})) / count(*), 9) AS rate FROM t GROUP BY doc_id""")
 def unsanitized_upper_bound(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", F.round(attacks.unsanitized_rate(words(F.col("text"))), 9).alias("rate")).where(F.size(words(F.lit("x"))) > 0)
+    return docs(spark, sf).select("doc_id", F.round(attacks.unsanitized_rate(words(F.col("text"))), 9).alias("rate"))
 
 
 @query("""WITH o AS (SELECT label AS doc_id, vec_id, embedding AS v FROM embeddings WHERE vec_id % 4 = 0), n AS (SELECT label AS doc_id, embedding AS v FROM embeddings WHERE vec_id % 4 = 1),
@@ -448,7 +448,7 @@ def confusion_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_ROWS}, c AS (SELECT doc_id, pos, token, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS isle FROM t WHERE {U("42", "doc_id", "pos", "'change'")} < 0.2)
-    SELECT doc_id, min(pos)::INT AS "index", string_agg(token, ' ' ORDER BY pos) AS original, count(*)::INT AS n FROM c GROUP BY doc_id, isle""")
+    SELECT doc_id, min(pos)::INT AS "index", string_agg(replace(token, '##', ''), ' ' ORDER BY pos) AS original, count(*)::INT AS n FROM c GROUP BY doc_id, isle""")
 def change_groups(spark: SparkSession, sf: str) -> DataFrame:
     new = F.when(rng.uniform(42, F.col("doc_id"), F.col("pos"), "change") < 0.2, F.concat(F.lit("x"), "token")).otherwise(F.col("token"))
     groups = restore.change_groups(word_rows(spark, sf).withColumn("new_token", new))
