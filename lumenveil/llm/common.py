@@ -127,20 +127,17 @@ def row_key() -> Column:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Distributed union-find over edges (a, b): one row (id, root) for each node that has an edge; root is the least id reachable.
 
-    Each round hooks every root onto the least root next to it and then halves paths by a lookup of the parent's parent.
-    All steps are joins and partially aggregated minima; a hot node's edges are split by the skew join, never gathered.
-    Each round's labels are written to the shared folder.
+    Each round takes the least label among a node's neighbours and then halves paths by a lookup of the label's own label; it
+    ends when nothing changes, so when the ends of all edges agree. All steps are joins and partially aggregated minima; a hot
+    node's edges are split by the skew join, never gathered. Each round's labels are written to the shared folder.
     """
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, f"{name}-edges")
     label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-root")
     while True:
-        # The least label among a node's neighbours, offered to the node's own root.
-        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        seen = label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "theirs").alias("best"))
-        hook = seen.groupBy(F.col("root").alias("id")).agg(F.min("best").alias("hooked"))
-        lower = seen.join(hook, "id", "left").select("id", F.col("root").alias("was"), F.least("best", F.coalesce("hooked", "best")).alias("root"))
-        up = lower.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("theirs")), "b").groupBy(F.col("a").alias("id")).agg(F.min("theirs").alias("theirs"))
+        lower = label.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "theirs").alias("root"))
+        up = label.select(F.col("id").alias("root"), F.col("root").alias("above"))
         jumped = materialize(lower.join(up, "root", "left").select("id", "was", F.least("root", F.coalesce("above", "root")).alias("root")), f"{name}-root")
         label = jumped.select("id", "root")
         if not jumped.where("was <> root").head(1):

@@ -145,14 +145,13 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         pairs = first.where(close(config)).select(F.col("digest").alias("b"), F.col("other.digest").alias("a")).distinct()
         pairs = materialize(pairs.select("a", "b").join(star, ["a", "b"], "left_anti"), "near-pairs")
         texts = texts_of(star.union(pairs), classes, rows)
-        for some in (star, pairs):
-            edges, root = linked(some, texts, edges, root, config)
+        edges, root = linked([(star, texts)], edges, root, config)
         rooted = with_root(live.where(F.col("n") > config.tiny).drop("root"), root)
         mixed = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
         rooted = materialize(rooted.join(mixed, "node", "left_semi").select("node", "digest", "b0", "b1", "n", "root"), "near-mixed")
         middle = rooted.where(F.col("n") <= config.small).select("node", "digest", "b0", "b1", "root").repartition("node").sortWithinPartitions("node")
         middle = materialize(middle.mapInArrow(within(config), "a binary, b binary").distinct(), "near-pairs")
-        edges, root = linked(middle, texts_of(middle, classes, rows), edges, root, config)
+        edges, root = linked([(pairs, texts), (middle, texts_of(middle, classes, rows))], edges, root, config)
         wide = rooted.where(F.col("n") > config.small).select("node", "digest", "b0", "b1")
         rate = F.lit(config.early[depth]) if depth < len(config.early) else F.lit(100 // config.least) + (F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(config.least)) < 100 % config.least).cast("int")
         picks = F.transform(F.sequence(F.lit(1), rate), lambda k: F.pmod(F.xxhash64("node", k), F.lit(config.coords)).cast("int"))
@@ -180,14 +179,17 @@ def texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame
     return materialize(own.join(need, ["_id", "_key"]).select("digest", "text").dropDuplicates(["digest"]), "near-texts")
 
 
-def linked(pairs: DataFrame, texts: DataFrame | None, edges: DataFrame | None, root: DataFrame | None, config: Join) -> tuple[DataFrame | None, DataFrame | None]:
-    """Edges and components with those of pairs that hold and are not in one component yet."""
-    if texts is None:
+def linked(some: list[tuple[DataFrame, DataFrame | None]], edges: DataFrame | None, root: DataFrame | None, config: Join) -> tuple[DataFrame | None, DataFrame | None]:
+    """Edges and components with those of the pairs that hold and are not in one component yet; some: pairs with their texts."""
+    new = None
+    for pairs, texts in some:
+        if texts is not None:
+            found = materialize(verified(pairs if root is None else apart_only(pairs, root), texts, config), "near-links")
+            if found.head(1):
+                new = found if new is None else new.union(found)
+    if new is None:
         return edges, root
-    found = materialize(verified(pairs if root is None else apart_only(pairs, root), texts, config), "near-links")
-    if not found.head(1):
-        return edges, root
-    edges = found if edges is None else edges.union(found)
+    edges = new if edges is None else edges.union(new)
     return edges, components(edges, "near")
 
 
