@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import resources as R
+from .. import api, resources as R
 from ..config import PrivacyConfig
 from ..functions import rng
 from ..functions.spans import mask
@@ -120,7 +120,10 @@ def custom_rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     return hits.groupBy("doc_id", F.lower("h.text").alias("rule"), F.col("h.level").alias("level")).agg(F.count("*").alias("hits"))
 
 
-@query()
+_LEVELS = [("(?:^|[^0-9])(1[0-9]{10})(?:[^0-9]|$)", 5, 1), (r"https?://[a-zA-Z0-9./?=&_-]+|www\.[a-zA-Z0-9./?=&_-]+", 3, 0), (r"(?i)[\pL\pN_]+\.(xlsx|pdf|docx?|pptx?|zip|rar)", 5, 0), ("[0-9]+", 3, 0)]
+
+
+@query("SELECT doc_id, level, sum(n)::BIGINT AS hits FROM (" + " UNION ALL ".join(f"SELECT doc_id, {level} AS level, len(regexp_extract_all(text, '{p}', {g})) AS n FROM documents" for p, level, g in _LEVELS) + ") WHERE n > 0 GROUP BY doc_id, level")
 def interactive_levels(spark: SparkSession, sf: str) -> DataFrame:
     hits = docs(spark, sf).select("doc_id", F.explode(detect.interactive_rules(F.coalesce("text", F.lit("")))).alias("h"))
     return hits.groupBy("doc_id", F.col("h.level").alias("level")).agg(F.count("*").alias("hits"))
@@ -497,15 +500,24 @@ def unsanitized_control(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", "text", F.col("lang").alias("ground_truth"), F.col("text").alias("perturbed_sentence"))
 
 
-@query()
-def perturbed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole path over benchmark items: detection, budgets, neighbours and draws. The vocabulary is the items' words, each with a vector of
-    the table that its hash picks, which stands in for a trained one."""
+def item_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items as documents, and their words with vectors that a hash picks, which stand in for trained ones."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     n = e.count()
     seen = items.select(F.explode(offsets(F.col("text"))).alias("t")).select(F.lower("t.text").alias("cand")).where(F.col("cand").rlike(r"^\p{L}+$")).distinct()
-    vocab = seen.withColumn("vec_id", F.pmod(F.xxhash64("cand"), F.lit(n))).join(e, "vec_id").select("cand", F.col("embedding").alias("vec"))
+    return items, seen.withColumn("vec_id", F.pmod(F.xxhash64("cand"), F.lit(n))).join(e, "vec_id").select("cand", F.col("embedding").alias("vec"))
+
+
+@query()
+def highmask_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return api.high_mask(*item_words(spark, sf), PrivacyConfig(epsilon=1.0))
+
+
+@query()
+def perturbed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole path over benchmark items: detection, budgets, neighbours and draws."""
+    items, vocab = item_words(spark, sf)
     tokens = risk.budgets(risk.token_rows(detect.detect(items)), PrivacyConfig(epsilon=1.0))
     return perturb.assembled(perturb.perturb(tokens, vocab, PrivacyConfig(epsilon=1.0)))
 
