@@ -286,7 +286,11 @@ def rantext_adjacency(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("query").agg(F.count("*").alias("n"), F.round(F.max("prob"), 6).alias("top"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT vec_id AS query, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    z AS (SELECT query, i, x, -ln(greatest({U("42", "query", "i", "'gamma'")}, 1e-15)) AS g, sqrt(-2 * ln(greatest({U("42", "query", "i", "'n1'")}, 1e-15))) * cos(2 * pi() * {U("42", "query", "i", "'n2'")}) AS w FROM e),
+    y AS (SELECT query, i, x + w * (sum(g) OVER q * 0.01 / sqrt(sum(w * w) OVER q)) AS v FROM z WINDOW q AS (PARTITION BY query)), s AS (SELECT query, list(v ORDER BY i) AS v FROM y GROUP BY query),
+    d AS (SELECT query, vec_id AS cand, round(list_distance(v, [x::DOUBLE FOR x IN embedding]), 12) AS d FROM s, embeddings)
+    SELECT query, cand FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, cand) AS k FROM d) WHERE k = 1""")
 def snd_project(spark: SparkSession, sf: str) -> DataFrame:
     queries, vocab = vectors(spark, sf)
     noisy = queries.select("query", mechanisms.sphere_noise(F.col("vec"), 64, 1.0, 42, F.col("query")).alias("vec"))
@@ -424,7 +428,7 @@ def label_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", utility.label_of(response).alias("label"))
 
 
-@query()
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(text, '[{}''"\\\n]', ' ', 'g')) AS summary FROM conversations""")
 def summary_extract(spark: SparkSession, sf: str) -> DataFrame:
     turn, text = F.col("turn"), F.regexp_replace("text", r"[{}'\"\\\n]", " ")
     response = F.when(turn % 3 == 0, F.concat(F.lit('{"summary": "'), text, F.lit('"}'))).when(turn % 3 == 1, F.concat(F.lit("{'summary': '"), text, F.lit("'}"))).otherwise(F.concat(F.lit("Summary: '"), text, F.lit("'")))
