@@ -178,8 +178,8 @@ class Index:
     """Benchmark items of one block as latent chunks, by the length of window that suits them.
 
     An item that a text leaks shares `paraphrase` of its words with it, and only so many of them can be common ones; so `need`
-    of the item's other words stand close by. Windows around which fewer stand than any item needs are passed over; items of
-    common words only have need 0, and all windows are searched for them. This leaves out nothing that the checks would keep.
+    of its other words stand in the text, close together. Items are searched where theirs do; those that may be made up
+    of common words, everywhere. This leaves out nothing that the checks would keep.
     """
 
     def __init__(self, items: list[tuple[int, str]], rare: np.ndarray, latent: np.ndarray, config: Retrieval):
@@ -188,58 +188,90 @@ class Index:
         self.words = [terms(t) for _, t in items]
         self.sets = [set(w) for w in self.words]
         self.rare = Lexicon(rare)
-        chunks: dict[tuple[int, bool], list[tuple[int, int, np.ndarray, int]]] = {}
+        self.chunks: list[list[tuple[int, int, np.ndarray]]] = []  # of each item: length of window, first word, unit vector
+        need, pairs = [], []
         for k, h in enumerate(hashes(pa.array([t for _, t in items], pa.string()))):
-            parts = max(1, -(-len(h) // (config.windows[-1] + 8)))
+            own = self.rare.places(h)[1]
+            need.append(int(np.ceil(config.paraphrase * len(h))) - (len(h) - len(own)))
+            if need[-1] > 0:
+                pairs += [(w, k) for w in set(own.tolist())]
+            parts, mine = max(1, -(-len(h) // (config.windows[-1] + 8))), []
             for p in range(parts):
                 a, z = len(h) * p // parts, len(h) * (p + 1) // parts
                 v = latent[bucket(h[a:z], config.buckets)].sum(axis=0)
-                need = int(np.ceil(config.paraphrase * len(h))) - (len(h) - len(self.rare.places(h)[0]))
-                need = max(0, need // parts)
                 if (norm := float(np.linalg.norm(v))) > 0:
-                    chunks.setdefault((min(config.windows, key=lambda n: abs(n - (z - a))), need > 0), []).append((k, a, v / norm, need))
-        self.chunks = [(n, guarded, np.array([c[0] for c in cs]), np.array([c[1] for c in cs]), np.stack([c[2] for c in cs]), min(c[3] for c in cs)) for (n, guarded), cs in sorted(chunks.items())]
-        self.least = min((c[5] for c in self.chunks), default=1)
+                    mine.append((min(config.windows, key=lambda n: abs(n - (z - a))), a, v / norm))
+            self.chunks.append(mine)
+        self.need = np.array(need, np.int64)
+        self.span = np.array([len(w) + 2 * config.windows[-1] for w in self.words], np.int64)
+        self.open = [k for k, n in enumerate(need) if n <= 0]
+        pairs.sort()
+        self.item = np.array([k for _, k in pairs], np.int64)
+        self.first = np.searchsorted(np.array([w for w, _ in pairs], np.int64), np.arange(len(self.rare.words) + 1))
+
+    def spots(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Stretches of words, by item, in which enough of its rare words stand close together; all for items without."""
+        out: dict[int, list[tuple[int, int]]] = {k: [(0, len(h))] for k in self.open}
+        at, word = self.rare.places(h)
+        if not len(at):
+            return out
+        count = self.first[word + 1] - self.first[word]
+        item = self.item[np.repeat(self.first[word] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        at = np.repeat(at, count)
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        last = np.arange(len(item)) + self.need[item] - 1
+        inside = np.minimum(last, len(item) - 1)
+        good = np.flatnonzero((last < len(item)) & (item[inside] == item) & (at[inside] - at <= self.span[item]))
+        for k, lo, hi in zip(item[good].tolist(), at[good].tolist(), at[inside[good]].tolist(), strict=True):
+            mine = out.setdefault(k, [])
+            reach = len(self.words[k]) + self.config.windows[-1]
+            if mine and lo - reach <= mine[-1][1]:
+                mine[-1] = (mine[-1][0], min(len(h), hi + reach))
+            else:
+                mine.append((max(0, lo - reach), min(len(h), hi + reach)))
+        return out
 
     def search(self, text: Callable[[], str | None], h: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item_id, cosine, share of its words in order, first word of the window) for each item that the text leaks."""
-        found: dict[int, tuple[float, float, int]] = {}
-        seen = self.rare.places(h)[0]
-        if not len(h) or len(seen) < self.least:
+        spots = self.spots(h)
+        if not spots or not len(h):
             return []
+        found: list[tuple[int, float, float, int]] = []
+        ids = bucket(h, self.config.buckets)
         lowered: list[bytes] | None = None
-        before = np.zeros(len(h) + 1, np.int64)
-        before[seen + 1] = 1
-        np.cumsum(before, out=before)
-        sums: np.ndarray | None = None
-        for n, guarded, items, starts, vectors, need in self.chunks:
-            at = np.arange(0, max(1, len(h) - n + n // 4), n // 4)
-            if guarded:  # an item reaches two windows to either side at most
-                at = at[before[np.minimum(at + 3 * n, len(h))] - before[np.maximum(at - 2 * n, 0)] >= need]
-                if not len(at):
-                    continue
-            if sums is None:
-                sums = np.zeros((len(h) + 1, self.latent.shape[1]))
-                np.cumsum(self.latent[bucket(h, self.config.buckets)], axis=0, out=sums[1:])
-            v = sums[np.minimum(at + n, len(h))] - sums[at]
-            v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-9
-            for some in range(0, len(at), 4096):
-                near = v[some : some + 4096] @ vectors.T
-                for row, col in zip(*np.nonzero(near >= self.config.cosine), strict=True):
-                    k = int(items[col])
-                    if k in found:
-                        continue
-                    if lowered is None:
-                        lowered = terms(text())
-                    first = int(at[some + row]) - int(starts[col])
-                    region = lowered[max(0, first - n // 2) : max(0, first + len(self.words[k]) + n)]
-                    if len(self.sets[k].intersection(region)) < self.config.paraphrase * 0.9 * len(self.sets[k]):
-                        continue
-                    share = subsequence(self.words[k], region) / len(self.words[k])
-                    tail = self.words[k][-max(3, len(self.words[k]) // 5) :]
-                    if share >= self.config.verbatim or (share >= self.config.paraphrase and subsequence(tail, region) >= self.config.answer * len(tail)):
-                        found[k] = (float(near[row, col]), share, first)
-        return [(self.ids[k], *x) for k, x in sorted(found.items())]
+        for k in sorted(spots):
+            best: tuple[int, float, float, int] | None = None
+            for lo, hi in spots[k]:
+                sums = np.zeros((hi - lo + 1, self.latent.shape[1]))
+                np.cumsum(self.latent[ids[lo:hi]], axis=0, out=sums[1:])
+                for n, start, vector in self.chunks[k]:
+                    at = np.arange(0, max(1, hi - lo - n + n // 4), n // 4)
+                    v = sums[np.minimum(at + n, hi - lo)] - sums[at]
+                    near = v @ vector / (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-9)
+                    for row in np.flatnonzero(near >= self.config.cosine).tolist():
+                        if lowered is None:
+                            lowered = terms(text())
+                        first = lo + int(at[row]) - start
+                        best = self.judged(k, lowered, first, n, float(near[row]))
+                        if best:
+                            break
+                    if best:
+                        break
+                if best:
+                    found.append(best)
+                    break
+        return found
+
+    def judged(self, k: int, lowered: list[bytes], first: int, n: int, near: float) -> tuple[int, float, float, int] | None:
+        region = lowered[max(0, first - n // 2) : max(0, first + len(self.words[k]) + n)]
+        if len(self.sets[k].intersection(region)) < self.config.paraphrase * 0.9 * len(self.sets[k]):
+            return None
+        share = subsequence(self.words[k], region) / len(self.words[k])
+        tail = self.words[k][-max(3, len(self.words[k]) // 5) :]
+        if share >= self.config.verbatim or (share >= self.config.paraphrase and subsequence(tail, region) >= self.config.answer * len(tail)):
+            return self.ids[k], near, share, first
+        return None
 
 
 class Decontaminator:
