@@ -40,7 +40,7 @@ class Retrieval:
     paraphrase: float = 0.7
     answer: float = 0.6
     block: int = 2000
-    common: float = 0.01
+    common: float = 0.1
 
 
 def hashes(texts: pa.Array) -> Iterator[np.ndarray]:
