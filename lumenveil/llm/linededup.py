@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from .quality import bind
 
 @dataclass(frozen=True)
 class Lines:
-    """chars: characters of a shingle; one starts at each word. rows: minwise shingles of a band. bands: of a line; with 3 and 6,
+    """chars: characters of a shingle; one starts at each character. rows: minwise shingles of a band. bands: of a line; with 3 and 6,
     a pair of similarity 0.8 shares a band with probability 0.986, one of 0.9 with 0.9996. least: similarity in hundredths.
     small: lines of a band that are all held against each other."""
 
@@ -24,10 +25,25 @@ class Lines:
     small: int = 24
 
 
-def shingles(line: Column, chars: int) -> Column:
-    """Stretches of `chars` characters from the start of each word on, the last ones shorter; words are parted by spaces here."""
-    words = F.split(line, " ")
-    return bind(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(1))), lambda x, i: F.substring(F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)), 1, chars)))
+def shingles(line: Column, chars: int, of: Callable[[Column], Column] = lambda x: x) -> Column:
+    """`of` each stretch of `chars` characters of a line, from every position on; a shorter line is one stretch.
+
+    Lines are cut into overlapping pieces of pieces first, as the cost of a stretch grows with the characters before it."""
+
+    def pieces(text: Column, size: int) -> Column:
+        n = F.greatest(F.ceil((F.length(text) - (chars - 1)) / size), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size + chars - 1)))
+
+    def each(text: Column) -> Column:
+        n = F.greatest(F.length(text) - (chars - 1), F.lit(1))
+        return F.transform(F.sequence(F.lit(1), n), lambda i: of(F.substring(text, i, F.lit(chars))))
+
+    return F.flatten(F.transform(pieces(line, 4096), lambda p: F.flatten(F.transform(pieces(p, 64), each))))
+
+
+def hashed(line: Column, chars: int) -> Column:
+    """Hashes of a line's shingles, each once."""
+    return F.array_distinct(shingles(line, chars, lambda x: F.xxhash64(x)))
 
 
 def bands(line: Column, config: Lines) -> Column:
@@ -47,7 +63,7 @@ def bands(line: Column, config: Lines) -> Column:
 
         return bind(first, keys)
 
-    return bind(F.array_sort(F.array_distinct(F.transform(shingles(line, config.chars), lambda x: F.xxhash64(x)))), of)
+    return bind(F.sort_array(hashed(line, config.chars)), of)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

@@ -331,3 +331,18 @@ def test_pipeline_stages(spark, docs):
     assert not ids & {1000, 1001, 1002, 1009} and len(ids) > 100
     packed = corpus_pipeline.STAGES[-1][1](spark, held, SF)
     assert {r["doc_id"] for r in packed.collect()} == ids
+
+
+def test_op5_shingles_of_whole_lines(spark):
+    """Full character shingles of every position, against all pairs."""
+    base = "the quick brown fox jumps over the lazy dog while seven wizards mix a potion of strange herbs in the cellar tonight"
+    cjk = "".join(chr(0x4E00 + i * 37 % 900) for i in range(120))
+    lines = ["https://www.example.com/a", "https://www.other.org/zzz", "International cooperation", "International agreements", "name of row\t1\t2\t3 and more here", "name of row\t9\t8\t7 quite other", "short", "short", "shore"]
+    lines += [base, base + "!", base.replace("quick", "quack"), "X" + base[1:], cjk, "中" + cjk[1:], cjk[:60] + cjk[:60][::-1], "é" * 10, "x" * 9000, "x" * 9000 + "y"]
+    lines += ["".join(chr(97 + (i * i + i // 7) % 26) for i in range(5000)), "".join(chr(97 + (i * i + i // 7) % 26) for i in range(4999)) + "?"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = [frozenset(x[i : i + 12] for i in range(max(1, len(x) - 11))) for x in lines]
+    assert [frozenset(r["s"]) for r in df.orderBy("doc_id").select(linededup.shingles(F.col("text"), 12).alias("s")).collect()] == want
+    comp = joined(want, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df).collect()}
+    assert {i: c for i, c in enumerate(comp) if i != c} == got and {10, 12, 14} <= set(got) and not {1, 3, 5} & set(got)
