@@ -80,8 +80,9 @@ def surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:
     Rows that repeat in full share all their lines and their fate: they are the same place. Null doc_ids come first.
 
     Equal lines are one from the start, summed up before the shuffle, so a line that a third of the rows have costs a row.
-    Every line of a band is held against the band's least line; where that leaves several components in a band, all pairs of
-    a small band, and in a large one the rest against the least line outside, until nothing new is found.
+    Every line of a band is held against the band's least line. Where that leaves several components in a band, all pairs of
+    a small band are compared; the lines of all such large bands go through an exact join together: two lines alike share one
+    of their rarest shingles (prefixes()). So no pair of a band is lost.
     """
     lines = lines_of(docs)
     places = lines.select("doc_id", "key", "line_no", "id")
@@ -101,15 +102,18 @@ def surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:
     if more.head(1):
         edges = edges.union(more)
         root = components(edges, "line")
-    large = met.where(F.col("n") > config.small).select("band", "id", "least")
-    while large.head(1):
-        known = root.select("id", "root")
-        rooted = large.join(known, "id", "left").withColumn("root", F.coalesce("root", "id")).join(known.select(F.col("id").alias("least"), F.col("root").alias("its")), "least", "left").withColumn("its", F.coalesce("its", "least"))
-        outside = rooted.where("root <> its").select("band", "id")
-        large = materialize(outside.join(outside.groupBy("band").agg(F.min("id").alias("least")), "band"), "line-large")
-        more = materialize(verified(_apart(large.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct(), root), texts, config), "line-links")
-        if not more.head(1):
-            break
+    rooted = rooted_lines(met.where(F.col("n") > config.small).select("band", "id"), root)
+    open_ = mixed(rooted, "band").select("id").distinct().join(texts, "id")
+    posts = materialize(prefixes(open_, config), "line-posts")
+    hubs = rooted_lines(posts, root)
+    hubs = mixed(hubs, "t").join(posts.groupBy("t").agg(F.min("id").alias("least")), "t").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+    more = materialize(verified(_apart(hubs, root), texts, config), "line-links")
+    if more.head(1):
+        edges = edges.union(more)
+        root = components(edges, "line")
+    rest = materialize(mixed(rooted_lines(posts, root), "t"), "line-posts")
+    more = materialize(verified(materialize(met_in_prefixes(rest, config), "line-pairs"), texts, config), "line-links")
+    if more.head(1):
         edges = edges.union(more)
         root = components(edges, "line")
     rooted = places.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -127,6 +131,38 @@ def verified(pairs: DataFrame, texts: DataFrame, config: Lines) -> DataFrame:
     return both.where(100 * F.col("common") >= config.least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def rooted_lines(lines: DataFrame, root: DataFrame) -> DataFrame:
+    return lines.join(root.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def mixed(rooted: DataFrame, by: str) -> DataFrame:
+    """Rows whose group has lines of several components."""
+    several = rooted.groupBy(by).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select(by)
+    return rooted.join(several, by, "left_semi")
+
+
+def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
+    """(t, id, n, i): the rarest shingles of lines (id, line), by hash, with their place among the line's n by rarity.
+
+    Two sets of similarity `least` hundredths or more share a member of both prefixes of n * (100 - least) / 100 + 1 members,
+    in any one order of all members; the rarest first makes the fewest meet.
+    """
+    sets = materialize(lines.select("id", hashed(F.col("line"), config.chars).alias("s")), "line-sets")
+    members = sets.select("id", F.explode("s").alias("t"))
+    often = materialize(members.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"), "line-often")
+    listed = members.join(often, "t", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "t"))).alias("s"))
+    some = listed.select("id", F.size("s").alias("n"), F.posexplode(F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)).alias("i", "x"))
+    return some.where("x.f > 1").select("x.t", "id", "n", "i")
+
+
+def met_in_prefixes(posts: DataFrame, config: Lines) -> DataFrame:
+    """Pairs (a, b) of lines of different components that share a prefix member and whose sets can still be alike: what they
+    share stands from their first common member on."""
+    one, two = posts.select("t", F.col("id").alias("a"), F.col("root").alias("p"), F.col("n").alias("x"), F.col("i").alias("j")), posts.select("t", F.col("id").alias("b"), F.col("root").alias("q"), F.col("n").alias("y"), F.col("i").alias("k"))
+    enough = (100 + config.least) * F.least(F.col("x") - F.col("j"), F.col("y") - F.col("k")) >= config.least * (F.col("x") + F.col("y"))
+    return one.join(two, "t").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & enough).select("a", "b").distinct()
+
+
 def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(root.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))

@@ -346,3 +346,20 @@ def test_op5_shingles_of_whole_lines(spark):
     comp = joined(want, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
     got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df).collect()}
     assert {i: c for i, c in enumerate(comp) if i != c} == got and {10, 12, 14} <= set(got) and not {1, 3, 5} & set(got)
+
+
+def test_op5_compares_large_bands_in_full(spark):
+    """Pairs alike among lines that share bands with many lines of their template, against all pairs."""
+    rng = np.random.default_rng(3)
+    some = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    template, lines = some(150), []
+    for i in range(300):
+        own = some(30)
+        lines += [template + own] if i % 60 else [template + own, template + own[:-6] + some(6)]
+    lines = [lines[i] for i in rng.permutation(len(lines))]
+    comp = joined([frozenset(x[i : i + 12] for i in range(len(x) - 11)) for x in lines], lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    want = {i: c for i, c in enumerate(comp) if i != c}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert len(want) == 5
+    got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df).collect()}
+    assert got == want
