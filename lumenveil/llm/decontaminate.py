@@ -25,7 +25,8 @@ def terms(text: str | None) -> list[bytes]:
 @dataclass(frozen=True)
 class Retrieval:
     """buckets: hashed vocabulary. rank: latent dimensions; extra: more of them in the sketch. passage: words of a passage that
-    the decomposition sees. windows: lengths of windows searched, each moved by a quarter. cosine: least one of a candidate.
+    the decomposition sees. windows: lengths of windows searched, each moved by a quarter; items below the least length have their own.
+    short: items of fewer words are searched verbatim.
     verbatim: share of an item's words, in order, that condemns by itself; paraphrase: the share that does if the answer's
     words are there as well, in order, to the share `answer`. The answer is the item's last fifth, 3 words at least.
     block: benchmark items searched in one pass. common: a word that a larger share of documents has is common."""
@@ -35,7 +36,7 @@ class Retrieval:
     extra: int = 6
     passage: int = 64
     windows: tuple[int, ...] = (20, 36, 56)
-    cosine: float = 0.6
+    short: int = 5
     verbatim: float = 0.85
     paraphrase: float = 0.7
     answer: float = 0.6
@@ -186,13 +187,14 @@ class Index:
         self.config, self.latent = config, latent
         self.ids = [i for i, _ in items]
         self.words = [terms(t) for _, t in items]
-        self.sets = [set(w) for w in self.words]
         self.rare = Lexicon(rare)
+        self.hashes: list[np.ndarray] = []
         self.chunks: list[list[tuple[int, int, np.ndarray]]] = []  # of each item: length of window, first word, unit vector
         need, pairs = [], []
         for k, h in enumerate(hashes(pa.array([t for _, t in items], pa.string()))):
             own = self.rare.places(h)[1]
-            need.append(int(np.ceil(config.paraphrase * len(h))) - (len(h) - len(own)))
+            self.hashes.append(h)
+            need.append(self.least(k) - (len(h) - len(own)))
             if need[-1] > 0:
                 pairs += [(w, k) for w in set(own.tolist())]
             parts, mine = max(1, -(-len(h) // (config.windows[-1] + 8))), []
@@ -202,6 +204,7 @@ class Index:
                 if (norm := float(np.linalg.norm(v))) > 0:
                     mine.append((min(config.windows, key=lambda n: abs(n - (z - a))), a, v / norm))
             self.chunks.append(mine)
+        self.own = [np.unique(h) for h in self.hashes]
         self.need = np.array(need, np.int64)
         self.span = np.array([len(w) + 2 * config.windows[-1] for w in self.words], np.int64)
         self.open = [k for k, n in enumerate(need) if n <= 0]
@@ -209,6 +212,11 @@ class Index:
         self.item = np.array([k for _, k in pairs], np.int64)
         self.first = np.searchsorted(np.array([w for w, _ in pairs], np.int64), np.arange(len(self.rare.words) + 1))
 
+    def least(self, k: int) -> int:
+        """How many of an item's words a text that leaks it has at least: all of a short item."""
+        m = len(self.words[k])
+        return m if m < self.config.short else int(np.ceil(self.config.paraphrase * m - 1e-9))
+
     def spots(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Stretches of words, by item, in which enough of its rare words stand close together; all for items without."""
         out: dict[int, list[tuple[int, int]]] = {k: [(0, len(h))] for k in self.open}
@@ -234,39 +242,59 @@ class Index:
 
     def search(self, text: Callable[[], str | None], h: np.ndarray) -> list[tuple[int, float, float, int]]:
         """(item_id, cosine, share of its words in order, first word of the window) for each item that the text leaks."""
-        spots = self.spots(h)
-        if not spots or not len(h):
-            return []
         found: list[tuple[int, float, float, int]] = []
-        ids = bucket(h, self.config.buckets)
+        spots = self.spots(h) if len(h) else {}
         lowered: list[bytes] | None = None
         for k in sorted(spots):
-            best: tuple[int, float, float, int] | None = None
             for lo, hi in spots[k]:
-                sums = np.zeros((hi - lo + 1, self.latent.shape[1]))
-                np.cumsum(self.latent[ids[lo:hi]], axis=0, out=sums[1:])
-                for n, start, vector in self.chunks[k]:
-                    at = np.arange(0, max(1, hi - lo - n + n // 4), n // 4)
-                    v = sums[np.minimum(at + n, hi - lo)] - sums[at]
-                    near = v @ vector / (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-9)
-                    for row in np.flatnonzero(near >= self.config.cosine).tolist():
-                        if lowered is None:
-                            lowered = terms(text())
-                        first = lo + int(at[row]) - start
-                        best = self.judged(k, lowered, first, n, float(near[row]))
-                        if best:
-                            break
-                    if best:
-                        break
+                n, first = self.candidates(k, h, lo, hi)
+                if not len(first):
+                    continue
+                if lowered is None:
+                    lowered = terms(text())
+                near = self.cosines(k, h, first)
+                order = np.argsort(-near, kind="stable")
+                best = next((x for i in order.tolist() if (x := self.judged(k, lowered, int(first[i]), n, float(near[i])))), None)
                 if best:
                     found.append(best)
                     break
         return found
 
+    def candidates(self, k: int, h: np.ndarray, lo: int, hi: int) -> tuple[int, np.ndarray]:
+        """The length of an item's windows, and the first words of those in lo..hi whose surroundings, which judged() looks at,
+        hold as many of the item's words as a leak needs."""
+        m = len(self.words[k])
+        if m < self.config.short:
+            at = np.arange(lo, hi - m + 1)
+            for i, w in enumerate(self.hashes[k]):
+                at = at[h[at + i] == w]
+            return 0, at
+        n = min(m, self.config.windows[0]) if m < self.config.windows[0] else min(self.config.windows, key=lambda n: abs(n - m))
+        first = np.arange(lo, hi, max(1, n // 4))
+        start = max(0, lo - n // 2)
+        near = h[start : hi + m + n]
+        at = np.minimum(np.searchsorted(self.own[k], near), len(self.own[k]) - 1)
+        count = np.concatenate([[0], np.cumsum(self.own[k][at] == near)])
+        inside = count[np.minimum(first + m + n - start, len(near))] - count[np.maximum(0, first - n // 2 - start)]
+        return n, first[inside >= self.least(k)]
+
+    def cosines(self, k: int, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The greatest cosine of an item's chunks with the windows that match them; candidates are judged in its order."""
+        out = np.zeros(len(first))
+        lo, reach = int(first[0]), len(self.words[k]) + self.config.windows[-1]
+        ids = bucket(h[lo : int(first[-1]) + reach], self.config.buckets)
+        sums = np.zeros((len(ids) + 1, self.latent.shape[1]))
+        np.cumsum(self.latent[ids], axis=0, out=sums[1:])
+        for n, start, vector in self.chunks[k]:
+            at = first - lo + start
+            v = sums[np.minimum(at + n, len(ids))] - sums[np.minimum(at, len(ids))]
+            out = np.maximum(out, v @ vector / (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-9))
+        return out
+
     def judged(self, k: int, lowered: list[bytes], first: int, n: int, near: float) -> tuple[int, float, float, int] | None:
+        if len(self.words[k]) < self.config.short:
+            return (self.ids[k], near, 1.0, first) if lowered[first : first + len(self.words[k])] == self.words[k] else None
         region = lowered[max(0, first - n // 2) : max(0, first + len(self.words[k]) + n)]
-        if len(self.sets[k].intersection(region)) < self.config.paraphrase * 0.9 * len(self.sets[k]):
-            return None
         share = subsequence(self.words[k], region) / len(self.words[k])
         tail = self.words[k][-max(3, len(self.words[k]) // 5) :]
         if share >= self.config.verbatim or (share >= self.config.paraphrase and subsequence(tail, region) >= self.config.answer * len(tail)):
@@ -278,7 +306,7 @@ class Decontaminator:
     """Learned from all rows of docs (text) once; finds or drops rows that leak items of benchmark (item_id, text).
 
     Items are searched in blocks of `block`, each in a pass over all documents: what a task holds does not grow with the benchmark.
-    Null and empty texts leak nothing; null or empty items, and items of fewer than 5 words, are not looked for. Repeated
+    Null and empty texts leak nothing; null or empty items are not looked for, and items of fewer than 5 words verbatim. Repeated
     rows and items are each found. Empty tables give no rows.
     """
 
@@ -287,7 +315,7 @@ class Decontaminator:
         self.blocks: list[list[tuple[int, str]]] = []
         some: list[tuple[int, str]] = []
         for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-            if len(terms(r["text"])) >= 5:
+            if terms(r["text"]):
                 some.append((r["item_id"], r["text"]))
                 if len(some) == config.block:
                     self.blocks.append(some)

@@ -363,3 +363,23 @@ def test_op5_compares_large_bands_in_full(spark):
     assert len(want) == 5
     got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df).collect()}
     assert got == want
+
+
+def test_op9_finds_short_and_changed_items(spark):
+    """Verbatim items of 1 to 15 words, and items with up to 28 % of their words changed, each in the midst of other text."""
+    rng = np.random.default_rng(11)
+    vocab = [f"word{i}" for i in range(3000)]
+    text = lambda n: list(rng.choice(vocab, n))
+    items, texts = [], []
+    for n in [1, 2, 3, 4, *[5, 8, 10, 12, 15, 24, 40, 60, 140] * 6]:
+        item = [f"own{len(items)}", *text(n - 1)]
+        said = list(item)
+        if n >= 24:  # the last fifth, the answer, stays
+            for i in rng.choice(n * 4 // 5, int(0.28 * n), replace=False):
+                said[i] = f"other{i}"
+        items.append(" ".join(item))
+        texts.append(" ".join(text(int(rng.integers(0, 200))) + said + text(int(rng.integers(0, 200)))))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.Decontaminator(df, bench).leaks(df).collect()}
+    assert got == {(i, i) for i in range(len(items))}
