@@ -471,6 +471,39 @@ def restore_responses(spark: SparkSession, sf: str) -> DataFrame:
     return restore.restore(said, restore.change_groups(tokens))
 
 
+@query()
+def mask_inference_rate_all(spark: SparkSession, sf: str) -> DataFrame:
+    """mask_inference_rate with predictions for every place."""
+    rows = word_rows(spark, sf)
+    guess = F.when(rng.uniform(42, F.col("doc_id"), F.col("pos"), "guess") < 0.25, F.col("token")).otherwise("other")
+    predictions = rows.select("doc_id", "pos", F.lit(1).alias("rank"), guess.alias("token"))
+    return attacks.mask_inference(rows, predictions).groupBy("doc_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
+
+
+@query()
+def levenshtein_sim_all(spark: SparkSession, sf: str) -> DataFrame:
+    """levenshtein_sim of all pairs, by characters."""
+    return item_pairs(spark, sf).select("item_id", F.round(utility.levenshtein_similarity(F.col("reference"), F.col("candidate")), 9).alias("sim"))
+
+
+@query()
+def pii_match_attack_all(spark: SparkSession, sf: str) -> DataFrame:
+    """pii_match_attack on all vectors: the perturbed ones are the same with keyed noise, of unit length again."""
+    e = table(spark, sf, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("word_id"), F.col("embedding").alias("vec"))
+    noisy = e.withColumn("vec", F.transform("vec", lambda x, i: x.cast("double") + 0.5 * (rng.uniform(42, F.col("word_id"), i, "noise") - 0.5)))
+    return attacks.personal_match(e, noisy.withColumn("vec", F.transform("vec", lambda x: x / F.sqrt(knn.dot(F.col("vec"), F.col("vec"))))))
+
+
+@query()
+def restore_responses_all(spark: SparkSession, sf: str) -> DataFrame:
+    """restore_responses for every turn; turns are below 2**20."""
+    said = table(spark, sf, "conversations").select((F.shiftleft(F.col("conv_id").cast("long"), 20) + F.col("turn")).alias("doc_id"), words(F.coalesce("text", F.lit(""))).alias("w"))
+    new = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("Zq"), i.cast("string"), F.lit("q"))).otherwise(x)
+    tokens = said.select("doc_id", F.posexplode("w").alias("pos", "token")).withColumn("new_token", new(F.col("token"), F.col("pos")))
+    restored = restore.restore(said.select("doc_id", F.array_join(F.transform("w", new), " ").alias("response")), restore.change_groups(tokens))
+    return restored.select(F.shiftright("doc_id", 20).alias("conv_id"), F.col("doc_id").bitwiseAND((1 << 20) - 1).alias("turn"), "restored")
+
+
 @query("SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def users_renest(spark: SparkSession, sf: str) -> DataFrame:
     nested = readers.renested(table(spark, sf, "conversations"), "conv_id", "turn")

@@ -44,3 +44,27 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_tables(spark, duck):
+    """The queries named _all leave out no place, pair, vector or turn; all against plain Python or DuckDB."""
+    rows = lambda name: [tuple(r) for r in catalogue.QUERIES[name](spark, SF).collect()]
+    want = duck.execute(catalogue.SQL["mask_inference_rate"].replace(" WHERE pos < 50", "")).fetchall()
+    assert sorted(rows("mask_inference_rate_all")) == sorted(want)
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+        return d[-1]
+
+    items = dict(duck.execute("SELECT item_id, lower(text) FROM benchmark").fetchall())
+    want = {i: 1 - distance(a, items[i + 1]) / max(len(a), len(items[i + 1])) for i, a in items.items() if i + 1 in items}
+    got = dict(rows("levenshtein_sim_all"))
+    assert set(got) == set(want) and all(abs(got[i] - v) < 1e-8 for i, v in want.items())
+    total = dict(duck.execute("SELECT label, count(*) FROM embeddings GROUP BY label").fetchall())
+    assert {r[0]: r[2] for r in rows("pii_match_attack_all")} == total
+    want = [(c, t, " ".join(x.split())) for c, t, x in duck.execute("SELECT conv_id, turn, text FROM conversations").fetchall()]
+    assert sorted(rows("restore_responses_all")) == sorted(want)
