@@ -115,7 +115,7 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     Rows with equal sets are one class from the start. Each class enters each tree's node by its minwise token there.
     In a node every class is held against the node's least class first; classes that this links into one component need no
     more comparison, so a node of thousands of near copies costs a pass and not its square. What is left of a node is compared
-    exhaustively if it is small, and otherwise branches by further minwise tokens. Each link is confirmed on whole texts.
+    exhaustively if it is small, and otherwise branches by further minwise tokens; after `deepest` levels, whatever its size. Each link is confirmed on whole texts.
     A pair of similarity s shares a root node with probability s in each tree: at 0.8 and 12 trees, 4 in 10**9 share none.
 
     Texts that are null or without words have no shingles and are alone; a row's ids may repeat (rows of equal text are
@@ -158,6 +158,14 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         grown = wide.join(classes.select("digest", "tokens"), "digest")
         grown = grown.select("node", "digest", "b0", "b1", "tokens", F.explode(F.array_distinct(picks)).alias("i"))
         nodes = grown.select(F.xxhash64("node", "i", F.expr("substring(tokens, 8 * i + 1, 8)")).alias("node"), "digest", "b0", "b1")
+    else:  # what the levels have not parted: all pairs of a node that no links join
+        last = with_root(nodes, root)
+        mixed = last.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
+        last = materialize(last.join(mixed, "node", "left_semi"), "near-last")
+        other = last.select("node", F.struct("digest", "b0", "b1").alias("other"), F.col("root").alias("its"))
+        pairs = last.join(other, "node").where((F.col("digest") > F.col("other.digest")) & (F.col("root") != F.col("its")) & close(config))
+        pairs = materialize(pairs.select(F.col("digest").alias("a"), F.col("other.digest").alias("b")).distinct(), "near-pairs")
+        edges, root = linked([(pairs, texts_of(pairs, classes, rows))], edges, root, config)
     members = signed.select("doc_id", "key", "n_shingles", "digest")
     if root is not None:
         members = members.join(root.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))

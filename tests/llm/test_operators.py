@@ -383,3 +383,18 @@ def test_op9_finds_short_and_changed_items(spark):
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.Decontaminator(df, bench).leaks(df).collect()}
     assert got == {(i, i) for i in range(len(items))}
+
+
+def test_op8_compares_what_the_last_level_leaves(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(60):  # one template, similarity under 0.8, and a few pairs alike
+        own = [f"u{i}_{k}" for k in range(14)]
+        texts.append(" ".join([f"b{k}" for k in range(100)] + own))
+        if i % 10 == 0:
+            texts.append(texts[-1] + f" more{i}")
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    want = joined([neardup.shingles(t, 2) for t in texts], lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, neardup.Join(trees=2, tiny=3, small=4, deepest=1)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 60
