@@ -238,3 +238,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q = live.masked(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("masked_stream").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("masked_stream").collect())) == sorted(map(tuple, live.masked(docs).collect()))
+
+
+def test_perturb_draws_among_all_wanted(spark):
+    """At a budget of 0.1 a draw is among 1605 neighbours, not the first 200."""
+    rows = [("".join(chr(97 + i // 26**k % 26) for k in range(4)), [math.cos(i / 1000), math.sin(i / 1000)]) for i in range(2000)]
+    vocab = spark.createDataFrame(rows, "cand string, vec array<double>")
+    tokens = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(0).alias("pos"), F.lit(rows[0][0]).alias("token"), F.lit(3).alias("level"), F.lit(0.1).alias("eps_eff"), F.lit(False).alias("high"))
+    place = {w: i for i, (w, _) in enumerate(rows)}
+    got = [place[r["new_token"]] for r in perturb.perturb(tokens, vocab, PrivacyConfig()).collect()]
+    assert 1400 < max(got) < 1605 and sum(i >= 200 for i in got) > 300
