@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import re
+import tempfile
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -97,22 +102,65 @@ SPREAD = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    With neither, one is set here for a local master only (tests): on a cluster a machine's own folder would lose tables."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumenveil-"))
         given = spark.sparkContext.getCheckpointDir()
     return given.rstrip("/")
 
 
+#: Where the tables of materialize() lie, as long as they do.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_RECORDS: list[set[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _RECORDS:
+        made.add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize() that nothing reads any more; others are left alone."""
+    for df in tables:
+        if df is not None and (path := _PATHS.pop(df, None)):
+            delete(df.sparkSession, [path])
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for made in _RECORDS:
+            made.discard(path)
+
+
+def swept(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that the driver holds no longer, when its garbage is collected: now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def recorded() -> Iterator[set[str]]:
+    """The set of paths of the tables made inside that are still there."""
+    made: set[str] = set()
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,21 +172,44 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
     """Distributed union-find over edges (a, b): one row (id, root) for each node that has an edge; root is the least id reachable.
 
-    Each round takes the least label among a node's neighbours and then halves paths by a lookup of the label's own label; it
-    ends when nothing changes, so when the ends of all edges agree. All steps are joins and partially aggregated minima; a hot
-    node's edges are split by the skew join, never gathered. Each round's labels are written to the shared folder.
+    `known`: (id, root) of earlier edges, which count as well; edges are new ones only then.
+    A round hooks each root below its least neighbour, halves the paths of the forest twice, and contracts the edges by it.
+    At most the local minima stay roots, half of them with ids in random order; so rounds are few whatever the diameter, and
+    each works on what is left of the last. A path that is not yet short stays as an edge. The least id of a component never
+    hooks, so it is the root in the end. Minima are summed up partially and joins split hot nodes. Former rounds' tables go.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, f"{name}-edges")
-    label = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{name}-root")
-    while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("theirs")), "b").groupBy(F.col("a").alias("id")).agg(F.min("theirs").alias("theirs"))
-        lower = label.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "theirs").alias("root"))
-        up = label.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        jumped = materialize(lower.join(up, "root", "left").select("id", "was", F.least("root", F.coalesce("above", "root")).alias("root")), f"{name}-root")
-        label = jumped.select("id", "root")
-        if not jumped.where("was <> root").head(1):
-            return label
+    two = lambda e: e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    up = lambda forest, end, to: forest.select(F.col("id").alias(end), F.col("root").alias(to))
+
+    def contracted(e: DataFrame, forest: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            e = e.join(up(forest, end, "_to"), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        return e.select("a", "b")
+
+    left = materialize(two(edges if known is None else contracted(edges.select("a", "b"), known)), f"{name}-edges")
+    forests: list[DataFrame] = []
+    while left.head(1):
+        hooked = left.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("root"))
+        for _ in range(2):
+            hooked = hooked.join(hooked.select(F.col("id").alias("root"), F.col("root").alias("above")), "root").select("id", F.col("above").alias("root"))
+        forest = materialize(hooked, f"{name}-forest")
+        forests.append(forest)
+        paths = forest.select(F.col("root").alias("a")).distinct().join(up(forest, "a", "b"), "a").where("a <> b")
+        last, left = left, materialize(two(contracted(left, forest).union(paths.select("a", "b"))), f"{name}-edges")
+        discard(last)
+    discard(left)
+    if not forests:
+        return known if known is not None else materialize(edges.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0), f"{name}-root")
+    root = forests[-1]
+    for forest in reversed(forests[:-1]):
+        root = forest.join(root.select(F.col("id").alias("root"), F.col("root").alias("above")), "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+    if known is not None:
+        # A known root that met others has its new one in `root`; nodes that are new are in no known component.
+        old = known.join(root.select(F.col("id").alias("root"), F.col("root").alias("above")), "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+        root = old.union(root.join(known.select("id"), "id", "left_anti"))
+    root = materialize(root, f"{name}-root")
+    discard(*forests)
+    return root

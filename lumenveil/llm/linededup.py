@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, row_key
+from .common import components, discard, materialize, row_key, swept
 from .quality import bind
 
 
@@ -16,7 +16,7 @@ from .quality import bind
 class Lines:
     """chars: characters of a shingle; one starts at each character. rows: minwise shingles of a band. bands: of a line; with 3 and 6,
     a pair of similarity 0.8 shares a band with probability 0.986, one of 0.9 with 0.9996. least: similarity in hundredths.
-    small: lines of a band that are all held against each other."""
+    small: lines of a band that are all held against each other; larger bands go another way, which finds the same."""
 
     chars: int = 12
     rows: int = 3
@@ -25,51 +25,103 @@ class Lines:
     small: int = 24
 
 
-def shingles(line: Column, chars: int, of: Callable[[Column], Column] = lambda x: x) -> Column:
-    """`of` each stretch of `chars` characters of a line, from every position on; a shorter line is one stretch.
+def shingle_set(line: Column, chars: int) -> Column:
+    """The set of a line's shingles, each as 64 bits of hash: stretches of `chars` characters, from every position on; a shorter
+    line is one stretch. In UTF-32 a stretch of characters is one of bytes, which is cut out at once wherever it stands."""
+    each = lambda u: F.transform(F.sequence(F.lit(0), F.greatest(F.octet_length(u) / 4 - chars, F.lit(0)).cast("int")), lambda i: F.xxhash64(F.substring(u, 4 * i + 1, F.lit(4 * chars))))
+    return F.array_distinct(bind(F.encode(line, "UTF-32"), each))
 
-    Lines are cut into overlapping pieces of pieces first, as the cost of a stretch grows with the characters before it."""
 
-    def pieces(text: Column, size: int) -> Column:
-        n = F.greatest(F.ceil((F.length(text) - (chars - 1)) / size), F.lit(1)).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * size + 1, F.lit(size + chars - 1)))
+def shingle_rows(lines: DataFrame, chars: int) -> DataFrame:
+    """(h, g, x): a row for each shingle of lines (h, g, line), x its hash; in compiled loops, with no array of shingles."""
+    wide = lines.select("h", "g", F.encode("line", "UTF-32").alias("u"))
+    last = F.greatest(F.octet_length("u") / 4 - chars, F.lit(0)).cast("int")
+    each = wide.select("h", "g", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    return each.select("h", "g", F.xxhash64(F.expr(f"substring(u, 4 * i + 1, {4 * chars})")).alias("x"))
 
-    def each(text: Column) -> Column:
-        n = F.greatest(F.length(text) - (chars - 1), F.lit(1))
-        return F.transform(F.sequence(F.lit(1), n), lambda i: of(F.substring(text, i, F.lit(chars))))
 
-    return F.flatten(F.transform(pieces(line, 4096), lambda p: F.flatten(F.transform(pieces(p, 64), each))))
+def signatures(lines: DataFrame, config: Lines) -> DataFrame:
+    """(h, g, bands): the bands of each different line. Hashed shingles are dealt into rows * bands bins, of which each holds
+    its least one (MinHash by one permutation); an empty bin takes the next full one's. `rows` bins are a band."""
+    n = config.rows * config.bands
+    least = shingle_rows(lines, config.chars).withColumn("bin", F.pmod("x", F.lit(n))).groupBy("h", "g").agg(*[F.min(F.when(F.col("bin") == j, F.col("x"))).alias(f"m{j}") for j in range(n)])
+    full = least.select("h", "g", *[F.coalesce(*[f"m{(j + k) % n}" for k in range(n)]).alias(f"m{j}") for j in range(n)])
+    return full.select("h", "g", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * config.rows + r}" for r in range(config.rows)]) for b in range(config.bands)]).alias("bands"))
 
 
-def hashed(line: Column, chars: int) -> Column:
-    """Hashes of a line's shingles, each once."""
-    return F.array_distinct(shingles(line, chars, lambda x: F.xxhash64(x)))
-
-
-def bands(line: Column, config: Lines) -> Column:
-    """The bands of a line: hashed shingles lie on a circle, parted into as many arcs; a band is the first `rows` shingles from
-    its arc's start on. So each band holds the least shingles by an order of its own, and one sort serves all bands."""
-    arc = lambda x: F.shiftright((F.shiftright(x, 32) + (1 << 31)) * config.bands, 32)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, line_no, line, h, g): the lines of docs (doc_id, text) that have a word, with 128 bits of hash."""
+    lines = docs.select("doc_id", row_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
-    def of(s: Column) -> Column:
-        first = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (arc(x) != arc(F.get(s, i - 1))), i)))
 
-        def keys(f: Column) -> Column:
-            def key(j: Column) -> Column:
-                start = F.coalesce(F.get(F.filter(f, lambda i: arc(F.get(s, i)) >= j), F.lit(0)), F.lit(0))
-                return bind(start, lambda i: F.xxhash64(j, *[F.get(s, (i + k) % F.size(s)) for k in range(config.rows)]))
+def alike(one: Column, two: Column, config: Lines) -> Column:
+    """The Jaccard similarity of two lines' sets of shingles is `least` hundredths or more. Each set is made once."""
+    sets = F.struct(*[shingle_set(x, config.chars).alias(k) for k, x in (("x", one), ("y", two))])
+    sizes = bind(sets, lambda v: F.struct((F.size(v["x"]) + F.size(v["y"])).alias("n"), F.size(F.array_intersect(v["x"], v["y"])).alias("c")))
+    return bind(sizes, lambda v: 100 * v["c"] >= config.least * (v["n"] - v["c"]))
 
-            return F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), key)
 
-        return bind(first, keys)
+def linked(pairs: DataFrame, lines: DataFrame, config: Lines) -> DataFrame:
+    """Those of pairs (a, b) of lines whose sets of shingles are similar enough. Each line's text is fetched once."""
+    pairs = materialize(pairs.distinct(), "line-pairs")
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().select("id.*")
+    texts = materialize(lines.select("h", "g", "line").join(need, ["h", "g"]).groupBy("h", "g").agg(F.min("line").alias("line")), "line-texts")
+    end = lambda to, name: texts.select(F.struct("h", "g").alias(to), F.col("line").alias(name))
+    both = pairs.join(end("a", "one"), "a").join(end("b", "two"), "b")
+    links = materialize(both.where(alike(F.col("one"), F.col("two"), config)).select("a", "b"), "line-links")
+    discard(pairs, texts)
+    swept(lines.sparkSession)
+    return links
 
-    return bind(F.sort_array(hashed(line, config.chars)), of)
 
+def groups(lines: DataFrame, config: Lines) -> DataFrame:
+    """(id, root): the lines (h, g, line) that have a link, by 128 bits of hash, and the least one that links lead to.
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, line_no, line, id): the lines of docs (doc_id, text) that have a word; id is 128 bits of the line's hash."""
-    lines = docs.select("doc_id", row_key().alias("key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")))
+    The lines of a band are held against its least one first. Where that leaves several components in a band, all pairs of
+    different components of a small band are compared; lines of larger bands go through an exact join together: two
+    lines alike share one of their rarest shingles (prefixes()). So each pair that shares a band is compared or already
+    linked through others. What a round links needs no more comparison in the next.
+    """
+    spark = lines.sparkSession
+    marked = materialize(signatures(lines, config), "line-bands")
+    swept(spark)
+    band = marked.select("h", "g", F.explode("bands").alias("band"))
+    met = band.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("h"), F.min_by("g", "h").alias("g"), F.max("h").alias("h2"), F.max_by("g", "h").alias("g2")).where("n > 1")
+    met = materialize(met.select("band", "n", F.struct("h", "g").alias("least"), F.struct(F.col("h2").alias("h"), F.col("g2").alias("g")).alias("most")), "line-met")
+    swept(spark)
+    members = materialize(band.join(met.where("n > 2").select("band", "n", "least"), "band").select("band", "n", "least", F.struct("h", "g").alias("id")), "line-members")
+    star = met.where("n = 2").select(F.col("most").alias("a"), F.col("least").alias("b")).union(members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    links = linked(star.where("a <> b"), lines, config)
+    discard(marked, met)
+    root = components(links, "line")
+    discard(links)
+    members, last = materialize(mixed(rooted_lines(members.select("band", "n", "id"), root), "band"), "line-members"), members
+    discard(last)
+    some = members.where(F.col("n") <= config.small).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("id", "root"))).alias("m"))
+    first = some.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & (y["root"] != F.col("x.root")))).alias("y"))
+    pairs = first.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
+    posts = None
+    wide = members.where(F.col("n") > config.small).select(F.col("id.h").alias("h"), F.col("id.g").alias("g")).distinct()
+    if wide.head(1):
+        posts = materialize(prefixes(lines.select("h", "g", "line").join(wide, ["h", "g"]).groupBy("h", "g").agg(F.min("line").alias("line")), config), "line-posts")
+        hubs = mixed(rooted_lines(posts, root), "t").join(posts.groupBy("t").agg(F.min("id").alias("least")), "t").where("id <> least")
+        pairs = pairs.union(hubs.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    root = with_links(linked(pairs, lines, config), root)
+    discard(members)
+    if posts is not None:
+        rest = materialize(mixed(rooted_lines(posts, root), "t"), "line-posts")
+        root = with_links(linked(met_in_prefixes(rest, config), lines, config), root)
+        discard(posts, rest)
+    return root
+
+
+def with_links(links: DataFrame, root: DataFrame) -> DataFrame:
+    if links.head(1):
+        root, last = components(links, "line", root), root
+        discard(last)
+    discard(links)
+    return root
 
 
 def surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:
@@ -80,55 +132,18 @@ def surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:
     Rows that repeat in full share all their lines and their fate: they are the same place. Null doc_ids come first.
 
     Equal lines are one from the start, summed up before the shuffle, so a line that a third of the rows have costs a row.
-    Every line of a band is held against the band's least line. Where that leaves several components in a band, all pairs of
-    a small band are compared; the lines of all such large bands go through an exact join together: two lines alike share one
-    of their rarest shingles (prefixes()). So no pair of a band is lost.
     """
     lines = lines_of(docs)
-    places = lines.select("doc_id", "key", "line_no", "id")
-    marked = materialize(lines.select("id", bands("line", config).alias("bands")).groupBy("id").agg(F.min("bands").alias("bands")), "line-bands")
-    band = marked.select("id", F.explode("bands").alias("band"))
-    met = band.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = materialize(band.join(materialize(met, "line-sizes"), "band"), "line-met")
-    star = met.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    some = met.where(F.col("n").between(3, config.small)).groupBy("band").agg(F.sort_array(F.collect_list("id")).alias("m"))
-    pairs = some.select(F.posexplode(F.slice("m", 2, 1 << 20)).alias("i", "b"), "m").select("b", F.explode(F.slice("m", F.col("i") + 3, 1 << 20)).alias("a")).select("a", "b")
-    star, pairs = materialize(star, "line-star"), materialize(pairs.distinct(), "line-pairs")
-    need = met.select("id").distinct()
-    texts = materialize(lines.join(need, "id").groupBy("id").agg(F.min("line").alias("line")), "line-texts")
-    edges = materialize(verified(star, texts, config), "line-links")
-    root = components(edges, "line")
-    more = materialize(verified(_apart(pairs, root), texts, config), "line-links")
-    if more.head(1):
-        edges = edges.union(more)
-        root = components(edges, "line")
-    rooted = rooted_lines(met.where(F.col("n") > config.small).select("band", "id"), root)
-    open_ = mixed(rooted, "band").select("id").distinct().join(texts, "id")
-    posts = materialize(prefixes(open_, config), "line-posts")
-    hubs = rooted_lines(posts, root)
-    hubs = mixed(hubs, "t").join(posts.groupBy("t").agg(F.min("id").alias("least")), "t").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    more = materialize(verified(_apart(hubs, root), texts, config), "line-links")
-    if more.head(1):
-        edges = edges.union(more)
-        root = components(edges, "line")
-    rest = materialize(mixed(rooted_lines(posts, root), "t"), "line-posts")
-    more = materialize(verified(materialize(met_in_prefixes(rest, config), "line-pairs"), texts, config), "line-links")
-    if more.head(1):
-        edges = edges.union(more)
-        root = components(edges, "line")
-    rooted = places.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = materialize(rooted.select("doc_id", "key", "line_no", "root").distinct(), "line-places")
-    keep = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "key", "line_no")).alias("kept"), F.count("*").alias("n")).where("n > 1")
-    gone = rooted.join(keep, "root").where(~F.struct("doc_id", "key", "line_no").eqNullSafe(F.col("kept")))
-    return gone.select("doc_id", "key", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, config: Lines) -> DataFrame:
-    """Those of pairs (a, b) of lines whose sets of shingles are similar enough."""
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.array_distinct(shingles(F.col("line"), config.chars)).alias("x")), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.array_distinct(shingles(F.col("line"), config.chars)).alias("y")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("common") >= config.least * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    root = groups(lines, config).select(F.col("id.h").alias("h"), F.col("id.g").alias("g"), "root")
+    place = F.struct("doc_id", "key", "line_no")
+    own = lines.groupBy("h", "g").agg(F.min(place).alias("kept"), F.count("*").alias("n")).join(root, ["h", "g"], "left")
+    own = materialize(own.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", F.struct("h", "g"))), "line-own")
+    kept = own.groupBy("root").agg(F.min("kept").alias("kept"))
+    kept = materialize(own.select("h", "g", "root").join(kept, "root").select("h", "g", "kept"), "line-kept")
+    discard(own)
+    swept(docs.sparkSession)
+    gone = lines.select("doc_id", "key", "line_no", "h", "g").join(kept, ["h", "g"]).where(~place.eqNullSafe(F.col("kept")))
+    return gone.select("doc_id", "key", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
 
 
 def rooted_lines(lines: DataFrame, root: DataFrame) -> DataFrame:
@@ -142,16 +157,15 @@ def mixed(rooted: DataFrame, by: str) -> DataFrame:
 
 
 def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
-    """(t, id, n, i): the rarest shingles of lines (id, line), by hash, with their place among the line's n by rarity.
+    """(t, id, n, i): the rarest shingles of lines (h, g, line), by hash, with their place among the line's n by rarity.
 
     Two sets of similarity `least` hundredths or more share a member of both prefixes of n * (100 - least) / 100 + 1 members,
     in any one order of all members; the rarest first makes the fewest meet.
     """
-    sets = materialize(lines.select("id", hashed(F.col("line"), config.chars).alias("s")), "line-sets")
-    members = sets.select("id", F.explode("s").alias("t"))
-    often = materialize(members.groupBy("t").agg(F.count("*").alias("f")).where("f > 1"), "line-often")
-    listed = members.join(often, "t", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "t"))).alias("s"))
-    some = listed.select("id", F.size("s").alias("n"), F.posexplode(F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)).alias("i", "x"))
+    members = materialize(shingle_rows(lines, config.chars).distinct(), "line-sets")
+    often = materialize(members.groupBy("x").agg(F.count("*").alias("f")).where("f > 1"), "line-often")
+    listed = members.join(often, "x", "left").groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), F.col("x").alias("t")))).alias("s"))
+    some = listed.select(F.struct("h", "g").alias("id"), F.size("s").alias("n"), F.posexplode(F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)).alias("i", "x"))
     return some.where("x.f > 1").select("x.t", "id", "n", "i")
 
 
@@ -163,26 +177,21 @@ def met_in_prefixes(posts: DataFrame, config: Lines) -> DataFrame:
     return one.join(two, "t").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & enough).select("a", "b").distinct()
 
 
-def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
-    for end in ("a", "b"):
-        pairs = pairs.join(root.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.where("root_a <> root_b").select("a", "b")
-
-
 def without_surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:
     """Rows of docs, all columns, with surplus lines out of `text` and n_chars, where there is one, counted anew.
 
     A document that loses its last line with a word goes; one that had none before stays as it is.
     """
-    gone = surplus(docs, config).groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
-    keyed = docs.withColumn("_row", row_key())
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_key")), "left")
+    doc, key, gone, new = (f"_{x}{uuid.uuid4().hex}" for x in ("doc", "key", "gone", "text"))
+    lines = surplus(docs, config).groupBy(F.col("doc_id").alias(doc), F.col("key").alias(key)).agg(F.sort_array(F.collect_list("line_no")).alias(gone))
+    keyed = docs.withColumn(f"{key}_own", row_key())
+    joined = keyed.join(lines, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(f"{key}_own") == F.col(key)), "left")
     # Stretches between the lines that go are sliced out: the work is in proportion to the lines, whatever goes.
     left = bind(
-        F.struct(F.split("text", "\n").alias("s"), F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(F.split("text", "\n")))).alias("g")),
+        F.struct(F.split("text", "\n").alias("s"), F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(F.split("text", "\n")))).alias("g")),
         lambda v: F.array_join(F.flatten(F.transform(F.slice(v["g"], 2, F.size(v["g"]) - 1), lambda e, i: F.slice(v["s"], F.get(v["g"], i) + 2, e - F.get(v["g"], i) - 1))), "\n"),
     )
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)
+    out = joined.withColumn(new, text).where(F.col(gone).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    columns = [F.col(new).alias("text") if c == "text" else F.length(new).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import public_tokenizers as P
+import xxhash
 from pyspark.sql import functions as F
 
 from lumenveil.llm import chat, common, decontaminate, langid, linededup, neardup, packing, quality, queries, substring, tokencount, warc
@@ -87,6 +88,19 @@ def test_components(spark):
     assert got == {x: ids[w] for x, w in zip(ids, want, strict=True)}
 
 
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain's length; edges that come later meet the roots known."""
+    rounds, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: (rounds.append(name), write(df, name))[1])
+    p = [int(x) for x in np.random.default_rng(1).permutation(20_000)]
+    chain = list(zip(p, p[1:], strict=False))
+    half = common.components(spark.createDataFrame(chain[::2], "a long, b long"), "chain")
+    assert {r["id"]: r["root"] for r in half.collect()} == {x: min(e) for e in chain[::2] for x in e}
+    whole = common.components(spark.createDataFrame(chain[1::2], "a long, b long"), "chain", half)
+    assert [tuple(r) for r in whole.selectExpr("count(*)", "count(DISTINCT id)", "max(root)").collect()] == [(20_000, 20_000, 0)]
+    assert sum(x == "chain-forest" for x in rounds) <= 16
+
+
 def test_op1(docs, rows, nothing):
     count = Counter(tuple(w[i : i + 35]) for _, t in rows for w in [words(t)] for i in range(len(w) - 34))
     want = []
@@ -174,10 +188,7 @@ def test_op5(spark, docs, rows, nothing):
             if re.search(common.WORD, line):
                 occ[line].append((r["doc_id"], i))
     lines = sorted(occ)
-    sets = []
-    for line in lines:
-        w = line.split(" ")
-        sets.append(frozenset(" ".join(w[i : i + 3])[:12] for i in range(max(1, len(w) - 2))))
+    sets = [frozenset(x[i : i + 12] for i in range(max(1, len(x) - 11))) for x in lines]
     near = lambda a, b: 80 * max(len(a), len(b)) <= 100 * min(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b)
     comp = defaultdict(list)
     for line, c in zip(lines, joined(sets, near), strict=True):
@@ -342,7 +353,12 @@ def test_op5_shingles_of_whole_lines(spark):
     lines += ["".join(chr(97 + (i * i + i // 7) % 26) for i in range(5000)), "".join(chr(97 + (i * i + i // 7) % 26) for i in range(4999)) + "?"]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     want = [frozenset(x[i : i + 12] for i in range(max(1, len(x) - 11))) for x in lines]
-    assert [frozenset(r["s"]) for r in df.orderBy("doc_id").select(linededup.shingles(F.col("text"), 12).alias("s")).collect()] == want
+    hashed = [{xxhash.xxh64_intdigest(s.encode("utf-32-be"), 42) for s in x} for x in want]
+    assert [{v % 2**64 for v in r["s"]} for r in df.orderBy("doc_id").select(linededup.shingle_set(F.col("text"), 12).alias("s")).collect()] == hashed
+    own = defaultdict(set)
+    for r in linededup.shingle_rows(df.select(F.col("doc_id").alias("h"), F.lit(0).alias("g"), F.col("text").alias("line")), 12).collect():
+        own[r["h"]].add(r["x"] % 2**64)
+    assert [own[i] for i in range(len(lines))] == hashed
     comp = joined(want, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
     got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df).collect()}
     assert {i: c for i, c in enumerate(comp) if i != c} == got and {10, 12, 14} <= set(got) and not {1, 3, 5} & set(got)
@@ -363,6 +379,8 @@ def test_op5_compares_large_bands_in_full(spark):
     assert len(want) == 5
     got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df).collect()}
     assert got == want
+    for small in (3, 10**6):
+        assert {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df, linededup.Lines(small=small)).collect()} == want
 
 
 def test_op9_finds_short_and_changed_items(spark):
