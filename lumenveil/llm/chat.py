@@ -18,7 +18,8 @@ def prefixes(turns: DataFrame) -> DataFrame:
     run within blocks of turn numbers first and over the blocks' totals then: a conversation of any length is spread out,
     and no texts are shuffled.
     """
-    slim = turns.select("conv_id", "turn", F.xxhash64(F.lit(1), "role", "text").alias("h"), F.xxhash64("text", F.lit(2), "role").alias("g"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("block"))
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))  # as rendered
+    slim = turns.select("conv_id", "turn", F.xxhash64(F.lit(1), role, text).alias("h"), F.xxhash64(text, F.lit(2), role).alias("g"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).alias("block"))
     slim = materialize(slim, "chat-turns")
     inner = Window.partitionBy("conv_id", "block").orderBy("turn", "h", "g")
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +46,7 @@ def rendered(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, rendered): the turns of maximal conversations, each as `<|role|>`, a line break, text, a line break.
 
     Turns follow by number; turns of one number, by hash. Rows that repeat are turns of their own. Null texts are
-    empty, null roles `unknown`. A row for a turn, so that a long conversation needs no large row; concatenated in order of
+    empty, null roles `unknown`, for the comparison of conversations as well. A row for a turn, so that a long conversation needs no large row; concatenated in order of
     turn they are the conversation. Null conv_ids are one conversation. An empty table gives no rows.
     """
     keep = maximal(turns).select(F.col("conv_id").alias("_c"))

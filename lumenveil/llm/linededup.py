@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from .common import components, discard, materialize, row_key, swept
 from .quality import bind
 
+#: Buckets of the table of rarity, as a power of two: 256 KB.
+BUCKET_BITS = 18
+
 
 @dataclass(frozen=True)
 class Lines:
@@ -33,20 +37,23 @@ def shingle_set(line: Column, chars: int) -> Column:
 
 
 def shingle_rows(lines: DataFrame, chars: int) -> DataFrame:
-    """(h, g, x): a row for each shingle of lines (h, g, line), x its hash; in compiled loops, with no array of shingles."""
+    """(h, g, i, x): a row for each shingle of lines (h, g, line), from its place i on, x its hash; in compiled loops, with no
+    array of shingles."""
     wide = lines.select("h", "g", F.encode("line", "UTF-32").alias("u"))
     last = F.greatest(F.octet_length("u") / 4 - chars, F.lit(0)).cast("int")
     each = wide.select("h", "g", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    return each.select("h", "g", F.xxhash64(F.expr(f"substring(u, 4 * i + 1, {4 * chars})")).alias("x"))
+    return each.select("h", "g", "i", F.xxhash64(F.expr(f"substring(u, 4 * i + 1, {4 * chars})")).alias("x"))
 
 
 def signatures(lines: DataFrame, config: Lines) -> DataFrame:
-    """(h, g, bands): the bands of each different line. Hashed shingles are dealt into rows * bands bins, of which each holds
-    its least one (MinHash by one permutation); an empty bin takes the next full one's. `rows` bins are a band."""
-    n = config.rows * config.bands
-    least = shingle_rows(lines, config.chars).withColumn("bin", F.pmod("x", F.lit(n))).groupBy("h", "g").agg(*[F.min(F.when(F.col("bin") == j, F.col("x"))).alias(f"m{j}") for j in range(n)])
-    full = least.select("h", "g", *[F.coalesce(*[f"m{(j + k) % n}" for k in range(n)]).alias(f"m{j}") for j in range(n)])
-    return full.select("h", "g", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * config.rows + r}" for r in range(config.rows)]) for b in range(config.bands)]).alias("bands"))
+    """(h, g, n, bands): each different line, how often it is there, and its bands. Hashed shingles are dealt into rows * bands
+    bins, of which each holds its least one (MinHash by one permutation); an empty bin takes the next full one's. `rows` bins
+    are a band."""
+    k = config.rows * config.bands
+    each = shingle_rows(lines, config.chars).withColumn("bin", F.pmod("x", F.lit(k)))
+    least = each.groupBy("h", "g").agg(F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).alias("n"), *[F.min(F.when(F.col("bin") == j, F.col("x"))).alias(f"m{j}") for j in range(k)])
+    full = least.select("h", "g", "n", *[F.coalesce(*[f"m{(j + i) % k}" for i in range(k)]).alias(f"m{j}") for j in range(k)])
+    return full.select("h", "g", "n", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * config.rows + r}" for r in range(config.rows)]) for b in range(config.bands)]).alias("bands"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -62,20 +69,16 @@ def alike(one: Column, two: Column, config: Lines) -> Column:
     return bind(sizes, lambda v: 100 * v["c"] >= config.least * (v["n"] - v["c"]))
 
 
-def linked(pairs: DataFrame, lines: DataFrame, config: Lines) -> DataFrame:
-    """Those of pairs (a, b) of lines whose sets of shingles are similar enough. Each line's text is fetched once."""
+def linked(pairs: DataFrame, texts: DataFrame, config: Lines) -> DataFrame:
+    """Those of pairs (a, b) of lines (id, line) whose sets of shingles are similar enough."""
     pairs = materialize(pairs.distinct(), "line-pairs")
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().select("id.*")
-    texts = materialize(lines.select("h", "g", "line").join(need, ["h", "g"]).groupBy("h", "g").agg(F.min("line").alias("line")), "line-texts")
-    end = lambda to, name: texts.select(F.struct("h", "g").alias(to), F.col("line").alias(name))
-    both = pairs.join(end("a", "one"), "a").join(end("b", "two"), "b")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("two")), "b")
     links = materialize(both.where(alike(F.col("one"), F.col("two"), config)).select("a", "b"), "line-links")
-    discard(pairs, texts)
-    swept(lines.sparkSession)
+    discard(pairs)
     return links
 
 
-def groups(lines: DataFrame, config: Lines) -> DataFrame:
+def groups(lines: DataFrame, marked: DataFrame, config: Lines) -> DataFrame:
     """(id, root): the lines (h, g, line) that have a link, by 128 bits of hash, and the least one that links lead to.
 
     The lines of a band are held against its least one first. Where that leaves several components in a band, all pairs of
@@ -83,17 +86,19 @@ def groups(lines: DataFrame, config: Lines) -> DataFrame:
     lines alike share one of their rarest shingles (prefixes()). So each pair that shares a band is compared or already
     linked through others. What a round links needs no more comparison in the next.
     """
-    spark = lines.sparkSession
-    marked = materialize(signatures(lines, config), "line-bands")
-    swept(spark)
     band = marked.select("h", "g", F.explode("bands").alias("band"))
     met = band.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("h"), F.min_by("g", "h").alias("g"), F.max("h").alias("h2"), F.max_by("g", "h").alias("g2")).where("n > 1")
     met = materialize(met.select("band", "n", F.struct("h", "g").alias("least"), F.struct(F.col("h2").alias("h"), F.col("g2").alias("g")).alias("most")), "line-met")
-    swept(spark)
+    swept(lines.sparkSession)
     members = materialize(band.join(met.where("n > 2").select("band", "n", "least"), "band").select("band", "n", "least", F.struct("h", "g").alias("id")), "line-members")
-    star = met.where("n = 2").select(F.col("most").alias("a"), F.col("least").alias("b")).union(members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    links = linked(star.where("a <> b"), lines, config)
-    discard(marked, met)
+    two = met.where("n = 2")
+    need = members.select("id").union(two.select("least")).union(two.select("most")).distinct().select("id.*")
+    texts = lines.select("h", "g", "line").join(need, ["h", "g"]).groupBy("h", "g").agg(F.min("line").alias("line"))
+    texts = materialize(texts.select(F.struct("h", "g").alias("id"), "line"), "line-texts")
+    swept(lines.sparkSession)
+    star = two.select(F.col("most").alias("a"), F.col("least").alias("b")).union(members.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")))
+    links = linked(star, texts, config)
+    discard(met)
     root = components(links, "line")
     discard(links)
     members, last = materialize(mixed(rooted_lines(members.select("band", "n", "id"), root), "band"), "line-members"), members
@@ -102,17 +107,18 @@ def groups(lines: DataFrame, config: Lines) -> DataFrame:
     first = some.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & (y["root"] != F.col("x.root")))).alias("y"))
     pairs = first.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
     posts = None
-    wide = members.where(F.col("n") > config.small).select(F.col("id.h").alias("h"), F.col("id.g").alias("g")).distinct()
+    wide = members.where(F.col("n") > config.small).select("id").distinct()
     if wide.head(1):
-        posts = materialize(prefixes(lines.select("h", "g", "line").join(wide, ["h", "g"]).groupBy("h", "g").agg(F.min("line").alias("line")), config), "line-posts")
+        posts = prefixes(texts.join(wide, "id"), config)
         hubs = mixed(rooted_lines(posts, root), "t").join(posts.groupBy("t").agg(F.min("id").alias("least")), "t").where("id <> least")
         pairs = pairs.union(hubs.select(F.col("id").alias("a"), F.col("least").alias("b")))
-    root = with_links(linked(pairs, lines, config), root)
+    root = with_links(linked(pairs, texts, config), root)
     discard(members)
     if posts is not None:
         rest = materialize(mixed(rooted_lines(posts, root), "t"), "line-posts")
-        root = with_links(linked(met_in_prefixes(rest, config), lines, config), root)
+        root = with_links(linked(met_in_prefixes(rest, config), texts, config), root)
         discard(posts, rest)
+    discard(texts)
     return root
 
 
@@ -134,15 +140,18 @@ def surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:
     Equal lines are one from the start, summed up before the shuffle, so a line that a third of the rows have costs a row.
     """
     lines = lines_of(docs)
-    root = groups(lines, config).select(F.col("id.h").alias("h"), F.col("id.g").alias("g"), "root")
+    marked = materialize(signatures(lines, config), "line-bands")
+    swept(docs.sparkSession)
+    root = groups(lines, marked, config)
+    # The lines that are there twice or have a link; only their places are looked at.
+    some = marked.where("n > 1").select("h", "g").join(root.select(F.col("id.h").alias("h"), F.col("id.g").alias("g"), "root"), ["h", "g"], "full")
+    some = some.withColumn("root", F.coalesce("root", F.struct("h", "g")))
     place = F.struct("doc_id", "key", "line_no")
-    own = lines.groupBy("h", "g").agg(F.min(place).alias("kept"), F.count("*").alias("n")).join(root, ["h", "g"], "left")
-    own = materialize(own.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", F.struct("h", "g"))), "line-own")
-    kept = own.groupBy("root").agg(F.min("kept").alias("kept"))
-    kept = materialize(own.select("h", "g", "root").join(kept, "root").select("h", "g", "kept"), "line-kept")
-    discard(own)
+    places = materialize(lines.select("doc_id", "key", "line_no", "h", "g").join(some, ["h", "g"]).select("doc_id", "key", "line_no", "root"), "line-places")
+    discard(marked, root)
     swept(docs.sparkSession)
-    gone = lines.select("doc_id", "key", "line_no", "h", "g").join(kept, ["h", "g"]).where(~place.eqNullSafe(F.col("kept")))
+    kept = materialize(places.groupBy("root").agg(F.min(place).alias("kept")), "line-kept")
+    gone = places.join(kept, "root").where(~place.eqNullSafe(F.col("kept")))
     return gone.select("doc_id", "key", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")).distinct()
 
 
@@ -157,16 +166,27 @@ def mixed(rooted: DataFrame, by: str) -> DataFrame:
 
 
 def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
-    """(t, id, n, i): the rarest shingles of lines (h, g, line), by hash, with their place among the line's n by rarity.
+    """(t, id, n, i): the rarest shingles of lines (id, line), by hash, with their place among the line's n by rarity; those
+    that no other line has are left out.
 
     Two sets of similarity `least` hundredths or more share a member of both prefixes of n * (100 - least) / 100 + 1 members,
-    in any one order of all members; the rarest first makes the fewest meet.
+    in any one order of all members; the rarest first makes the fewest meet. Rarity is counted by bucket of shingles, a byte
+    for each (the logarithm), so that the table has one size for any corpus and needs no join.
     """
-    members = materialize(shingle_rows(lines, config.chars).distinct(), "line-sets")
-    often = materialize(members.groupBy("x").agg(F.count("*").alias("f")).where("f > 1"), "line-often")
-    listed = members.join(often, "x", "left").groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), F.col("x").alias("t")))).alias("s"))
-    some = listed.select(F.struct("h", "g").alias("id"), F.size("s").alias("n"), F.posexplode(F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)).alias("i", "x"))
-    return some.where("x.f > 1").select("x.t", "id", "n", "i")
+    bucket = lambda x: F.shiftright(x, 64 - BUCKET_BITS) + (1 << (BUCKET_BITS - 1))
+    each = shingle_rows(lines.select("id.*", "line"), config.chars)
+    often = bytearray(1 << BUCKET_BITS)
+    for r in each.groupBy(bucket(F.col("x")).alias("b")).agg(F.count("*").alias("n")).toLocalIterator():
+        often[r["b"]] = min(255, int(8 * math.log2(1 + r["n"])))
+    table = F.lit(often)
+    rarity = lambda x: F.struct(F.substring(table, (bucket(x) + 1).cast("int"), F.lit(1)).alias("f"), x.alias("t"))
+    listed = lines.select("id", F.array_sort(F.transform(shingle_set(F.col("line"), config.chars), rarity)).alias("s"))
+    some = listed.select("id", F.size("s").alias("n"), F.posexplode(F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)).alias("i", "x"))
+    own = materialize(some.select("x.t", "id", "n", "i"), "line-prefixes")
+    shared = own.groupBy("t").agg(F.count("*").alias("f")).where("f > 1").select("t")
+    posts = materialize(own.join(shared, "t", "left_semi"), "line-posts")
+    discard(own)
+    return posts
 
 
 def met_in_prefixes(posts: DataFrame, config: Lines) -> DataFrame:

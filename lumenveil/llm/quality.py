@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, discard, materialize
 
 #: What the learned rules may look at; each is a number from 0 on, and 0 for a text without words.
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "exclaim_share", "digit_share")
@@ -145,9 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
     some = known.select("doc_id", F.col("lo").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).where(~base_failed())
+    # Written before statistics are taken: they cost as much as all the rest, and a filter on them would run ahead of the join.
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "quality-sample")
+    rows = with_statistics(sample).where(~base_failed())
     named = [x.alias(k) for k, x in features().items()]
     got = rows.select((F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("split"), "doc_id", *named).orderBy(F.xxhash64("doc_id"), *FEATURES).limit(most).collect()
+    discard(sample)
     return learn([(r["bad"], r["split"], *(r[f] for f in FEATURES)) for r in got])
 
 

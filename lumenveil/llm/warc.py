@@ -21,16 +21,20 @@ def record(url: Column, page_id: Column, body: Column) -> Column:
 
 
 def leaves(pages: DataFrame) -> DataFrame:
-    """(file_no, idx, page_id, n_records, length, digest): a leaf for each page_id of pages (page_id, url, html).
+    """(file_no, idx, page_id, n_records, offset, length, digest): a leaf for each page_id of pages (page_id, url, html).
 
-    A file holds the page_ids of one range of 4096. Records are hashed where they lie; only digests are shuffled. Several
-    records of an id fold into one leaf by counts and exclusive-ors of their digests, whatever their order and number.
+    A file holds the page_ids of one range of 4096, records in order. Records are hashed where they lie; only lengths and
+    digests are shuffled. Several records of an id are first summed up by what they hold, so an id that a third of the rows
+    have costs a row for each different record; the leaf then hashes the sorted list of (length, digest, count), in 256 parts
+    by digest. Any change of one or more of them changes the leaf.
     Null page_ids form a file of their own (file_no null, idx 0); null urls and bodies are empty.
     """
     hashed = pages.select("page_id", record(F.col("url"), F.col("page_id"), F.col("html")).alias("r")).select("page_id", F.octet_length("r").cast("long").alias("length"), F.sha2("r", 256).alias("d"))
-    part = lambda at: F.bit_xor(F.conv(F.substring("d", at, 15), 16, 10).cast("long"))
-    found = hashed.groupBy("page_id").agg(F.count("*").alias("n_records"), F.sum("length").alias("length"), F.min("d").alias("first"), *[part(at).alias(f"x{at}") for at in (1, 16, 31, 46)])
-    one = F.when(F.col("n_records") == 1, F.col("first")).otherwise(F.sha2(F.concat_ws(",", "n_records", "x1", "x16", "x31", "x46"), 256))
+    kinds = hashed.groupBy("page_id", "length", "d").agg(F.count("*").alias("c"))
+    part = kinds.withColumn("p", F.substring("d", 1, 2)).groupBy("page_id", "p").agg(F.sum("c").alias("c"), F.sum(F.col("length") * F.col("c")).alias("length"), F.sort_array(F.collect_list(F.struct("length", "d", "c"))).alias("l"))
+    part = part.select("page_id", "c", "length", F.when((F.size("l") == 1) & (F.col("c") == 1), F.col("l")[0]["d"]).otherwise(F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["length"], x["d"], x["c"])), ","), 256)).alias("d"), "p")
+    found = part.groupBy("page_id").agg(F.sum("c").alias("n_records"), F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("p", "d"))).alias("l"))
+    one = F.when(F.size("l") == 1, F.col("l")[0]["d"]).otherwise(F.sha2(F.array_join(F.transform("l", lambda x: x["d"]), ","), 256))
     return found.select(F.shiftright("page_id", FILE_BITS).alias("file_no"), F.coalesce(F.col("page_id").bitwiseAND(F.lit((1 << FILE_BITS) - 1)), F.lit(0)).alias("idx"), "page_id", "n_records", "length", one.alias("digest"))
 
 
@@ -43,10 +47,13 @@ def offsets(found: DataFrame) -> DataFrame:
 
 
 def parents(nodes: DataFrame) -> DataFrame:
-    """The level above (file_no, idx, digest): a node hashes its children's places and digests in order, 16 at most."""
-    child = F.concat_ws(":", F.col("idx").cast("string"), "digest")
-    up = nodes.groupBy("file_no", F.shiftright("idx", FAN_BITS).alias("idx"))
-    return up.agg(F.sort_array(F.collect_list(F.struct("idx", child.alias("c")))).alias("kids")).select("file_no", "idx", F.sha2(F.array_join(F.transform("kids", lambda k: k["c"]), "\n"), 256).alias("digest"))
+    """The level above (file_no, idx, lo, hi, digest): a node covers the bytes lo to hi of its file and hashes its children's places,
+    ranges and digests in order, 16 at most. Ranges count from the node's own start, so that a change of length moves
+    nothing outside the branch that it lies in."""
+    up = nodes.groupBy("file_no", F.shiftright("idx", FAN_BITS).alias("up"))
+    kids = up.agg(F.sort_array(F.collect_list(F.struct("idx", "lo", "hi", "digest"))).alias("kids"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    child = lambda k: F.concat_ws(":", k["idx"], k["lo"] - F.col("lo"), k["hi"] - F.col("lo"), k["digest"])
+    return kids.select("file_no", F.col("up").alias("idx"), "lo", "hi", F.sha2(F.array_join(F.transform("kids", child), "\n"), 256).alias("digest"))
 
 
 def differing(left: DataFrame, right: DataFrame, among: DataFrame | None) -> DataFrame:
@@ -64,10 +71,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     problem: damaged, lost (not in the replica) or extra (only there; offset, length and expected are null). Trees of both are built
     level by level; roots are compared first, and then only children of nodes that differ. Equal or empty tables give no rows.
     """
-    mine, theirs = (materialize(leaves(x), "warc-leaves") for x in (primary, replica))
+    mine, theirs = (materialize(offsets(leaves(x)), "warc-leaves") for x in (primary, replica))
     sides = []
     for x in (mine, theirs):
-        levels = [x.select("file_no", "idx", "digest")]
+        levels = [x.select("file_no", "idx", F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"), "digest")]
         while len(levels) <= FILE_BITS // FAN_BITS:
             levels.append(materialize(parents(levels[-1]), "warc-level"))
         sides.append(levels)
@@ -75,7 +82,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     for level in range(FILE_BITS // FAN_BITS, -1, -1):
         among = materialize(differing(sides[0][level], sides[1][level], among), "warc-differ")
     bad = among.select(F.col("file_no").alias("b_file"), F.col("idx").alias("b_idx"))
-    placed = offsets(mine).select(F.col("file_no").alias("m_file"), F.col("idx").alias("m_idx"), F.col("page_id").alias("m_page"), "offset", "length", F.col("digest").alias("expected"))
+    placed = mine.select(F.col("file_no").alias("m_file"), F.col("idx").alias("m_idx"), F.col("page_id").alias("m_page"), "offset", "length", F.col("digest").alias("expected"))
     other = theirs.select(F.col("file_no").alias("t_file"), F.col("idx").alias("t_idx"), F.col("page_id").alias("t_page"), F.col("digest").alias("found"))
     joined = bad.join(placed, F.col("b_file").eqNullSafe(F.col("m_file")) & (F.col("b_idx") == F.col("m_idx")), "left").join(other, F.col("b_file").eqNullSafe(F.col("t_file")) & (F.col("b_idx") == F.col("t_idx")), "left")
     problem = F.when(F.col("found").isNull(), "lost").when(F.col("expected").isNull(), "extra").otherwise("damaged")

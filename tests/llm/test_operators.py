@@ -152,6 +152,13 @@ def test_op3(spark):
     assert warc.audit(pages, pages.repartition(3)).count() == 0 and warc.audit(pages.where("false"), pages.where("false")).count() == 0
     placed = {r["page_id"]: r for r in warc.audit(pages, pages.where("coalesce(page_id, -1) not in (0, 3)")).collect()}
     assert placed[0]["offset"] == 0 and placed[3]["offset"] == placed[0]["length"]
+    # Equal records of one id that change alike, one of several, and the number of equal ones.
+    twice = spark.createDataFrame([(7, "u", "a"), (7, "u", "a"), (8, "u", "x"), (9, "u", "p"), (9, "u", "q"), (9, "u", "q"), (10, "u", "z")] + [(11, "u", f"r{i}") for i in range(300)], pages.schema)
+    for was, now in ((7, "CORRUPT"), (9, "q"), (11, "r1")):
+        other = twice.withColumn("html", F.when(F.col("page_id") == was, now).otherwise(F.col("html")))
+        assert [(r["page_id"], r["problem"]) for r in warc.audit(twice, other).collect()] == [(was, "damaged")]
+    assert {r["page_id"] for r in warc.audit(twice, twice.dropDuplicates()).collect()} == {7, 9}
+    assert warc.audit(twice, twice.repartition(5)).count() == 0
 
 
 def test_op4_forward_sums_all_segmentations():
@@ -161,12 +168,47 @@ def test_op4_forward_sums_all_segmentations():
     def total(s):
         return 1.0 if not s else sum(prob[0][column[s[:n]]] * total(s[n:]) for n in (1, 2) if n <= len(s) and s[:n] in column)
 
-    ws = ["a", "ab", "abba", "babab", "b" * 70]
-    assert np.allclose(np.exp(langid.forward(ws, column, 2, prob)[:4, 0]), [total(w) for w in ws[:4]])
-    assert np.isclose(langid.forward(ws, column, 2, prob)[4, 0], 70 * np.log(0.2))
-    into = np.zeros(4)
-    langid.expected("abba", column, 2, prob[0], 2.0, into)
-    assert np.isclose(into @ [1, 1, 2, 2], 8)
+    ws = ["a", "ab", "abba", "babab", "b" * 700]
+    own = langid.Vocabulary(column)
+    assert np.allclose(np.exp(langid.forward(ws, own, prob)[:4, 0]), [total(w) for w in ws[:4]])
+    assert np.isclose(langid.forward(ws, own, prob)[4, 0], 700 * np.log(0.2))
+    into = langid.expected(["abba", "b" * 700], np.array([0, 0]), np.array([2.0, 1.0]), own, prob)[0]
+    assert np.isclose(into[:4] @ [1, 1, 2, 2], 8 + 700)
+
+
+def test_op4_forward_over_the_whole_vocabulary(rows):
+    """Real pieces of all lengths, unknown characters and long words against a plain sum; expected counts against its gradient."""
+    column = langid.pieces_of(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    prob = rng.dirichlet(np.full(len(column), 0.5), 2) + 1e-9
+    prob = np.hstack([prob, np.full((2, 1), langid.UNKNOWN)])
+    own = langid.Vocabulary(column)
+    pieces = list(column)
+    long = [p for p in pieces if len(p) > 8]
+    ws = [langid.MARK + "".join(rng.choice(long, 2)).replace(langid.MARK, "") for _ in range(60)] + ["".join(rng.choice(pieces, 4)) for _ in range(60)]
+    ws += [langid.MARK + w.lower() for _, t in rows[:20] for w in (t or "").split()[:40]] + ["日本語のテキスト", "é😀\u0378x", "x" * 3000, ""]
+
+    def logs(word, p):
+        sums = [0.0] + [-np.inf] * len(word)
+        for e in range(1, len(word) + 1):
+            for s in range(max(0, e - own.longest), e):
+                k = column.get(word[s:e], len(column) if e - s == 1 else None)
+                if k is not None:
+                    sums[e] = np.logaddexp(sums[e], sums[s] + np.log(p[k]))
+        return sums[-1]
+
+    assert own.longest == max(map(len, column)) > 8
+    got = langid.forward(ws[:-1], own, prob)
+    assert np.allclose(got, [[logs(w, p) for p in prob] for w in ws[:-1]], rtol=1e-9, atol=1e-7)
+    some = [w for w in ws[:-1] if w]
+    langs = np.arange(len(some)) % 2
+    into = langid.expected(some, langs, np.ones(len(some)), own, prob)
+    assert np.isclose(into @ np.array([len(p) for p in pieces] + [1]), [sum(len(w) for w, x in zip(some, langs, strict=True) if x == y) for y in (0, 1)]).all()
+    k = int(np.argmax(into[0][:-1]))
+    more = prob.copy()
+    more[0, k] *= 1 + 1e-6
+    up = sum(logs(w, more[0]) - logs(w, prob[0]) for w, x in zip(some, langs, strict=True) if x == 0 and pieces[k] in w) / np.log1p(1e-6)
+    assert np.isclose(up, into[0, k], rtol=1e-3)
 
 
 def test_op4_held_out(spark, docs, nothing):
@@ -208,6 +250,8 @@ def test_op6(spark):
     turns += [(9, i, "user", str(i)) for i in range(700)] + [(8, i, "user", str(i)) for i in range(699)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
     assert sorted(r["conv_id"] if r["conv_id"] is not None else -1 for r in chat.maximal(df).collect()) == [-1, 2, 3, 5, 9]
+    twins = spark.createDataFrame([(1, 0, "user", None), (2, 0, "user", ""), (3, 0, None, "a"), (4, 0, "unknown", "a"), (4, 1, "user", "b")], "conv_id long, turn long, role string, text string")
+    assert sorted(r["conv_id"] for r in chat.maximal(twins).collect()) == [1, 4]  # what renders alike is alike
     out = [r["rendered"] for r in chat.rendered(df).where("conv_id = 5").collect()]
     assert out == ["<|unknown|>\n\n"] and chat.rendered(df.where("false")).count() == 0
 
