@@ -32,8 +32,8 @@ class Retrieval:
     block: benchmark items searched in one pass. common: a word that a larger share of documents has is common."""
 
     buckets: int = 1 << 15
-    rank: int = 16
-    extra: int = 6
+    rank: int = 32
+    extra: int = 8
     passage: int = 64
     windows: tuple[int, ...] = (20, 36, 56)
     short: int = 5
@@ -123,7 +123,7 @@ def decompose(docs: DataFrame, idf: np.ndarray, config: Retrieval) -> np.ndarray
             length = np.diff(np.append(starts, len(ids)))
             norm = np.sqrt(np.add.reduceat(weight[ids] ** 2, starts)) + 1e-9
             z = np.add.reduceat(w[ids], starts, axis=0) / (norm**2)[:, None]
-            order = np.argsort(ids, kind="stable")
+            order = np.argsort(ids.astype(np.min_scalar_type(config.buckets - 1)), kind="stable")  # of 16 bits, in linear time
             first = np.flatnonzero(np.diff(ids[order], prepend=-1))
             row = np.repeat(np.arange(len(starts)), length)[order]
             out[ids[order][first]] += np.add.reduceat(z[row], first, axis=0)

@@ -19,6 +19,8 @@ from .common import materialize
 LONG_SPACE = re.compile(r"\s{2000}")
 #: How byte-level BPE parts a text before merging; a fixed value of the format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Limits of the query and of the pipeline, beside tokens: both are met by some sequences and bind there.
+PRODUCTION = {"max_segments": 16, "max_loss": 2046}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 

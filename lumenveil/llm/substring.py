@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, materialize, mix, prefix_sums, row_key, stretch, word_hashes, words_of
+from .common import BASES, discard, materialize, mix, prefix_sums, row_key, stretch, word_hashes, words_of
 
 class Roller:
     """Hashes of any stretch of a text's words, from prefix sums over two 64-bit hashes of each word. Words and sums differ
@@ -66,10 +66,11 @@ def repeated_spans(docs: DataFrame, window: int = 35, core: int = 10) -> DataFra
                     parts.append((np.full(len(a), doc), np.full(len(a), key), a, f, lo, hi))
             yield _batch(parts, ["id", "key", "a", "f", "lo", "hi"], [pa.int64()] * 4 + [pa.int32()] * 2)
 
-    found = docs.select("id", "key", "text").mapInArrow(paths, "id long, key long, a long, f long, lo int, hi int")
+    found = materialize(docs.select("id", "key", "text").mapInArrow(paths, "id long, key long, a long, f long, lo int, hi int"), "spans-found")
     # Written, so that the join below shuffles both sides for itself and a hot core can be split there.
     twice = materialize(found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "spans-cores")
     met = materialize(found.join(twice, "a", "left_semi"), "spans-met")
+    discard(found, twice)
     whole = materialize(met.groupBy("a", "f").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "lo", "hi")).alias("at")), "spans-paths")
     full = met.join(whole.where("n > 1").select("a", "f"), ["a", "f"], "left_semi").select("id", "key", F.col("lo").alias("s"), (F.col("hi") + window).alias("e"))
     branch = whole.groupBy("a").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("a")

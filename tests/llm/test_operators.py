@@ -351,6 +351,15 @@ def test_op10(docs, rows, nothing):
     assert packing.pack(nothing, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_op10_production_limits_bind(spark):
+    """Each sequence of the query keeps all three limits, and some reach the one on loss."""
+    bins = defaultdict(list)
+    for r in queries.op10_packing(spark, SF).collect():
+        bins[r["sequence_id"]].append((r["length"], r["length"] - (r["start"] == 0)))
+    assert all(sum(n for n, _ in v) <= 2048 and len(v) <= 16 and sum(x for _, x in v) <= 2046 for v in bins.values())
+    assert any(sum(x for _, x in v) == 2046 for v in bins.values()) and sum(n for v in bins.values() for n, _ in v) > 0.99 * 2048 * (len(bins) - 1)
+
+
 def test_op10_limits_all_dimensions():
     demand = np.array([[100.0, 1, 90], [50, 1, 50], [30, 1, 0], [20, 1, 20], [10, 1, 10]] * 20)
     limits = np.array([200.0, 3, 120])
