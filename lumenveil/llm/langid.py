@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import BASES, discard, materialize, mix, prefix_sums, stretch
 
 MARK = "▁"
-#: Words that a Python worker remembers, and numbers that it holds for them: 64 MB, whatever the number of languages.
-MEMO, MEMO_CELLS = 1_000_000, 1 << 23
+#: Words that a Python worker remembers, and numbers that it holds for them: 32 MB, whatever the number of languages.
+MEMO, MEMO_CELLS = 200_000, 1 << 22
 LETTER = regex.compile(r"\p{L}")
 #: A character outside the vocabulary has this probability in every language.
 UNKNOWN = 1e-7

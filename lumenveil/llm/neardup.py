@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, mix, row_key, word_hashes
+from .common import components, discard, materialize, mix, row_key, word_hashes
 
 #: Lower-cases A-Z in UTF-8.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -126,14 +128,15 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     classes = materialize(signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.first("tokens").alias("tokens"), F.first("b0").alias("b0"), F.first("b1").alias("b1")), "near-classes")
     token = lambda i: F.substring("tokens", 8 * i + 1, 8)
     nodes = classes.select("digest", "b0", "b1", F.posexplode(F.array(*[token(i) for i in range(config.trees)])).alias("tree", "t")).select(F.xxhash64("tree", "t").alias("node"), "digest", "b0", "b1")
-    edges: DataFrame | None = None
     root: DataFrame | None = None
+    last: DataFrame | None = None  # the table that the level's nodes come from
     for depth in range(config.deepest):
         size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("digest", "b0", "b1")).alias("other")).where("n > 1")
         size = materialize(size, "near-sizes")  # so that the join can split a hot node
-        live = nodes.join(size, "node")
-        live = materialize(with_root(live, root), "near-nodes")
+        live = materialize(with_root(nodes.join(size, "node"), root), "near-nodes")
+        discard(size, last)
         if not live.head(1):
+            discard(live)
             break
         star = live.where((F.col("digest") != F.col("other.digest")) & close(config)).select(F.col("digest").alias("a"), F.col("other.digest").alias("b"), "root")
         if root is not None:
@@ -145,13 +148,16 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         pairs = first.where(close(config)).select(F.col("digest").alias("b"), F.col("other.digest").alias("a")).distinct()
         pairs = materialize(pairs.select("a", "b").join(star, ["a", "b"], "left_anti"), "near-pairs")
         texts = texts_of(star.union(pairs), classes, rows)
-        edges, root = linked([(star, texts)], edges, root, config)
+        root = linked([(star, texts)], root, config)
         rooted = with_root(live.where(F.col("n") > config.tiny).drop("root"), root)
         mixed = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
         rooted = materialize(rooted.join(mixed, "node", "left_semi").select("node", "digest", "b0", "b1", "n", "root"), "near-mixed")
+        last = rooted
         middle = rooted.where(F.col("n") <= config.small).select("node", "digest", "b0", "b1", "root").repartition("node").sortWithinPartitions("node")
         middle = materialize(middle.mapInArrow(within(config), "a binary, b binary").distinct(), "near-pairs")
-        edges, root = linked([(pairs, texts), (middle, texts_of(middle, classes, rows))], edges, root, config)
+        more = texts_of(middle, classes, rows)
+        root = linked([(pairs, texts), (middle, more)], root, config)
+        discard(star, pairs, middle, texts, more, live)
         wide = rooted.where(F.col("n") > config.small).select("node", "digest", "b0", "b1")
         rate = F.lit(config.early[depth]) if depth < len(config.early) else F.lit(100 // config.least) + (F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(config.least)) < 100 % config.least).cast("int")
         picks = F.transform(F.sequence(F.lit(1), rate), lambda k: F.pmod(F.xxhash64("node", k), F.lit(config.coords)).cast("int"))
@@ -159,13 +165,13 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         grown = grown.select("node", "digest", "b0", "b1", "tokens", F.explode(F.array_distinct(picks)).alias("i"))
         nodes = grown.select(F.xxhash64("node", "i", F.expr("substring(tokens, 8 * i + 1, 8)")).alias("node"), "digest", "b0", "b1")
     else:  # what the levels have not parted: all pairs of a node that no links join
-        last = with_root(nodes, root)
-        mixed = last.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
-        last = materialize(last.join(mixed, "node", "left_semi"), "near-last")
-        other = last.select("node", F.struct("digest", "b0", "b1").alias("other"), F.col("root").alias("its"))
-        pairs = last.join(other, "node").where((F.col("digest") > F.col("other.digest")) & (F.col("root") != F.col("its")) & close(config))
+        rest = with_root(nodes, root)
+        mixed = rest.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
+        rest = materialize(rest.join(mixed, "node", "left_semi"), "near-last")
+        other = rest.select("node", F.struct("digest", "b0", "b1").alias("other"), F.col("root").alias("its"))
+        pairs = rest.join(other, "node").where((F.col("digest") > F.col("other.digest")) & (F.col("root") != F.col("its")) & close(config))
         pairs = materialize(pairs.select(F.col("digest").alias("a"), F.col("other.digest").alias("b")).distinct(), "near-pairs")
-        edges, root = linked([(pairs, texts_of(pairs, classes, rows))], edges, root, config)
+        root = linked([(pairs, texts_of(pairs, classes, rows))], root, config)
     members = signed.select("doc_id", "key", "n_shingles", "digest")
     if root is not None:
         members = members.join(root.withColumnRenamed("id", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -184,21 +190,20 @@ def texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame
     need = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "row"), "digest")
     need = materialize(need.select("digest", F.coalesce("row.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("row.key").alias("_key")), "near-need")
     own = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("key").alias("_key"), "text")
-    return materialize(own.join(need, ["_id", "_key"]).select("digest", "text").dropDuplicates(["digest"]), "near-texts")
+    texts = materialize(own.join(need, ["_id", "_key"]).select("digest", "text").dropDuplicates(["digest"]), "near-texts")
+    discard(need)
+    return texts
 
 
-def linked(some: list[tuple[DataFrame, DataFrame | None]], edges: DataFrame | None, root: DataFrame | None, config: Join) -> tuple[DataFrame | None, DataFrame | None]:
-    """Edges and components with those of the pairs that hold and are not in one component yet; some: pairs with their texts."""
-    new = None
-    for pairs, texts in some:
-        if texts is not None:
-            found = materialize(verified(pairs if root is None else apart_only(pairs, root), texts, config), "near-links")
-            if found.head(1):
-                new = found if new is None else new.union(found)
-    if new is None:
-        return edges, root
-    edges = new if edges is None else edges.union(new)
-    return edges, components(edges, "near")
+def linked(some: list[tuple[DataFrame, DataFrame | None]], root: DataFrame | None, config: Join) -> DataFrame | None:
+    """Components with those of the pairs that hold and are not in one component yet; some: pairs with their texts."""
+    found = [materialize(verified(pairs if root is None else apart_only(pairs, root), texts, config), "near-links") for pairs, texts in some if texts is not None]
+    new = [x for x in found if x.head(1)]
+    if new:
+        root, before = components(reduce(DataFrame.union, new), "near", root), root
+        discard(before)
+    discard(*found)
+    return root
 
 
 def within(config: Join):
@@ -262,6 +267,7 @@ def near_duplicates(docs: DataFrame, config: Join = Join()) -> DataFrame:
 
 def without_copies(docs: DataFrame, config: Join = Join()) -> DataFrame:
     """Rows of docs, all columns, one of each component: its least (doc_id, key), once. Texts without words all stay."""
-    keep = groups(docs, config).where("stays").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("key").alias("_key"))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_key", row_key())
-    return rows.join(keep, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    doc, key = (f"_{x}{uuid.uuid4().hex}" for x in ("doc", "key"))  # names that docs can't have
+    keep = groups(docs, config).where("stays").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(doc), F.col("key").alias(key))
+    rows = docs.withColumn(doc, F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(key, row_key())
+    return rows.join(keep, [doc, key], "left_semi").dropDuplicates([doc, key]).select(*[F.col(f"`{c}`") for c in docs.columns])
