@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marks, word_hashes
+from .common import marks, small_batches, word_hashes
 
 #: Words here are lower-cased stretches without white space and common punctuation.
 PARTS = marks(b" \t\n\x0b\x0c\r.,;:!?\"'()")
@@ -312,6 +312,7 @@ class Decontaminator:
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, config: Retrieval = Retrieval()):
         self.config, self.spark = config, docs.sparkSession
+        small_batches(self.spark)
         self.blocks: list[list[tuple[int, str]]] = []
         some: list[tuple[int, str]] = []
         for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():

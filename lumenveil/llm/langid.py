@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, discard, materialize, mix, prefix_sums, stretch
+from .common import BASES, discard, materialize, mix, prefix_sums, small_batches, stretch
 
 MARK = "▁"
 #: Words that a Python worker remembers, and numbers that it holds for them: 32 MB, whatever the number of languages.
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, model_file: str, per_language: int = 1000, rounds:
     `per_language` (all, if there are no more). The first probabilities come from the vocabulary's own merges.
     Piece counts are summed by Spark; the driver gets languages x pieces numbers.
     """
-    spark = labelled.sparkSession
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -245,6 +245,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prob))

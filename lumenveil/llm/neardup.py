@@ -14,7 +14,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, mix, row_key, word_hashes
+from .common import components, discard, materialize, mix, row_key, small_batches, word_hashes
 
 #: Lower-cases A-Z in UTF-8.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -123,6 +123,7 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     Texts that are null or without words have no shingles and are alone; a row's ids may repeat (rows of equal text are
     linked, as any others); an empty table gives no rows. Ties go to the least doc_id; null ids count as the largest.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").withColumn("key", row_key())
     signed = materialize(rows.mapInArrow(signer(config), "doc_id long, key long, n_shingles long, digest binary, tokens binary, b0 long, b1 long"), "near-signed")
     classes = materialize(signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.first("tokens").alias("tokens"), F.first("b0").alias("b0"), F.first("b1").alias("b1")), "near-classes")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 #: A run of white space that a backtracking pattern would not get through.
 LONG_SPACE = re.compile(r"\s{2000}")
@@ -118,6 +118,7 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, max_segments: i
     grows with the corpus. sequence_id is unique over all blocks; offsets in a sequence have no gap.
     Null and empty texts are one end_id. Repeated rows and ids are packed each. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     if max_loss is not None and max_loss < size:
         cut_at = max_loss
     else:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, discard, materialize, mix, prefix_sums, row_key, stretch, word_hashes, words_of
+from .common import BASES, discard, materialize, mix, prefix_sums, row_key, small_batches, stretch, word_hashes, words_of
 
 class Roller:
     """Hashes of any stretch of a text's words, from prefix sums over two 64-bit hashes of each word. Words and sums differ
@@ -103,6 +103,7 @@ def without_repeats(docs: DataFrame, window: int = 35, core: int = 10) -> DataFr
     nothing. Rows that repeat, ids included, are places like any others: each is a repeat of the other. kept_text is null
     for null texts and else the kept words, joined by one space.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), row_key().alias("key"))
     spans = repeated_spans(rows, window, core)
 

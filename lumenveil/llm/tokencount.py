@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Words whose counts a Python worker remembers before it starts afresh.
 MEMO = 1_000_000
 MARK = "▁"
@@ -95,4 +97,5 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
             sizes = [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
