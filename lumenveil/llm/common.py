@@ -118,7 +118,7 @@ def small_batches(spark: SparkSession) -> None:
     """Python workers get 8 MB of rows at a time, where the session leaves Spark's own limit of 64 MB: several copies of a batch
     are held at once, by Spark and by the worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "67108864"):
+    if spark.conf.get(key) in ("67108864b", "67108864"):
         spark.conf.set(key, "8m")
 
 
