@@ -166,8 +166,8 @@ def mixed(rooted: DataFrame, by: str) -> DataFrame:
 
 
 def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
-    """(t, id, n, i): the rarest shingles of lines (id, line), by hash, with their place among the line's n by rarity; those
-    that no other line has are left out.
+    """(t, id, n, i, before): the rarest shingles of lines (id, line), by hash, with their place among the line's n by rarity and
+    the three that come before them; those that no other line has are left out.
 
     Two sets of similarity `least` hundredths or more share a member of both prefixes of n * (100 - least) / 100 + 1 members,
     in any one order of all members; the rarest first makes the fewest meet. Rarity is counted by bucket of shingles, a byte
@@ -181,8 +181,9 @@ def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
     table = F.lit(often)
     rarity = lambda x: F.struct(F.substring(table, (bucket(x) + 1).cast("int"), F.lit(1)).alias("f"), x.alias("t"))
     listed = lines.select("id", F.array_sort(F.transform(shingle_set(F.col("line"), config.chars), rarity)).alias("s"))
-    some = listed.select("id", F.size("s").alias("n"), F.posexplode(F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)).alias("i", "x"))
-    own = materialize(some.select("x.t", "id", "n", "i"), "line-prefixes")
+    first = F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)
+    some = listed.select("id", F.size("s").alias("n"), F.transform(first, lambda x: x["t"]).alias("p")).select("id", "n", "p", F.posexplode("p").alias("i", "t"))
+    own = materialize(some.select("t", "id", "n", "i", F.slice("p", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3))).alias("before")), "line-prefixes")
     shared = own.groupBy("t").agg(F.count("*").alias("f")).where("f > 1").select("t")
     posts = materialize(own.join(shared, "t", "left_semi"), "line-posts")
     discard(own)
@@ -191,10 +192,11 @@ def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
 
 def met_in_prefixes(posts: DataFrame, config: Lines) -> DataFrame:
     """Pairs (a, b) of lines of different components that share a prefix member and whose sets can still be alike: what they
-    share stands from their first common member on."""
-    one, two = posts.select("t", F.col("id").alias("a"), F.col("root").alias("p"), F.col("n").alias("x"), F.col("i").alias("j")), posts.select("t", F.col("id").alias("b"), F.col("root").alias("q"), F.col("n").alias("y"), F.col("i").alias("k"))
+    share stands from their first common member on. Where what comes before a member is common to both as well, the pair
+    has been met there: lines that share a run of members meet once, not at each."""
+    one, two = posts.select("t", F.col("id").alias("a"), F.col("root").alias("p"), F.col("n").alias("x"), F.col("i").alias("j"), F.col("before").alias("u")), posts.select("t", F.col("id").alias("b"), F.col("root").alias("q"), F.col("n").alias("y"), F.col("i").alias("k"), F.col("before").alias("v"))
     enough = (100 + config.least) * F.least(F.col("x") - F.col("j"), F.col("y") - F.col("k")) >= config.least * (F.col("x") + F.col("y"))
-    return one.join(two, "t").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & enough).select("a", "b").distinct()
+    return one.join(two, "t").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & enough & ~F.arrays_overlap("u", "v")).select("a", "b").distinct()
 
 
 def without_surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:

@@ -18,6 +18,8 @@ from .common import components, discard, materialize, mix, row_key, small_batche
 
 #: Lower-cases A-Z in UTF-8.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Sets of a node that are compared with as many others in one cell.
+CELL = 32
 LOWER_BYTES = np.frombuffer(LOWER, np.uint8)
 
 
@@ -90,24 +92,43 @@ def close(config: Join, left: str = "", right: str = "other."):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, config: Join) -> DataFrame:
-    """Those of pairs (a, b) whose full sets of shingles, as words, are similar enough."""
+    """Those of pairs (a, b, cell) whose full sets of shingles, as words, are similar enough.
+
+    Pairs come in cells of some tens of sets: each set's text is sent to a cell once, however many pairs it has there, and
+    parted into words once. A worker holds one cell at a time."""
+
+    def judged(cell: list[tuple[bytes, list[bytes] | None, str]]) -> list[tuple[bytes, bytes]]:
+        sets = {digest: shingles(text, config.width) for digest, _, text in cell}
+        out = []
+        for digest, mates, _ in cell:
+            for mate in mates or ():
+                x, y = sets[mate], sets[digest]
+                if 100 * min(len(x), len(y)) >= config.least * max(len(x), len(y)):
+                    common = len(x & y)
+                    if common and 100 * common >= config.least * (len(x) + len(y) - common):
+                        out.append((mate, digest))
+        return out
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[str, set[bytes]] = ("", set())
+        now: int | None = None
+        held: list[tuple[bytes, list[bytes] | None, str]] = []
         for b in batches:
             linked = []
-            for one, two in zip(b.column("one").to_pylist(), b.column("two").to_pylist(), strict=True):
-                if held[0] != two:  # rows come sorted by b
-                    held = (two, shingles(two, config.width))
-                x, y = shingles(one, config.width), held[1]
-                common = len(x & y)
-                linked.append(bool(common) and 100 * common >= config.least * (len(x) + len(y) - common))
-            mask = pa.array(linked, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+            for cell, *row in zip(*(b.column(c).to_pylist() for c in ("cell", "digest", "mates", "text")), strict=True):
+                if cell != now:
+                    linked += judged(held)
+                    now, held = cell, []
+                held.append(tuple(row))
+            yield as_batch(linked)
+        yield as_batch(judged(held))
 
-    one = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("one")), "a")
-    both = one.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("two")), "b")
-    return both.select("a", "b", "one", "two").mapInArrow(confirmed, "a binary, b binary")
+    def as_batch(linked: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in linked], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    once = pairs.groupBy("a", "b").agg(F.min("cell").alias("cell"))
+    ends = once.groupBy("cell", F.col("b").alias("digest")).agg(F.collect_list("a").alias("mates")).union(once.select("cell", F.col("a").alias("digest"), F.lit(None).cast("array<binary>")).distinct())
+    rows = ends.join(texts, "digest").select("cell", "digest", "mates", "text").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(confirmed, "a binary, b binary")
 
 
 def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
@@ -139,15 +160,15 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         if not live.head(1):
             discard(live)
             break
-        star = live.where((F.col("digest") != F.col("other.digest")) & close(config)).select(F.col("digest").alias("a"), F.col("other.digest").alias("b"), "root")
+        star = live.where((F.col("digest") != F.col("other.digest")) & close(config)).select(F.col("digest").alias("a"), F.col("other.digest").alias("b"), "root", F.xxhash64("other.digest", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / CELL))).alias("cell"))
         if root is not None:
             star = star.join(root.select(F.col("id").alias("b"), F.col("root").alias("its")), "b", "left").where("root <> coalesce(its, b)")
-        star = materialize(star.select("a", "b").distinct(), "near-star")
+        star = materialize(star.groupBy("a", "b").agg(F.min("cell").alias("cell")), "near-star")
         tiny = live.where(F.col("n").between(3, config.tiny)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("digest", "b0", "b1", "root"))).alias("m"))
         open_ = tiny.where(F.exists("m", lambda x: x["root"] != F.col("m")[0]["root"]))
-        first = open_.select(F.explode("m").alias("x"), "m").select("x.*", F.explode(F.filter("m", lambda y: (y["digest"] > F.col("x.digest")) & (y["root"] != F.col("x.root")))).alias("other"))
-        pairs = first.where(close(config)).select(F.col("digest").alias("b"), F.col("other.digest").alias("a")).distinct()
-        pairs = materialize(pairs.select("a", "b").join(star, ["a", "b"], "left_anti"), "near-pairs")
+        first = open_.select("node", F.explode("m").alias("x"), "m").select("node", "x.*", F.explode(F.filter("m", lambda y: (y["digest"] > F.col("x.digest")) & (y["root"] != F.col("x.root")))).alias("other"))
+        pairs = first.where(close(config)).groupBy(F.col("other.digest").alias("a"), F.col("digest").alias("b")).agg(F.min("node").alias("cell"))
+        pairs = materialize(pairs.join(star, ["a", "b"], "left_anti"), "near-pairs")
         texts = texts_of(star.union(pairs), classes, rows)
         root = linked([(star, texts)], root, config)
         rooted = with_root(live.where(F.col("n") > config.tiny).drop("root"), root)
@@ -155,7 +176,7 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         rooted = materialize(rooted.join(mixed, "node", "left_semi").select("node", "digest", "b0", "b1", "n", "root"), "near-mixed")
         last = rooted
         middle = rooted.where(F.col("n") <= config.small).select("node", "digest", "b0", "b1", "root").repartition("node").sortWithinPartitions("node")
-        middle = materialize(middle.mapInArrow(within(config), "a binary, b binary").distinct(), "near-pairs")
+        middle = materialize(middle.mapInArrow(within(config), "a binary, b binary, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell")), "near-pairs")
         more = texts_of(middle, classes, rows)
         root = linked([(pairs, texts), (middle, more)], root, config)
         discard(star, pairs, middle, texts, more, live)
@@ -171,7 +192,8 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         rest = materialize(rest.join(mixed, "node", "left_semi"), "near-last")
         other = rest.select("node", F.struct("digest", "b0", "b1").alias("other"), F.col("root").alias("its"))
         pairs = rest.join(other, "node").where((F.col("digest") > F.col("other.digest")) & (F.col("root") != F.col("its")) & close(config))
-        pairs = materialize(pairs.select(F.col("digest").alias("a"), F.col("other.digest").alias("b")).distinct(), "near-pairs")
+        cell = F.xxhash64("node", F.shiftright("b0", 56), F.shiftright("other.b0", 56))
+        pairs = materialize(pairs.groupBy(F.col("digest").alias("a"), F.col("other.digest").alias("b")).agg(F.min(cell).alias("cell")), "near-pairs")
         root = linked([(pairs, texts_of(pairs, classes, rows))], root, config)
     members = signed.select("doc_id", "key", "n_shingles", "digest")
     if root is not None:
@@ -188,7 +210,7 @@ def texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame
     """(digest, text) for the ends of pairs; none if there are no pairs."""
     if not pairs.head(1):
         return None
-    need = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(classes.select("digest", "row"), "digest")
+    need = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct().join(classes.select("digest", "row"), "digest")
     need = materialize(need.select("digest", F.coalesce("row.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("row.key").alias("_key")), "near-need")
     own = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("key").alias("_key"), "text")
     texts = materialize(own.join(need, ["_id", "_key"]).select("digest", "text").dropDuplicates(["digest"]), "near-texts")
@@ -218,6 +240,7 @@ def within(config: Join):
         root = pa.compute.dictionary_encode(t["root"].combine_chunks()).indices.to_numpy()
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
+        cells: list[np.ndarray] = [np.zeros(0, np.uint64)]
         for lo, hi in zip([0, *cut], [*cut, len(node)], strict=True):
             for i in range(lo, hi - 1):
                 far = np.bitwise_count((x[i] ^ x[i + 1 : hi]) | (y[i] ^ y[i + 1 : hi]))
@@ -225,11 +248,12 @@ def within(config: Join):
                 if len(j):
                     a.append(j)
                     b.append(np.full(len(j), i))
+                    cells.append(mix(node.view(np.uint64)[i] ^ mix(((i - lo) // CELL * (1 << 20) + (j - lo) // CELL + 1).astype(np.uint64))))
         digest = t["digest"].combine_chunks()
         take = lambda at: digest.take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
         p, q = take(a), take(b)
         swap = pa.compute.less(p, q)  # each pair in one order only
-        return pa.RecordBatch.from_arrays([pa.compute.if_else(swap, q, p), pa.compute.if_else(swap, p, q)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.compute.if_else(swap, q, p), pa.compute.if_else(swap, p, q), pa.array(np.concatenate(cells).view(np.int64))], names=["a", "b", "cell"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -258,7 +282,7 @@ def apart_only(pairs: DataFrame, root: DataFrame) -> DataFrame:
     """Pairs whose two ends links don't join yet."""
     for end in ("a", "b"):
         pairs = pairs.join(root.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return pairs.where("root_a <> root_b").select("a", "b")
+    return pairs.where("root_a <> root_b").drop("root_a", "root_b")
 
 
 def near_duplicates(docs: DataFrame, config: Join = Join()) -> DataFrame:

@@ -475,7 +475,7 @@ def test_op8_recall_in_large_nodes(spark):
     """Pairs alike in one family whose nodes all hold far more than `small` sets, and which no other links join."""
     rng = np.random.default_rng(12)
     texts = []
-    for i in range(500):  # any two share 100 of some 164 shingles
+    for i in range(250):  # any two share 100 of some 164 shingles
         texts.append(" ".join([f"b{k}" for k in range(101)] + [f"u{i}_{k}" for k in range(32)]))
         if i % 5 == 0:
             texts.append(texts[-1].replace(f"u{i}_3 ", "") + " " + " ".join(f"x{i}_{k}" for k in range(26)))
@@ -485,5 +485,5 @@ def test_op8_recall_in_large_nodes(spark):
     pairs = [i for i, w in enumerate(want) if w != i]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, neardup.Join(tiny=4, small=60)).collect()}
-    assert len(pairs) == 100 and all(got[i] in (i, want[i]) for i in range(len(texts)))
-    assert sum(got[i] == want[i] for i in pairs) >= 98
+    assert len(pairs) == 50 and all(got[i] in (i, want[i]) for i in range(len(texts)))
+    assert sum(got[i] == want[i] for i in pairs) >= 49
