@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import components, discard, materialize, row_key, swept
 from .quality import bind
 
-#: Buckets of the table of rarity, as a power of two: 256 KB.
-BUCKET_BITS = 18
+#: Buckets of the table of rarity, as a power of two: 128 KB.
+BUCKET_BITS = 17
 
 
 @dataclass(frozen=True)
@@ -180,10 +180,13 @@ def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
         often[r["b"]] = min(255, int(8 * math.log2(1 + r["n"])))
     table = F.lit(often)
     rarity = lambda x: F.struct(F.substring(table, (bucket(x) + 1).cast("int"), F.lit(1)).alias("f"), x.alias("t"))
-    listed = lines.select("id", F.array_sort(F.transform(shingle_set(F.col("line"), config.chars), rarity)).alias("s"))
-    first = F.slice("s", 1, F.floor(F.size("s") * (100 - config.least) / 100).cast("int") + 1)
-    some = listed.select("id", F.size("s").alias("n"), F.transform(first, lambda x: x["t"]).alias("p")).select("id", "n", "p", F.posexplode("p").alias("i", "t"))
+    first = lambda s: F.slice(s, 1, F.floor(F.size(s) * (100 - config.least) / 100).cast("int") + 1)
+    of = lambda s: F.struct(F.size(s).alias("n"), F.transform(first(s), lambda x: x["t"]).alias("p"))
+    # Written before they are taken apart, or each set would be made anew for each use of it.
+    listed = materialize(lines.select("id", bind(F.array_sort(F.transform(shingle_set(F.col("line"), config.chars), rarity)), of).alias("v")), "line-sorted")
+    some = listed.select("id", "v.n", "v.p", F.posexplode("v.p").alias("i", "t"))
     own = materialize(some.select("t", "id", "n", "i", F.slice("p", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3))).alias("before")), "line-prefixes")
+    discard(listed)
     shared = own.groupBy("t").agg(F.count("*").alias("f")).where("f > 1").select("t")
     posts = materialize(own.join(shared, "t", "left_semi"), "line-posts")
     discard(own)
