@@ -34,7 +34,7 @@ class Join:
     width: int = 2
     least: int = 80
     trees: int = 12
-    small: int = 1000
+    small: int = 16_384
     tiny: int = 24
     early: tuple[int, ...] = (3, 2, 2)
     deepest: int = 40
@@ -230,7 +230,8 @@ def linked(some: list[tuple[DataFrame, DataFrame | None]], root: DataFrame | Non
 
 
 def within(config: Join):
-    """All pairs of each node with close sketches and different roots; rows come sorted by node, `small` of one at most."""
+    """All pairs of each node with close sketches and different roots; rows come sorted by node, `small` of one at most: a few
+    MB in a worker, however long their texts."""
 
     def compared(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
