@@ -34,7 +34,7 @@ class Join:
     width: int = 2
     least: int = 80
     trees: int = 12
-    small: int = 16_384
+    small: int = 1000
     tiny: int = 24
     early: tuple[int, ...] = (3, 2, 2)
     deepest: int = 40
