@@ -21,6 +21,10 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Sets of a node that are compared with as many others in one cell.
 CELL = 32
 LOWER_BYTES = np.frombuffer(LOWER, np.uint8)
+#: Longs of a set's parity bits.
+ODD = 8
+#: What is known of a set without its text: two-bit minwise sketch, size, parity bits.
+SKETCH = ["b0", "b1", "n_set", *[f"o{i}" for i in range(ODD)]]
 
 
 @dataclass(frozen=True)
@@ -29,7 +33,8 @@ class Join:
     coordinate of its own at the root. small: up to so many sets, all pairs of a node are held against each other's sketches;
     tiny: up to so many, in Spark's own functions. early: coordinates that the first levels of a larger node follow; later
     levels follow `1 / similarity` on average, the chosen-path rate, so that sets below the threshold die out. deepest: levels at most. coords: minwise tokens of a set. far: sketches of two sets
-    that are linked differ in at most so many of `coords` two-bit places (at similarity 0.8, 27 of 64 leave out 5 in 10**7)."""
+    that are linked differ in at most so many of `coords` two-bit places (at similarity 0.8, 27 of 64 leave out 5 in 10**7). Sizes
+    and parity bits of two sets leave out no link: see close()."""
 
     width: int = 2
     least: int = 80
@@ -52,12 +57,14 @@ def shingles(text: str | None, width: int) -> set[bytes]:
 
 
 def signer(config: Join):
-    """For each row: number of shingles, digest of the whole set, minwise tokens (8 bytes each) and their sketch: two longs."""
+    """For each row: number of shingles, digest of the whole set, minwise tokens (8 bytes each), their sketch (two longs), and
+    the set's parity bits: shingles are dealt to 64 * ODD bits, and each holds whether their number is odd."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix(np.arange(1, config.coords + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for b in batches:
             sizes, digests, tokens, bits = [], [], [], []
+            odd = np.zeros((b.num_rows, ODD), np.int64)
             for (h,) in word_hashes(b.column("text"), LOWER_BYTES):
                 if not len(h):
                     sizes.append(0)
@@ -78,30 +85,37 @@ def signer(config: Join):
                     x *= np.uint64(0xD6E8FEB86659FD93)
                     np.minimum(low, x.min(axis=0), out=low)
                 tokens.append(low.astype("<u8").tobytes())
+                odd[len(sizes) - 1] = np.packbits((np.bincount((s & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1).astype(np.uint8)).view(np.int64)
                 spread = mix(low)
                 bits.append(tuple(int(np.packbits(((spread >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(">i8")[0]) for k in (0, 1)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary()), pa.array([x for x, _ in bits], pa.int64()), pa.array([x for _, x in bits], pa.int64())], names=["doc_id", "key", "n_shingles", "digest", "tokens", "b0", "b1"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary()), pa.array([x for x, _ in bits], pa.int64()), pa.array([x for _, x in bits], pa.int64()), *[pa.array(odd[:, i]) for i in range(ODD)]], names=["doc_id", "key", "n_shingles", "digest", "tokens", "b0", "b1", *SKETCH[3:]])
 
     return signed
 
 
 def close(config: Join, left: str = "", right: str = "other."):
-    """Sketches of two sets differ in few enough places."""
-    differ = (F.col(f"{left}b0").bitwiseXOR(F.col(f"{right}b0"))).bitwiseOR(F.col(f"{left}b1").bitwiseXOR(F.col(f"{right}b1")))
-    return F.bit_count(differ) <= config.far
+    """Two sets may be linked, by their sketches, sizes and parity bits.
+
+    Linked sets of n and m members differ in at most (n + m) * (100 - least) / (100 + least) members, and each of these turns
+    one parity bit: two that differ in more bits are not linked, whatever their texts."""
+    a, b = ({x: F.col(f"{side}{x}") for x in SKETCH} for side in (left, right))
+    differ = a["b0"].bitwiseXOR(b["b0"]).bitwiseOR(a["b1"].bitwiseXOR(b["b1"]))
+    odd = reduce(lambda x, y: x + y, [F.bit_count(a[x].bitwiseXOR(b[x])) for x in SKETCH[3:]])
+    like = 100 * F.least(a["n_set"], b["n_set"]) >= config.least * F.greatest(a["n_set"], b["n_set"])
+    return (F.bit_count(differ) <= config.far) & like & ((100 + config.least) * odd <= (100 - config.least) * (a["n_set"] + b["n_set"]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, config: Join) -> DataFrame:
-    """Those of pairs (a, b, cell) whose full sets of shingles, as words, are similar enough.
+    """Those of pairs (a, b, cell), each there once, whose full sets of shingles, as words, are similar enough.
 
     Pairs come in cells of some tens of sets: each set's text is sent to a cell once, however many pairs it has there, and
     parted into words once. A worker holds one cell at a time."""
 
-    def judged(cell: list[tuple[bytes, list[bytes] | None, str]]) -> list[tuple[bytes, bytes]]:
+    def judged(cell: list[tuple[bytes, list[bytes], str]]) -> list[tuple[bytes, bytes]]:
         sets = {digest: shingles(text, config.width) for digest, _, text in cell}
         out = []
         for digest, mates, _ in cell:
-            for mate in mates or ():
+            for mate in mates:
                 x, y = sets[mate], sets[digest]
                 if 100 * min(len(x), len(y)) >= config.least * max(len(x), len(y)):
                     common = len(x & y)
@@ -111,7 +125,7 @@ def verified(pairs: DataFrame, texts: DataFrame, config: Join) -> DataFrame:
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
-        held: list[tuple[bytes, list[bytes] | None, str]] = []
+        held: list[tuple[bytes, list[bytes], str]] = []
         for b in batches:
             linked = []
             for cell, *row in zip(*(b.column(c).to_pylist() for c in ("cell", "digest", "mates", "text")), strict=True):
@@ -125,8 +139,8 @@ def verified(pairs: DataFrame, texts: DataFrame, config: Join) -> DataFrame:
     def as_batch(linked: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in linked], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
-    once = pairs.groupBy("a", "b").agg(F.min("cell").alias("cell"))
-    ends = once.groupBy("cell", F.col("b").alias("digest")).agg(F.collect_list("a").alias("mates")).union(once.select("cell", F.col("a").alias("digest"), F.lit(None).cast("array<binary>")).distinct())
+    ends = pairs.select("cell", F.col("b").alias("digest"), F.col("a").alias("mate")).union(pairs.select("cell", "a", F.lit(None).cast("binary")))
+    ends = ends.groupBy("cell", "digest").agg(F.collect_list("mate").alias("mates"))
     rows = ends.join(texts, "digest").select("cell", "digest", "mates", "text").repartition("cell").sortWithinPartitions("cell")
     return rows.mapInArrow(confirmed, "a binary, b binary")
 
@@ -138,7 +152,7 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     Rows with equal sets are one class from the start. Each class enters each tree's node by its minwise token there.
     In a node every class is held against the node's least class first; classes that this links into one component need no
     more comparison, so a node of thousands of near copies costs a pass and not its square. What is left of a node is compared
-    exhaustively if it is small, and otherwise branches by further minwise tokens; after `deepest` levels, whatever its size. Each link is confirmed on whole texts.
+    exhaustively if it is small, or if one component has all its sets but a few, and otherwise branches by further minwise tokens; after `deepest` levels, whatever its size. Each link is confirmed on whole texts.
     A pair of similarity s shares a root node with probability s in each tree: at 0.8 and 12 trees, 4 in 10**9 share none.
 
     Texts that are null or without words have no shingles and are alone; a row's ids may repeat (rows of equal text are
@@ -146,14 +160,14 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").withColumn("key", row_key())
-    signed = materialize(rows.mapInArrow(signer(config), "doc_id long, key long, n_shingles long, digest binary, tokens binary, b0 long, b1 long"), "near-signed")
-    classes = materialize(signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.first("tokens").alias("tokens"), F.first("b0").alias("b0"), F.first("b1").alias("b1")), "near-classes")
+    signed = materialize(rows.mapInArrow(signer(config), "doc_id long, key long, n_shingles long, digest binary, tokens binary, b0 long, b1 long, " + ", ".join(f"{x} long" for x in SKETCH[3:])), "near-signed")
+    classes = materialize(signed.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.first("tokens").alias("tokens"), *[F.first("n_shingles" if x == "n_set" else x).alias(x) for x in SKETCH]), "near-classes")
     token = lambda i: F.substring("tokens", 8 * i + 1, 8)
-    nodes = classes.select("digest", "b0", "b1", F.posexplode(F.array(*[token(i) for i in range(config.trees)])).alias("tree", "t")).select(F.xxhash64("tree", "t").alias("node"), "digest", "b0", "b1")
+    nodes = classes.select("digest", *SKETCH, F.posexplode(F.array(*[token(i) for i in range(config.trees)])).alias("tree", "t")).select(F.xxhash64("tree", "t").alias("node"), "digest", *SKETCH)
     root: DataFrame | None = None
     last: DataFrame | None = None  # the table that the level's nodes come from
     for depth in range(config.deepest):
-        size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("digest", "b0", "b1")).alias("other")).where("n > 1")
+        size = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("digest", *SKETCH)).alias("other")).where("n > 1")
         size = materialize(size, "near-sizes")  # so that the join can split a hot node
         live = materialize(with_root(nodes.join(size, "node"), root), "near-nodes")
         discard(size, last)
@@ -164,7 +178,7 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         if root is not None:
             star = star.join(root.select(F.col("id").alias("b"), F.col("root").alias("its")), "b", "left").where("root <> coalesce(its, b)")
         star = materialize(star.groupBy("a", "b").agg(F.min("cell").alias("cell")), "near-star")
-        tiny = live.where(F.col("n").between(3, config.tiny)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("digest", "b0", "b1", "root"))).alias("m"))
+        tiny = live.where(F.col("n").between(3, config.tiny)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("digest", *SKETCH, "root"))).alias("m"))
         open_ = tiny.where(F.exists("m", lambda x: x["root"] != F.col("m")[0]["root"]))
         first = open_.select("node", F.explode("m").alias("x"), "m").select("node", "x.*", F.explode(F.filter("m", lambda y: (y["digest"] > F.col("x.digest")) & (y["root"] != F.col("x.root")))).alias("other"))
         pairs = first.where(close(config)).groupBy(F.col("other.digest").alias("a"), F.col("digest").alias("b")).agg(F.min("node").alias("cell"))
@@ -172,25 +186,27 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         texts = texts_of(star.union(pairs), classes, rows)
         root = linked([(star, texts)], root, config)
         rooted = with_root(live.where(F.col("n") > config.tiny).drop("root"), root)
-        mixed = rooted.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
-        rooted = materialize(rooted.join(mixed, "node", "left_semi").select("node", "digest", "b0", "b1", "n", "root"), "near-mixed")
+        # A node whose sets are all of one component but for `small` at most needs no branching, however large it is.
+        shares = rooted.groupBy("node", "root").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+        rooted = materialize(rooted.join(shares, "node").select("node", "digest", *SKETCH, "n", "root", "main", "others"), "near-mixed")
         last = rooted
-        middle = rooted.where(F.col("n") <= config.small).select("node", "digest", "b0", "b1", "root").repartition("node").sortWithinPartitions("node")
+        middle = rooted.where((F.col("n") <= config.small) | (F.col("others") <= config.small))
+        middle = in_blocks(middle, config).repartition("node").sortWithinPartitions("node")
         middle = materialize(middle.mapInArrow(within(config), "a binary, b binary, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell")), "near-pairs")
         more = texts_of(middle, classes, rows)
         root = linked([(pairs, texts), (middle, more)], root, config)
         discard(star, pairs, middle, texts, more, live)
-        wide = rooted.where(F.col("n") > config.small).select("node", "digest", "b0", "b1")
+        wide = rooted.where((F.col("n") > config.small) & (F.col("others") > config.small)).select("node", "digest", *SKETCH)
         rate = F.lit(config.early[depth]) if depth < len(config.early) else F.lit(100 // config.least) + (F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(config.least)) < 100 % config.least).cast("int")
         picks = F.transform(F.sequence(F.lit(1), rate), lambda k: F.pmod(F.xxhash64("node", k), F.lit(config.coords)).cast("int"))
         grown = wide.join(classes.select("digest", "tokens"), "digest")
-        grown = grown.select("node", "digest", "b0", "b1", "tokens", F.explode(F.array_distinct(picks)).alias("i"))
-        nodes = grown.select(F.xxhash64("node", "i", F.expr("substring(tokens, 8 * i + 1, 8)")).alias("node"), "digest", "b0", "b1")
+        grown = grown.select("node", "digest", *SKETCH, "tokens", F.explode(F.array_distinct(picks)).alias("i"))
+        nodes = grown.select(F.xxhash64("node", "i", F.expr("substring(tokens, 8 * i + 1, 8)")).alias("node"), "digest", *SKETCH)
     else:  # what the levels have not parted: all pairs of a node that no links join
         rest = with_root(nodes, root)
         mixed = rest.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
         rest = materialize(rest.join(mixed, "node", "left_semi"), "near-last")
-        other = rest.select("node", F.struct("digest", "b0", "b1").alias("other"), F.col("root").alias("its"))
+        other = rest.select("node", F.struct("digest", *SKETCH).alias("other"), F.col("root").alias("its"))
         pairs = rest.join(other, "node").where((F.col("digest") > F.col("other.digest")) & (F.col("root") != F.col("its")) & close(config))
         cell = F.xxhash64("node", F.shiftright("b0", 56), F.shiftright("other.b0", 56))
         pairs = materialize(pairs.groupBy(F.col("digest").alias("a"), F.col("other.digest").alias("b")).agg(F.min(cell).alias("cell")), "near-pairs")
@@ -229,15 +245,26 @@ def linked(some: list[tuple[DataFrame, DataFrame | None]], root: DataFrame | Non
     return root
 
 
+def in_blocks(rows: DataFrame, config: Join) -> DataFrame:
+    """(node, digest, sketch, root): nodes of over `small` sets in blocks of about so many of the main component's sets; the
+    others, `small` of them at most, are in each block, so that they are held against every set. As many rows again at most."""
+    own = ["node", "digest", *SKETCH, "root"]
+    blocks = F.ceil(F.col("n") / config.small)
+    at = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("digest"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    large = rows.where(F.col("n") > config.small).select(*own, F.explode(at).alias("block")).withColumn("node", F.xxhash64("node", "block"))
+    return rows.where(F.col("n") <= config.small).select(*own).union(large.select(*own))
+
+
 def within(config: Join):
-    """All pairs of each node with close sketches and different roots; rows come sorted by node, `small` of one at most: a few
-    MB in a worker, however long their texts."""
+    """All pairs of each node or block with close sketches and different roots; rows come sorted by node, about twice `small` of
+    one at most: a few MB in a worker, however long their texts."""
 
     def compared(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         node = t["node"].to_numpy()
         cut = np.flatnonzero(np.diff(node)) + 1
         x, y = (t[c].to_numpy().view(np.uint64) for c in ("b0", "b1"))
+        n, odd = t["n_set"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in SKETCH[3:]], axis=1)
         root = pa.compute.dictionary_encode(t["root"].combine_chunks()).indices.to_numpy()
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
@@ -245,7 +272,11 @@ def within(config: Join):
         for lo, hi in zip([0, *cut], [*cut, len(node)], strict=True):
             for i in range(lo, hi - 1):
                 far = np.bitwise_count((x[i] ^ x[i + 1 : hi]) | (y[i] ^ y[i + 1 : hi]))
-                j = np.flatnonzero((far <= config.far) & (root[i + 1 : hi] != root[i])) + i + 1
+                sizes = n[i + 1 : hi]
+                like = 100 * np.minimum(sizes, n[i]) >= config.least * np.maximum(sizes, n[i])
+                j = np.flatnonzero((far <= config.far) & like & (root[i + 1 : hi] != root[i])) + i + 1
+                bits = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64)
+                j = j[(100 + config.least) * bits <= (100 - config.least) * (n[j] + n[i])]
                 if len(j):
                     a.append(j)
                     b.append(np.full(len(j), i))
