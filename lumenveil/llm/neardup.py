@@ -191,11 +191,19 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
         rooted = materialize(rooted.join(shares, "node").select("node", "digest", *SKETCH, "n", "root", "main", "others"), "near-mixed")
         last = rooted
         middle = rooted.where((F.col("n") <= config.small) | (F.col("others") <= config.small))
-        middle = in_blocks(middle, config).repartition("node").sortWithinPartitions("node")
-        middle = materialize(middle.mapInArrow(within(config), "a binary, b binary, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell")), "near-pairs")
-        more = texts_of(middle, classes, rows)
-        root = linked([(pairs, texts), (middle, more)], root, config)
-        discard(star, pairs, middle, texts, more, live)
+        blocks = materialize(in_blocks(middle, config), "near-blocks")
+        # The nearest sets of each two components first: what these links join needs no more pairs.
+        nearest = candidates(blocks, config, True)
+        more = texts_of(nearest, classes, rows)
+        root = linked([(pairs, texts), (nearest, more)], root, config)
+        if more is not None:
+            rest = with_root(blocks.drop("root"), root)
+            apart = rest.groupBy("node").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("node")
+            others = materialize(candidates(rest.join(apart, "node", "left_semi"), config, False).join(nearest, ["a", "b"], "left_anti"), "near-pairs")
+            last_texts = texts_of(others, classes, rows)
+            root = linked([(others, last_texts)], root, config)
+            discard(others, last_texts)
+        discard(star, pairs, nearest, blocks, texts, more, live)
         wide = rooted.where((F.col("n") > config.small) & (F.col("others") > config.small)).select("node", "digest", *SKETCH)
         rate = F.lit(config.early[depth]) if depth < len(config.early) else F.lit(100 // config.least) + (F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(config.least)) < 100 % config.least).cast("int")
         picks = F.transform(F.sequence(F.lit(1), rate), lambda k: F.pmod(F.xxhash64("node", k), F.lit(config.coords)).cast("int"))
@@ -255,9 +263,16 @@ def in_blocks(rows: DataFrame, config: Join) -> DataFrame:
     return rows.where(F.col("n") <= config.small).select(*own).union(large.select(*own))
 
 
-def within(config: Join):
-    """All pairs of each node or block with close sketches and different roots; rows come sorted by node, about twice `small` of
-    one at most: a few MB in a worker, however long their texts."""
+def candidates(blocks: DataFrame, config: Join, nearest: bool) -> DataFrame:
+    """(a, b, cell): the pairs that within() finds, each once."""
+    held = blocks.repartition("node").sortWithinPartitions("node")
+    return materialize(held.mapInArrow(within(config, nearest), "a binary, b binary, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell")), "near-pairs")
+
+
+def within(config: Join, nearest: bool):
+    """All pairs of each node or block with close sketches and different roots, or `nearest`, for each two roots there the pair
+    whose parity bits differ least; rows come sorted by node, about twice `small` of one at most: tens of MB in a worker, however
+    long their texts."""
 
     def compared(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -269,6 +284,7 @@ def within(config: Join):
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
         cells: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        found: list[tuple[np.ndarray, ...]] = []
         for lo, hi in zip([0, *cut], [*cut, len(node)], strict=True):
             for i in range(lo, hi - 1):
                 far = np.bitwise_count((x[i] ^ x[i + 1 : hi]) | (y[i] ^ y[i + 1 : hi]))
@@ -276,11 +292,22 @@ def within(config: Join):
                 like = 100 * np.minimum(sizes, n[i]) >= config.least * np.maximum(sizes, n[i])
                 j = np.flatnonzero((far <= config.far) & like & (root[i + 1 : hi] != root[i])) + i + 1
                 bits = np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64)
-                j = j[(100 + config.least) * bits <= (100 - config.least) * (n[j] + n[i])]
+                may = (100 + config.least) * bits <= (100 - config.least) * (n[j] + n[i])
+                j, bits = j[may], bits[may]
                 if len(j):
-                    a.append(j)
-                    b.append(np.full(len(j), i))
-                    cells.append(mix(node.view(np.uint64)[i] ^ mix(((i - lo) // CELL * (1 << 20) + (j - lo) // CELL + 1).astype(np.uint64))))
+                    found.append((j, np.full(len(j), i), bits))
+            if not found:
+                continue
+            j, i, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.clear()
+            if nearest:
+                one, two = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+                order = np.lexsort((bits, two, one))
+                first = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)])
+                j, i = j[order[first]], i[order[first]]
+            a.append(j)
+            b.append(i)
+            cells.append(mix(node.view(np.uint64)[lo] ^ mix(((i - lo) // CELL * (1 << 20) + (j - lo) // CELL + 1).astype(np.uint64))))
         digest = t["digest"].combine_chunks()
         take = lambda at: digest.take(pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)))
         p, q = take(a), take(b)

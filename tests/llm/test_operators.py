@@ -487,3 +487,39 @@ def test_op8_recall_in_large_nodes(spark):
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, neardup.Join(tiny=4, small=60)).collect()}
     assert len(pairs) == 50 and all(got[i] in (i, want[i]) for i in range(len(texts)))
     assert sum(got[i] == want[i] for i in pairs) >= 49
+
+
+def test_op8_parity_bits_leave_out_no_link():
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" if i % 40 >= k else f"x{k}{i}" for i in range(n)) for n in (3, 40, 200, 3000) for k in range(6)]
+    b = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts))), pa.array(range(len(texts)))], names=["text", "doc_id", "key"])
+    (out,) = neardup.signer(neardup.Join())(iter([b]))
+    bits = np.stack([out.column(x).to_numpy().view(np.uint64) for x in neardup.SKETCH[3:]], axis=1)
+    sets = [neardup.shingles(t, 2) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert linked
+    for i, j in linked:
+        differ = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+        assert differ <= len(sets[i] ^ sets[j]) and 180 * differ <= 20 * (len(sets[i]) + len(sets[j]))
+
+
+def test_op8_rival_families_in_one_node(spark):
+    import random
+
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    other = base[:30] + [f"v{i}" for i in range(30)]
+
+    def changed(of):
+        out = list(of)
+        for at in r.sample(range(len(out)), r.choice([1, 2, 3])):
+            out[at] = f"x{r.randrange(10**6)}"
+        return " ".join(out)
+
+    texts = [changed(base) for _ in range(260)] + [changed(other) for _ in range(60)]
+    texts += [" ".join(base[:25] + [f"y{r.randrange(10**6)}" for _ in range(25)]) for _ in range(120)]
+    want = joined([neardup.shingles(t, 2) for t in texts], lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, neardup.Join(tiny=4, small=40)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
