@@ -1,16 +1,18 @@
-"""Exact nearest neighbours over a vocabulary of vectors."""
+"""Exact nearest neighbours and radius joins over vectors, by tiles that executors compute."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vocabulary rows that a task holds at once; larger vocabularies are searched block by block.
-BLOCK = 100_000
+#: Queries and vocabulary rows of a tile, and queries whose scores a task holds at once.
+BLOCK, BATCH = 16_384, 256
+#: Vectors that stand for the cells of a radius join; a fixed number, whatever the vocabulary.
+PIVOTS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,49 +23,169 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors, all of one length, as rows of numbers."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def euclid(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1) - 2 * q @ v.T, 0))
+
+
+def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        return (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1) + 1e-12)
+    return -euclid(q, v)
+
+
+def best(rounded: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest numbers of each row, largest first, of equal ones the leftmost: those not below the row's
+    k-th number are sorted, the rest only parted off."""
+    if k < rounded.shape[1]:
+        least = np.partition(rounded, rounded.shape[1] - k, axis=1)[:, rounded.shape[1] - k]
+        row, col = np.nonzero(rounded >= least[:, None])
+    else:
+        row, col = (x.ravel() for x in np.indices(rounded.shape))
+    order = np.lexsort((col, -rounded[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def blocks(df: DataFrame, size: int) -> int:
+    return max(1, -(-df.count() // size))
+
+
+def tiles(queries: DataFrame, vocab: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block: int) -> DataFrame:
+    """work(queries, vocabulary) for each pair of a block of queries (query, ...) and a block of vocab (cand, ...); blocks are dealt
+    by hash, so each holds about `block` rows. The pairs are groups of executors' tasks; nothing passes through the driver."""
+    nq, nv = blocks(queries, block), blocks(vocab, block)
+    number = lambda x, n: F.pmod(F.xxhash64(x), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_q", number("query", nq)).withColumn("_v", every(nv))
+    # Names anew, for both may come from one table.
+    v = vocab.select(*[F.col(c).alias(c) for c in vocab.columns]).withColumn("_v", number("cand", nv)).withColumn("_q", every(nq))
+    return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInArrow(work, schema)
+
+
+def nearest_lists(queries: DataFrame, vocab: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+    """(query, near): an array of the k nearest (cand, score), nearest first, of queries (query, vec) among vocab (cand, vec), a query's
+    own word included. score is the cosine, or the negative Euclidean distance; ties go to the lesser cand. Rows without
+    a vector are left out.
+
+    Each tile of queries and vocabulary keeps its best k of a query; a query's lists meet in one partial result per tile, not in
+    rows for pairs.
+    """
+    queries, vocab = queries.select("query", "vec").where("vec is not null"), vocab.select("cand", "vec").where("vec is not null")
+    kinds = dict(queries.dtypes)["query"], dict(vocab.dtypes)["cand"]
+
+    def search(q: pa.Table, v: pa.Table) -> pa.Table:
+        names = v.column("cand").combine_chunks()
+        order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable") if len(v) else np.zeros(0, np.int64)
+        names = names.take(pa.array(order))
+        kept: list[tuple] = []
+        mv = matrix(v.column("vec"))[order] if len(v) and len(q) else None
+        mq = matrix(q.column("vec")) if mv is not None else np.zeros((0, 1))
+        for at in range(0, len(mq), BATCH):
+            score = scores(mq[at : at + BATCH], mv, metric)
+            row, col = best(np.round(score, 12), k)
+            kept.append((row + at, col, score[row, col]))
+        row, col, score = (np.concatenate([x[i] for x in kept]) if kept else np.zeros(0, np.int64) for i in range(3))
+        places = np.searchsorted(row, np.arange(len(mq) + 1)).astype(np.int32)
+        near = pa.StructArray.from_arrays([pa.array(-np.round(score.astype(np.float64), 12)), names.take(pa.array(col)), pa.array(score.astype(np.float64))], names=["o", "cand", "score"])
+        return pa.table({"query": q.column("query") if kept else q.column("query").slice(0, 0), "near": pa.ListArray.from_arrays(pa.array(places), near)})
+
+    found = tiles(queries, vocab, search, f"query {kinds[0]}, near array<struct<o:double,cand:{kinds[1]},score:double>>", block)
+    merged = found.groupBy("query").agg(F.flatten(F.collect_list("near")).alias("near"))
+    return merged.select("query", F.transform(F.slice(F.array_sort("near"), 1, k), lambda x: F.struct(x["cand"], x["score"])).alias("near"))
+
+
 def nearest(queries: DataFrame, vocab: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
-    """(query, rank, cand, score) for queries (query, vec) and vocab (cand, vec): the k nearest, a query's own word included.
+    """(query, rank, cand, score): nearest_lists() as rows."""
+    lists = nearest_lists(queries, vocab, k, metric, block)
+    return lists.select("query", F.posexplode("near").alias("p", "x")).select("query", (F.col("p") + 1).alias("rank"), "x.cand", "x.score")
+
+
+def chosen(vocab: DataFrame, pivots: int) -> np.ndarray:
+    """Vectors of the vocabulary that stand for cells: those of the least hashes; at most `pivots` of them come to the driver."""
+    rows = vocab.orderBy(F.xxhash64(F.lit("pivot"), "cand"), "cand").limit(pivots).select("vec").collect()
+    return np.array([r["vec"] for r in rows], np.float64)
+
+
+def within(queries: DataFrame, vocab: DataFrame, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(query, near, compared): for queries (query, vec, radius) an array of all (dist, cand) of vocab (cand, vec) nearer than the
+    radius, nearest first, and how many vectors it was compared with. Queries with nothing near have an empty array.
 
-    score is the cosine, or the negative Euclidean distance; ties go to the lesser cand. Vocabulary blocks of at most `block` vectors are sent to the
-    tasks; each finds its best k by a matrix product over batches of queries, and the blocks' lists are merged: a window over
-    at most k rows for each query and block. A vocabulary of any size is one pass over the queries for each block.
+    Vocabulary vectors lie in the cell of their nearest pivot. A query meets a cell only if, by the triangle inequality, its
+    radius reaches the ring in which the cell's vectors lie around their pivot, and the side of the plane between that pivot
+    and the query's own. In a cell it is compared only with vectors whose distance from the pivot differs from its own by less than
+    the radius. Large cells are parted by hash. So no list of all pairs is made; all that is found is exact.
     """
-    n = vocab.count()
-    blocks = max(1, -(-n // block))
-    parts = None
-    for b in range(blocks):
-        own = vocab if blocks == 1 else vocab.where(F.pmod(F.xxhash64("cand"), F.lit(blocks)) == b)
-        rows = own.select("cand", "vec").where("vec is not null").orderBy("cand").collect()  # bounded by the block
-        ids = np.array([r["cand"] for r in rows])
-        matrix = np.array([r["vec"] for r in rows], np.float64) if rows else np.zeros((0, 1))
-        shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, matrix = shared.value
-            lengths = np.linalg.norm(matrix, axis=1)
-            for batch in batches:
-                batch = batch[batch["vec"].notna()]
-                if not len(batch) or not len(ids):
-                    continue
-                q = np.array(batch["vec"].tolist(), np.float64)
-                if metric == "cosine":
-                    score = (q @ matrix.T) / (np.linalg.norm(q, axis=1)[:, None] * lengths + 1e-12)
-                else:
-                    score = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + lengths**2 - 2 * q @ matrix.T, 0))
-                top = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query": np.repeat(batch["query"].to_numpy(), top.shape[1]), "cand": ids[top.ravel()], "score": np.take_along_axis(score, top, axis=1).ravel()})
-
-        kind = dict(queries.dtypes)["query"], dict(vocab.dtypes)["cand"]
-        part = queries.select("query", "vec").mapInPandas(search, f"query {kind[0]}, cand {kind[1]}, score double")
-        parts = part if parts is None else parts.union(part)
-    order = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "cand")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "cand", "score")
+    vocab = vocab.select("cand", "vec").where("vec is not null")
+    queries = queries.select("query", "vec", F.col("radius").cast("double").alias("radius")).where("vec is not null")
+    kinds = dict(queries.dtypes)["query"], dict(vocab.dtypes)["cand"]
+    centres = chosen(vocab, pivots)
+    empty = queries.select("query", F.array().cast(f"array<struct<dist:double,cand:{kinds[1]}>>").alias("near"), F.lit(0).cast("long").alias("compared"))
+    if not len(centres):
+        return empty
+
+    @F.arrow_udf("struct<cell:int,far:double>")
+    def placed(vec: pa.Array) -> pa.Array:
+        d = euclid(matrix(pa.chunked_array([vec])), centres) if len(vec) else np.zeros((0, 1))
+        return pa.StructArray.from_arrays([pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1) if len(d) else np.zeros(0))], names=["cell", "far"])
+
+    cells = vocab.select(F.col("cand").alias("cand"), F.col("vec").alias("vec")).withColumn("_p", placed("vec")).select("cand", "vec", "_p.cell", "_p.far")
+    apart = euclid(centres, centres)
+    rings = {r["cell"]: r for r in cells.groupBy("cell").agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.count("*").alias("n")).collect()}  # a row for each pivot
+    parts = [max(1, -(-rings[c]["n"] // block)) if c in rings else 0 for c in range(len(centres))]
+    lo, hi = (np.array([rings[c][e] if c in rings else np.nan for c in range(len(centres))]) for e in ("lo", "hi"))
+
+    @F.arrow_udf("array<struct<cell:int,far:double>>")
+    def met(vec: pa.Array, radius: pa.Array) -> pa.Array:
+        d = euclid(matrix(pa.chunked_array([vec])), centres) if len(vec) else np.zeros((0, len(centres)))
+        r = radius.to_numpy(zero_copy_only=False)[:, None] + 1e-9
+        own = d.argmin(1) if len(d) else np.zeros(0, np.int64)
+        # How far the query is from the plane between its own pivot and each other one.
+        plane = (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / np.maximum(2 * apart[own], 1e-12)
+        reached = (d - r < hi) & (d + r > lo) & (plane < r + 1e-6)
+        row, col = np.nonzero(reached)
+        ends = np.searchsorted(row, np.arange(len(vec) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(col.astype(np.int32)), pa.array(d[row, col])], names=["cell", "far"]))
+
+    part = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    count = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1)
+    salt = F.pmod(F.xxhash64("query"), F.lit(blocks(queries, block))).cast("int")
+    routed = queries.withColumn("_m", met("vec", "radius")).select("query", "vec", "radius", salt.alias("salt"), F.explode("_m").alias("m")).select("query", "vec", "radius", "salt", "m.*").withColumn("part", part(count))
+    dealt = cells.withColumn("part", F.pmod(F.xxhash64("cand"), count).cast("int")).withColumn("salt", part(F.lit(blocks(queries, block))))
+
+    def search(q: pa.Table, v: pa.Table) -> pa.Table:
+        keys, near, done = [], [], []
+        if len(q) and len(v):
+            order = np.argsort(far_v := v.column("far").to_numpy(), kind="stable")
+            far_v, mv, names = far_v[order], matrix(v.column("vec"))[order], v.column("cand").combine_chunks().take(pa.array(order))
+            mq, far_q, radius = matrix(q.column("vec")), q.column("far").to_numpy(), q.column("radius").to_numpy()
+            first, last = np.searchsorted(far_v, far_q - radius - 1e-9, "left"), np.searchsorted(far_v, far_q + radius + 1e-9, "right")
+            for i, query in enumerate(q.column("query").to_pylist()):
+                if first[i] < last[i]:
+                    d = np.sqrt(((mv[first[i] : last[i]] - mq[i]) ** 2).sum(1))
+                    own = np.flatnonzero(d < radius[i])
+                    keys.append(query)
+                    near.append([{"dist": float(x), "cand": c} for x, c in zip(d[own], names.take(pa.array(own + first[i])).to_pylist(), strict=True)])
+                    done.append(int(last[i] - first[i]))
+        kind = pa.list_(pa.struct([("dist", pa.float64()), ("cand", v.schema.field("cand").type)]))
+        return pa.table({"query": pa.array(keys, q.schema.field("query").type), "near": pa.array(near, kind), "compared": pa.array(done, pa.int64())})
+
+    by = ["cell", "part", "salt"]
+    found = routed.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(search, f"query {kinds[0]}, near array<struct<dist:double,cand:{kinds[1]}>>, compared long")
+    whole = found.unionByName(empty).groupBy("query").agg(F.flatten(F.collect_list("near")).alias("near"), F.sum("compared").alias("compared"))
+    return whole.select("query", F.array_sort("near").alias("near"), "compared")
 
 
 def nearest_sql(queries: DataFrame, vocab: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """nearest() in Spark's own functions, for small inputs and as its check."""
     length = lambda v: F.sqrt(dot(v, v))
-    pairs = queries.select("query", F.col("vec").alias("q")).crossJoin(F.broadcast(vocab.select("cand", F.col("vec").alias("v"))))
+    pairs = queries.select("query", F.col("vec").alias("q")).crossJoin(vocab.select("cand", F.col("vec").alias("v")))
     score = dot(F.col("q"), F.col("v")) / (length(F.col("q")) * length(F.col("v")) + 1e-12) if metric == "cosine" else -distance(F.col("q"), F.col("v"))
     order = Window.partitionBy("query").orderBy(F.round("score", 12).desc(), "cand")
     return pairs.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "cand", "score")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import api, resources as R
 from ..config import PrivacyConfig
 from ..functions import rng
-from ..functions.spans import mask
+from ..functions.spans import bind, mask
 from ..functions.tokens import ngrams, offsets, words
 from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, utility
 from ..sources import readers
@@ -135,34 +135,63 @@ def word_rows(spark: SparkSession, sf: str) -> DataFrame:
     return each.withColumn("pii", F.when(F.col("token").rlike("[0-9]{5}"), 5))
 
 
+def word_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with budgets of their words, in the row; words as in word_rows()."""
+    word = lambda w: F.struct(w.alias("token"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.when(w.rlike("[0-9]{5}"), 5).alias("pii"))
+    return risk.in_row(docs(spark, sf).select("doc_id", "text"), CONFIG, F.transform(words(F.col("text")), word))
+
+
 _ROWS = f"""t AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents)),
     l AS (SELECT *, CASE WHEN regexp_matches(token, '[0-9]{{{{5}}}}') THEN 5 WHEN lower(token) IN ({STOP_SQL}) OR regexp_matches(token, '^[[:punct:]]+$') THEN NULL
         ELSE 1 + CAST(floor({U("42", "doc_id", "pos", "'risk'")} * 3) AS BIGINT) END AS level FROM t),
     b AS (SELECT *, round(8.0::DOUBLE - (level - 1) * ((8.0::DOUBLE - 0.1::DOUBLE) / 4), 2) AS eps FROM l)""".replace("{{", "{").replace("}}", "}")
 
 
-@query(f"WITH {_ROWS} SELECT doc_id, level, count(*) AS n, sum(eps) AS eps_sum, min(pos) AS first_pos FROM b WHERE level IS NOT NULL GROUP BY doc_id, level")
+@query(f"WITH {_ROWS} SELECT doc_id, level, count(*) AS n, round(sum(eps), 6) AS eps_sum, min(pos) AS first_pos FROM b WHERE level IS NOT NULL GROUP BY doc_id, level")
 def token_budget(spark: SparkSession, sf: str) -> DataFrame:
-    level = risk.default_level(F.col("token"), F.col("pii"), CONFIG, F.col("doc_id"), F.col("pos"))
-    out = word_rows(spark, sf).withColumn("level", level.cast("long")).withColumn("eps", risk.budget(F.col("level"), CONFIG))
-    return out.where("level is not null").groupBy("doc_id", "level").agg(F.count("*").alias("n"), F.round(F.sum("eps"), 6).alias("eps_sum"), F.min("pos").cast("long").alias("first_pos"))
-
+    """Sums of each level as folds of a document's own array: nothing is shuffled."""
+    def sums(n: int, tokens):
+        own = lambda of: F.struct(F.lit(n).cast("long").alias("level"), F.size(of).cast("long").alias("n"), F.round(F.aggregate(of, F.lit(0.0), lambda a, t: a + t["eps"]), 6).alias("eps_sum"), F.get(of, F.lit(0))["pos"].cast("long").alias("first_pos"))
+        return bind(F.filter(tokens, lambda t: t["level"] == n), own)
 
-SQL["token_budget"] = SQL["token_budget"].replace("sum(eps) AS eps_sum", "round(sum(eps), 6) AS eps_sum")
+    each = bind(F.col("tokens"), lambda tokens: F.array(*[sums(n, tokens) for n in range(1, 6)]))
+    return word_arrays(spark, sf).select("doc_id", F.explode_outer(each).alias("x")).select("doc_id", "x.*").where("n > 0")
 
 
 @query(f"WITH {_ROWS} SELECT doc_id, round(coalesce(avg(eps), 100), 9) AS eps_s, count(eps) AS n FROM b GROUP BY doc_id")
 def sentence_budget(spark: SparkSession, sf: str) -> DataFrame:
-    level = risk.default_level(F.col("token"), F.col("pii"), CONFIG, F.col("doc_id"), F.col("pos"))
-    out = word_rows(spark, sf).withColumn("eps", risk.budget(level, CONFIG))
-    return out.groupBy("doc_id").agg(F.round(F.coalesce(F.avg("eps"), F.lit(100.0)), 9).alias("eps_s"), F.count("eps").alias("n"))
+    rows = word_arrays(spark, sf).where(F.size("tokens") > 0)
+    return rows.select("doc_id", F.round("eps_s", 9).alias("eps_s"), F.size(F.filter("tokens", lambda t: t["eps"].isNotNull())).cast("long").alias("n"))
 
 
 @query(f"""WITH {_ROWS}, h AS (SELECT doc_id, pos, token, level, coalesce(bool_or(level = 5) OVER (PARTITION BY doc_id, token), false) AS high FROM b)
     SELECT doc_id, token, count(*) AS n FROM h WHERE high GROUP BY doc_id, token""")
 def high_risk_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    out = risk.budgets(word_rows(spark, sf), CONFIG)
-    return out.where("high").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    own = word_arrays(spark, sf).select("doc_id", F.transform(F.filter("tokens", lambda t: t["high"]), lambda t: t["token"]).alias("h"))
+    return own.select("doc_id", F.explode("h").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+_DRAWS = f"""near AS (SELECT query, list(struct_pack(cand := cand, score := score) ORDER BY rank) AS l FROM ({{near}}) GROUP BY query),
+    s AS (SELECT *, least(eps, avg(eps) OVER (PARTITION BY doc_id)) AS eff, coalesce(bool_or(level = 5) OVER (PARTITION BY doc_id, token), false) AS high FROM b),
+    v AS (SELECT *, CAST(floor({U("'word'", "token")} * (SELECT count(*) FROM embeddings)) AS BIGINT) AS place FROM s WHERE level IS NOT NULL),
+    w AS (SELECT doc_id, pos, eff, high, l, least(len(l), CASE WHEN high THEN 20 ELSE 20 + round_even(100 / pow(eff, 1.2), 0) END)::INT AS k FROM v
+        JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) e USING (place) JOIN near ON query = vec_id),
+    c AS (SELECT doc_id, pos, eff, high, k, l, unnest(range(1, k + 1)) AS i FROM w),
+    d AS (SELECT doc_id, pos, arg_max(l[i].cand, eff / 2 * CASE WHEN l[1].score > l[k].score THEN (l[CASE WHEN high THEN k + 1 - i ELSE i END].score - l[k].score) / (l[1].score - l[k].score) WHEN k = 1 THEN 1.0 ELSE 1.0 / k END
+        - ln(-ln(greatest({U("42", "doc_id", "pos", "i", "'gumbel'")}, 1e-15)))) AS cand FROM c GROUP BY doc_id, pos)"""
+
+
+@query(f"WITH {_ROWS}, {_DRAWS.format(near='SELECT * FROM (' + '@NEAR@' + ')')} SELECT doc_id, count(*) AS n, sum(cand)::BIGINT AS drawn FROM d GROUP BY doc_id")
+def gumbel_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Each word of all documents that has a level is replaced: the vector that a hash gives it is the word, others are candidates."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    # Places of ids in order; a table of a vector's id each, numbered by ranges and offsets.
+    place = corpus.numbered(e.select("vec_id"), ["vec_id"]).withColumnRenamed("number", "_place")
+    n = e.count()
+    tokens = risk.exploded(word_arrays(spark, sf)).where("level IS NOT NULL").select("doc_id", "pos", "eps_eff", "high", F.floor(rng.uniform("word", F.col("token")) * n).alias("_place"))
+    known = tokens.join(place, "_place").select("doc_id", "pos", "eps_eff", "high", F.col("vec_id").alias("word"))
+    drawn = perturb.draws(known, e.withColumnRenamed("vec_id", "cand"), CONFIG, "doc_id", "pos")
+    return drawn.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("new").alias("drawn"))
 
 
 @query(f"""WITH {_ROWS}, v AS (SELECT doc_id, variant, CASE WHEN lower(token) IN ({STOP_SQL}) OR regexp_matches(token, '^[[:punct:]]+$') THEN NULL WHEN variant = 'level_1' THEN 1
@@ -200,6 +229,9 @@ def _near_sql(k: int, metric: str) -> str:
         FROM (SELECT query, cand, {score} AS score FROM (SELECT a.vec_id AS query, b.vec_id AS cand, {a} AS qa, {b} AS qb FROM embeddings a, embeddings b))) WHERE rank <= {k}"""
 
 
+SQL["gumbel_draws"] = SQL["gumbel_draws"].replace("@NEAR@", _near_sql(1605, "cosine"))
+
+
 @query(f"SELECT query, rank::INT AS rank, cand, round(score, 6) AS score FROM ({_near_sql(10, 'cosine')})")
 def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return knn.nearest(*vectors(spark, sf), 10).withColumn("score", F.round("score", 6))
@@ -281,9 +313,9 @@ def rantext_laplace(spark: SparkSession, sf: str) -> DataFrame:
     SELECT query, count(*) AS n, round(max(w) / sum(w), 6) AS top FROM (SELECT query, exp(8.0 * ((radius - dist) / radius) / 2) AS w FROM j) GROUP BY query""")
 def rantext_adjacency(spark: SparkSession, sf: str) -> DataFrame:
     queries, vocab = vectors(spark, sf)
-    near = knn.nearest(queries, vocab, vocab.count(), "euclid")
-    out = mechanisms.adjacent(mechanisms.noisy_radius(queries, vocab, 8.0, 42, "query").select("query", "radius"), near, 8.0, ["query"])
-    return out.groupBy("query").agg(F.count("*").alias("n"), F.round(F.max("prob"), 6).alias("top"))
+    near = mechanisms.adjacent_lists(mechanisms.noisy_radius(queries, vocab, 8.0, 42, "query"), vocab, 8.0).where(F.size("near") > 0)
+    prob = F.transform("near", lambda x: x["prob"])
+    return near.select("query", F.size("near").cast("long").alias("n"), F.round(F.array_max(prob), 6).alias("top"))
 
 
 @query(f"""WITH e AS (SELECT vec_id AS query, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
@@ -324,28 +356,11 @@ def cumulative_attack_rate(spark: SparkSession, sf: str) -> DataFrame:
     return attacks.rates(_hit_rows(spark, sf), cumulative=True).select("doc_id", F.round("rate", 9).alias("rate"), F.round("rate_exp_stop", 9).alias("rate_exp_stop"))
 
 
-@query(f"""WITH {_ROWS}, p AS (SELECT doc_id, pos, CASE WHEN {U("42", "doc_id", "pos", "'guess'")} < 0.25 THEN token ELSE 'other' END AS guess FROM t WHERE pos < 50)
-    SELECT doc_id, count_if(lower(guess) = lower(token)) AS hits, count(*) AS n FROM t JOIN p USING (doc_id, pos) GROUP BY doc_id""")
-def mask_inference_rate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = word_rows(spark, sf)
-    guess = F.when(rng.uniform(42, F.col("doc_id"), F.col("pos"), "guess") < 0.25, F.col("token")).otherwise("other")
-    predictions = rows.where("pos < 50").select("doc_id", "pos", F.lit(1).alias("rank"), guess.alias("token"))
-    return attacks.mask_inference(rows, predictions).groupBy("doc_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
-
-
 @query(f"""WITH {_ROWS} SELECT doc_id, round(count_if(NOT lower(token) IN ({STOP_SQL})) / count(*), 9) AS rate FROM t GROUP BY doc_id""")
 def unsanitized_upper_bound(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.round(attacks.unsanitized_rate(words(F.col("text"))), 9).alias("rate"))
 
 
-@query("""WITH o AS (SELECT label AS doc_id, vec_id, embedding AS v FROM embeddings WHERE vec_id % 4 = 0), n AS (SELECT label AS doc_id, embedding AS v FROM embeddings WHERE vec_id % 4 = 1),
-    m AS (SELECT o.doc_id, vec_id, bool_or(coalesce(list_dot_product([x::DOUBLE FOR x IN o.v], [x::DOUBLE FOR x IN n.v]) >= 0.7, false)) AS hit FROM o LEFT JOIN n ON o.doc_id = n.doc_id GROUP BY o.doc_id, vec_id)
-    SELECT doc_id, matched, total, matched / total >= 0.6 OR (matched > 4 AND matched / total >= 0.5) AS success FROM (SELECT doc_id, count_if(hit) AS matched, count(*) AS total FROM m GROUP BY doc_id)""")
-def pii_match_attack(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("word_id"), F.col("embedding").alias("vec"))
-    return attacks.personal_match(e.where("word_id % 4 = 0"), e.where("word_id % 4 = 1"))
-
-
 _TRI = "list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])"
 
 
@@ -400,12 +415,6 @@ def item_pairs(spark: SparkSession, sf: str) -> DataFrame:
 _PAIRS = "(SELECT a.item_id, a.text AS reference, b.text AS candidate FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
 
 
-@query(f"SELECT item_id, round(1 - levenshtein(lower(reference), lower(candidate)) / greatest(length(reference), length(candidate)), 9) AS sim FROM {_PAIRS} WHERE regexp_full_match(reference || candidate, '[ -~\\n]*')")
-def levenshtein_sim(spark: SparkSession, sf: str) -> DataFrame:
-    plain = item_pairs(spark, sf).where(F.concat("reference", "candidate").rlike(r"^[ -~\n]*$"))
-    return plain.select("item_id", F.round(utility.levenshtein_similarity(F.col("reference"), F.col("candidate")), 9).alias("sim"))
-
-
 @query(f"""WITH p AS {_PAIRS}, w AS (SELECT item_id, {WORDS.format("lower(reference)")} AS a, {WORDS.format("lower(candidate)")} AS b FROM p),
     g AS (SELECT item_id, [array_to_string(a[i:i+1], ' ') FOR i IN range(1, len(a))] AS a, [array_to_string(b[i:i+1], ' ') FOR i IN range(1, len(b))] AS b FROM w),
     c AS (SELECT item_id, g, count(*) AS n, 0 AS side FROM (SELECT item_id, unnest(a) AS g FROM g) GROUP BY ALL UNION ALL SELECT item_id, g, count(*), 1 FROM (SELECT item_id, unnest(b) AS g FROM g) GROUP BY ALL),
@@ -462,41 +471,42 @@ def change_groups(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select("doc_id", "index", F.array_join("original_tokens", " ").alias("original"), F.size("indices").alias("n"))
 
 
-@query(f"SELECT conv_id AS doc_id, array_to_string({WORDS.format('text')}, ' ') AS restored FROM conversations WHERE turn = 0")
-def restore_responses(spark: SparkSession, sf: str) -> DataFrame:
-    """Every fifth word is replaced by a word of its own; a response that repeats the text is restored to the original."""
-    first = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.posexplode(words(F.col("text"))).alias("pos", "token"))
-    tokens = first.withColumn("new_token", F.when(F.col("pos") % 5 == 2, F.concat(F.lit("Zq"), F.col("pos").cast("string"), F.lit("q"))).otherwise(F.col("token")))
-    said = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "new_token"))).alias("t")).select("doc_id", F.array_join(F.transform("t", lambda x: x["new_token"]), " ").alias("response"))
-    return restore.restore(said, restore.change_groups(tokens))
-
-
-@query()
+@query(f"""WITH {_ROWS}, p AS (SELECT doc_id, pos, CASE WHEN {U("42", "doc_id", "pos", "'guess'")} < 0.25 THEN token ELSE 'other' END AS guess FROM t)
+    SELECT doc_id, count_if(lower(guess) = lower(token)) AS hits, count(*) AS n FROM t JOIN p USING (doc_id, pos) GROUP BY doc_id""")
 def mask_inference_rate_all(spark: SparkSession, sf: str) -> DataFrame:
-    """mask_inference_rate with predictions for every place."""
+    """Words that a table of predictions, one for every place, has right."""
     rows = word_rows(spark, sf)
     guess = F.when(rng.uniform(42, F.col("doc_id"), F.col("pos"), "guess") < 0.25, F.col("token")).otherwise("other")
     predictions = rows.select("doc_id", "pos", F.lit(1).alias("rank"), guess.alias("token"))
     return attacks.mask_inference(rows, predictions).groupBy("doc_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
 
 
-@query()
+#: DuckDB's distance counts bytes: each pair's characters are brought to one byte each first.
+_BYTES = "array_to_string([chr(list_position(alphabet, c)::INT) FOR c IN {0}], '')"
+
+
+@query(f"""WITH p AS (SELECT item_id, string_split(lower(reference), '') AS a, string_split(lower(candidate), '') AS b FROM {_PAIRS}), q AS (SELECT *, list_distinct(a || b) AS alphabet FROM p)
+    SELECT item_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN 1 - levenshtein({_BYTES.format('a')}, {_BYTES.format('b')}) / greatest(len(a), len(b)) ELSE 0 END, 9) AS sim FROM q""")
 def levenshtein_sim_all(spark: SparkSession, sf: str) -> DataFrame:
-    """levenshtein_sim of all pairs, by characters."""
+    """Edit distances of all pairs, by characters."""
     return item_pairs(spark, sf).select("item_id", F.round(utility.levenshtein_similarity(F.col("reference"), F.col("candidate")), 9).alias("sim"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT label AS doc_id, vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings),
+    x AS (SELECT doc_id, vec_id, i, v[i] + 0.5 * ({U("42", "vec_id", "i - 1", "'noise'")} - 0.5) AS x FROM (SELECT doc_id, vec_id, v, unnest(range(1, len(v) + 1)) AS i FROM o)),
+    n AS (SELECT doc_id, vec_id, list(x ORDER BY i) AS v FROM x GROUP BY doc_id, vec_id), u AS (SELECT doc_id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS v FROM n),
+    m AS (SELECT o.doc_id, o.vec_id, bool_or(coalesce(list_dot_product(o.v, u.v) >= 0.7, false)) AS hit FROM o LEFT JOIN u ON o.doc_id = u.doc_id GROUP BY o.doc_id, o.vec_id)
+    SELECT doc_id, matched, total, matched / total >= 0.6 OR (matched > 4 AND matched / total >= 0.5) AS success FROM (SELECT doc_id, count_if(hit) AS matched, count(*) AS total FROM m GROUP BY doc_id)""")
 def pii_match_attack_all(spark: SparkSession, sf: str) -> DataFrame:
-    """pii_match_attack on all vectors: the perturbed ones are the same with keyed noise, of unit length again."""
+    """All vectors against the same with keyed noise, of unit length again; few labels hold all of them."""
     e = table(spark, sf, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("word_id"), F.col("embedding").alias("vec"))
     noisy = e.withColumn("vec", F.transform("vec", lambda x, i: x.cast("double") + 0.5 * (rng.uniform(42, F.col("word_id"), i, "noise") - 0.5)))
     return attacks.personal_match(e, noisy.withColumn("vec", F.transform("vec", lambda x: x / F.sqrt(knn.dot(F.col("vec"), F.col("vec"))))))
 
 
-@query()
+@query(f"SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, array_to_string({WORDS.format('coalesce(text, chr(32))')}, ' ') AS restored FROM conversations")
 def restore_responses_all(spark: SparkSession, sf: str) -> DataFrame:
-    """restore_responses for every turn; turns are below 2**20."""
+    """Every fifth word of every turn is replaced by a word of its own; a response that repeats the text is restored. Turns are below 2**20."""
     said = table(spark, sf, "conversations").select((F.shiftleft(F.col("conv_id").cast("long"), 20) + F.col("turn")).alias("doc_id"), words(F.coalesce("text", F.lit(""))).alias("w"))
     new = lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("Zq"), i.cast("string"), F.lit("q"))).otherwise(x)
     tokens = said.select("doc_id", F.posexplode("w").alias("pos", "token")).withColumn("new_token", new(F.col("token"), F.col("pos")))
@@ -504,6 +514,26 @@ def restore_responses_all(spark: SparkSession, sf: str) -> DataFrame:
     return restored.select(F.shiftright("doc_id", 20).alias("conv_id"), F.col("doc_id").bitwiseAND((1 << 20) - 1).alias("turn"), "restored")
 
 
+_MERGED = [("the", 2), ("idiot", 5), ("que", 0), ("License", 4), ("http", None)]
+
+
+@query()
+def merged_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each level in each document, levels merged from custom rules, entities and patterns."""
+    found = api.marked_up(docs(spark, sf).select("doc_id", "text"), _MERGED).select("doc_id", F.explode_outer("levelled").alias("t")).where("t is not null")
+    return found.groupBy("doc_id", F.col("t.level").alias("level")).agg(F.count("*").alias("n"), F.min("t.start").alias("first"))
+
+
+@query()
+def chosen_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The interactive path over all documents: users give every seventh token level 4 and the next level 5; texts as they are sent
+    and with their levels written out."""
+    items, vocab = item_words(spark, sf)
+    places = items.select("doc_id", F.explode(F.sequence(F.lit(0), F.size(offsets(F.coalesce("text", F.lit("")))))).alias("pos"))
+    levels = places.where("pos % 7 < 2").select("doc_id", "pos", (F.col("pos") % 7 + 4).alias("level"))
+    return api.shown(api.perturb_chosen(items, vocab, CONFIG, levels))
+
+
 @query("SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def users_renest(spark: SparkSession, sf: str) -> DataFrame:
     nested = readers.renested(table(spark, sf, "conversations"), "conv_id", "turn")
@@ -538,8 +568,8 @@ def unsanitized_control(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items as documents, and their words with vectors that a hash picks, which stand in for trained ones."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    """Documents, and their words with vectors that a hash picks, which stand in for trained ones."""
+    items = docs(spark, sf).select("doc_id", "text")
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     n = e.count()
     seen = items.select(F.explode(offsets(F.col("text"))).alias("t")).select(F.lower("t.text").alias("cand")).where(F.col("cand").rlike(r"^\p{L}+$")).distinct()
@@ -548,15 +578,14 @@ def item_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def highmask_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return api.high_mask(*item_words(spark, sf), PrivacyConfig(epsilon=1.0))
+    return api.high_mask(*item_words(spark, sf), CONFIG)
 
 
 @query()
 def perturbed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole path over benchmark items: detection, budgets, neighbours and draws."""
+    """The whole path over all documents: detection, budgets, neighbours and draws, at the default budget."""
     items, vocab = item_words(spark, sf)
-    tokens = risk.budgets(risk.token_rows(detect.detect(items)), PrivacyConfig(epsilon=1.0))
-    return perturb.assembled(perturb.perturb(tokens, vocab, PrivacyConfig(epsilon=1.0)))
+    return perturb.assembled(api.perturb(items, vocab, CONFIG))
 
 
 @query("SELECT lang, source, count(*) AS n, round(avg(n_chars), 6) AS avg_chars FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())")

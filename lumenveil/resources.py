@@ -44,10 +44,6 @@ LOCAL_PHONE = r"\b\d{3}-\d{3}-\d{3}\b"
 # What the noise uses.
 CURRENCIES = "$ € £ ¥ ₹ ₩ ₽ ₫ ฿ ₴ ₦".split()
 FALLBACK_CHARS = "的是在了有和人这中我一不他你们为上个来对生能而要之年地到说时大家都把子就三下自去可还如现得里后以会当起与好用没国动成回什那二作部等学过也手行看只天分还"
-DEFAULT_ZH = [("的", 1.0), ("是", 0.9), ("在", 0.8), ("了", 0.7), ("和", 0.6)]
-DEFAULT_EN = [("the", 1.0), ("and", 0.9), ("is", 0.8), ("to", 0.7), ("a", 0.6)]
-ZH_PUNCTUATION = "，。！？；：、\"''（）《》【】……—–"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPECIAL_TOKENS = ["[CLS]", "[SEP]", "[PAD]", "[UNK]", "[MASK]"]
 
 # English stop words of the public NLTK list, and the short list of the restoring step.
