@@ -39,15 +39,15 @@ def scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return -euclid(q, v)
 
 
-def best(rounded: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest numbers of each row, largest first, of equal ones the leftmost: those not below the row's
-    k-th number are sorted, the rest only parted off."""
-    if k < rounded.shape[1]:
-        least = np.partition(rounded, rounded.shape[1] - k, axis=1)[:, rounded.shape[1] - k]
-        row, col = np.nonzero(rounded >= least[:, None])
+def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest numbers of each row, rounded to 12 places, largest first, of equal ones the leftmost: only those
+    about the row's k-th number or above are rounded and sorted, the rest is parted off."""
+    if k < score.shape[1]:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        row, col = np.nonzero(score >= least[:, None] - 2e-12)
     else:
-        row, col = (x.ravel() for x in np.indices(rounded.shape))
-    order = np.lexsort((col, -rounded[row, col], row))
+        row, col = (x.ravel() for x in np.indices(score.shape))
+    order = np.lexsort((col, -np.round(score[row, col], 12), row))
     row, col = row[order], col[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
     return row[place < k], col[place < k]
@@ -89,7 +89,7 @@ def nearest_lists(queries: DataFrame, vocab: DataFrame, k: int, metric: str = "c
         mq = matrix(q.column("vec")) if mv is not None else np.zeros((0, 1))
         for at in range(0, len(mq), BATCH):
             score = scores(mq[at : at + BATCH], mv, metric)
-            row, col = best(np.round(score, 12), k)
+            row, col = best(score, k)
             kept.append((row + at, col, score[row, col]))
         row, col, score = (np.concatenate([x[i] for x in kept]) if kept else np.zeros(0, np.int64) for i in range(3))
         places = np.searchsorted(row, np.arange(len(mq) + 1)).astype(np.int32)

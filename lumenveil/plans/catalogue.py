@@ -11,6 +11,7 @@ from .. import api, resources as R
 from ..config import PrivacyConfig
 from ..functions import rng
 from ..functions.spans import bind, mask
+from ..functions.tables import settled
 from ..functions.tokens import ngrams, offsets, words
 from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, utility
 from ..sources import readers
@@ -573,7 +574,7 @@ def item_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     n = e.count()
     seen = items.select(F.explode(offsets(F.col("text"))).alias("t")).select(F.lower("t.text").alias("cand")).where(F.col("cand").rlike(r"^\p{L}+$")).distinct()
-    return items, seen.withColumn("vec_id", F.pmod(F.xxhash64("cand"), F.lit(n))).join(e, "vec_id").select("cand", F.col("embedding").alias("vec"))
+    return items, settled(seen.withColumn("vec_id", F.pmod(F.xxhash64("cand"), F.lit(n))).join(e, "vec_id").select("cand", F.col("embedding").alias("vec")))
 
 
 @query()
