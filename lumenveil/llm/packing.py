@@ -19,8 +19,9 @@ from .common import materialize, small_batches
 LONG_SPACE = re.compile(r"\s{2000}")
 #: How byte-level BPE parts a text before merging; a fixed value of the format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Limits of the query and of the pipeline, beside tokens: both are met by some sequences and bind there.
-PRODUCTION = {"max_segments": 16, "max_loss": 2046}
+#: Limits of the query and of the pipeline, beside tokens. Segments bind only where texts have fewer than four tokens on average,
+#: loss in sequences of one or two pieces.
+PRODUCTION = {"max_segments": 512, "max_loss": 2046}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -109,14 +110,15 @@ def place(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return where, offset
 
 
-def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, max_segments: int = 128, max_loss: int | None = None, end_id: int = 1, block: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, max_segments: int = 128, max_loss: int | None = None, end_id: int = 1, block: int = 8192, sequences: int = 1024) -> DataFrame:
     """Packs all rows of docs (doc_id, text) into sequences of at most `size` tokens, `max_segments` pieces and `max_loss`
     loss-bearing tokens (of each document all but its first; None: as many as tokens).
 
     A document longer than a sequence is cut each `size` tokens; its rest is placed with others. Pieces are dealt by a salted
-    hash into blocks of about `block` pieces, as many as the corpus needs, and each block is packed alone, so that no task
-    grows with the corpus. sequence_id is unique over all blocks; offsets in a sequence have no gap.
-    Null and empty texts are one end_id. Repeated rows and ids are packed each. An empty table gives no rows.
+    hash into blocks of about `sequences` sequences' tokens, but no more than `block` pieces, and each block is packed alone, so
+    that no task grows with the corpus, and only a block's last sequence is short for want of pieces. sequence_id is unique over all blocks; offsets in a sequence have no gap.
+    Null and empty texts are one end_id. Repeated rows and ids are packed each. An empty table gives no rows; other columns are
+    ignored. Which pieces share a block depends on how the table is partitioned, whether they fit does not.
     """
     small_batches(docs.sparkSession)
     if max_loss is not None and max_loss < size:
@@ -125,7 +127,8 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048, max_segments: i
         cut_at = size
     limits = np.array([size, max_segments, max_loss or size], float)
     pieces = materialize(pieces_of(docs, tokenizer_file, cut_at, end_id), "pieces")
-    blocks = max(1, -(-pieces.count() // block))
+    n, tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    blocks = max(1, -(-n // block), -(-tokens // (sequences * size)))
     wide = 1 << 32
 
     def packed(items: pd.DataFrame) -> pd.DataFrame:
