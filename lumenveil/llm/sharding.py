@@ -81,8 +81,9 @@ def breadth(docs: DataFrame, name: str, low: Column, high: Column) -> Column:
 
 
 def points(docs: DataFrame, dims: tuple[str, ...], carry: bool = False) -> DataFrame:
-    """(doc_id, size, text_crc32, c, t, r): what the tree needs of each row, without its text. c: places by dimension; t: a hash of
-    id, text and metadata; r: a number of its own, which only tells rows apart that are equal in all of these."""
+    """(doc_id, size, text_crc32, c, t, r, node): what the tree needs of each row, without its text. c: places by dimension; t: a hash of
+    id, text and metadata; r: a number of its own, which only tells rows apart that are equal in all of these. node: the root, stored,
+    so that joins with nodes are by a column's values at every level."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
     crc = F.crc32(text.cast("binary"))
@@ -90,7 +91,7 @@ def points(docs: DataFrame, dims: tuple[str, ...], carry: bool = False) -> DataF
     hashed = F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("long")
     places = F.array(*[coordinate(docs, d) for d in dims]) if dims else F.array().cast("array<bigint>")
     whole = [F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")] if carry else []
-    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), places.alias("c"), hashed.alias("t"), F.monotonically_increasing_id().alias("r"), *whole)
+    return docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), places.alias("c"), hashed.alias("t"), F.monotonically_increasing_id().alias("r"), F.lit(1).cast("long").alias("node"), *whole)
 
 
 def order(dim: Column) -> Column:
@@ -104,8 +105,7 @@ def table(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
 
 
 def descended(rows: DataFrame, tree: Tree) -> DataFrame:
-    """Adds node: the leaf of the tree as far as it is grown."""
-    rows = rows.withColumn("node", F.lit(1).cast("long"))
+    """Points with node brought from the root to the leaf of the tree as far as it is grown."""
     for level in tree.levels:
         cuts = table(rows.sparkSession, [(n.number, n.dim, n.cut) for n in level], CUTS)
         side = F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(order(F.col("dim")) <= F.col("cut"), 0).otherwise(1))
