@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,39 +34,36 @@ def flexible(text):
     return F.when(F.btrim(text).rlike("^[a-zA-Z]{1,3}$"), F.concat(F.lit(r"\b"), pattern, F.lit(r"\b"))).otherwise(pattern)
 
 
-def restored_text(response: str, changes: list[dict]) -> str:
-    """Puts originals back, the longest perturbed text first: by its pattern, else literally, else its telling words one by one."""
-    import re
-
-    for c in sorted(changes, key=lambda c: -len(c["perturbed"])):
-        original = re.sub(rf"(?<={CJK})\s+(?={CJK})", "", c["original"])
-        if c["regex_pattern"]:
-            new, n = re.subn(c["regex_pattern"], lambda _, o=original: o, response, flags=re.IGNORECASE)
-            if n:
-                response = new
-                continue
-        if c["perturbed"] and c["perturbed"] in response:
-            response = response.replace(c["perturbed"], original)
-            continue
-        for sub in c["sub_changes"] if c["sub_changes"] is not None else ():
-            old, new = sub["perturbed"], sub["original"]
-            if len(old) < 2 or old.lower() in R.SHORT_STOP or (re.fullmatch("[a-zA-Z]+", old) and len(old) < 4):
-                continue
-            if re.fullmatch("[a-zA-Z0-9]+", old):
-                response = re.sub(rf"\b{old}\b", lambda _, n=new: n, response, flags=re.IGNORECASE)
-            else:
-                response = response.replace(old, new)
-    return response
+def literal(text):
+    """A replacement of a regular expression that stands for itself."""
+    return F.regexp_replace(text, r"([\\$])", r"\\$1")
 
 
-def restore(responses: DataFrame, groups: DataFrame) -> DataFrame:
-    """(doc_id, restored) for responses (doc_id, response) and change groups; responses without changes stay. A document's changes
-    meet its response by one join; patterns differ in each, so Arrow batches are rewritten in Python."""
-    gathered = groups.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("index", "original", "perturbed", "regex_pattern", "sub_changes"))).alias("changes"))
-    joined = responses.select("doc_id", "response").join(gathered, "doc_id", "left")
+def put_back(response, change):
+    """A response with one change taken back: wherever its pattern matches, else wherever its text stands, else each of its telling
+    words by itself. Case doesn't matter to patterns and to plain words."""
+    original = F.regexp_replace(change["original"], rf"(?<={CJK})\s+(?={CJK})", "")
+    pattern = F.concat(F.lit("(?iU)"), change["regex_pattern"])
+
+    def word(text, sub):
+        old, plain = sub["perturbed"], sub["perturbed"].rlike("^[a-zA-Z0-9]+$")
+        idle = (F.length(old) < 2) | F.lower(old).isin(sorted(R.SHORT_STOP)) | (old.rlike("^[a-zA-Z]+$") & (F.length(old) < 4))
+        edged = F.regexp_replace(text, F.concat(F.lit(r"(?iU)\b"), old, F.lit(r"\b")), literal(sub["original"]))
+        return F.when(idle, text).when(plain, edged).otherwise(F.replace(text, old, sub["original"]))
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "restored": [restored_text(r, list(c)) if r and c is not None else r for r, c in zip(b["response"], b["changes"], strict=True)]})
+    matched = (change["regex_pattern"] != "") & F.rlike(response, pattern)
+    whole = (change["perturbed"] != "") & F.contains(response, change["perturbed"])
+    by_word = F.aggregate(F.coalesce(change["sub_changes"], F.array().cast("array<struct<original:string,perturbed:string>>")), response, word)
+    return F.when(matched, F.regexp_replace(response, pattern, literal(original))).when(whole, F.replace(response, change["perturbed"], original)).otherwise(by_word)
 
-    return joined.mapInPandas(put, "doc_id long, restored string")
+
+def restore(responses: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, restored) for responses (doc_id, response) and change groups; responses without changes stay, null ones too.
+
+    A document's changes meet its response by one join. They are taken back by a fold over them, the longest perturbed text
+    first, of equally long ones the first in the text; each sees what those before it left."""
+    item = F.struct((-F.length("perturbed")).alias("order"), "index", "original", "perturbed", "regex_pattern", "sub_changes")
+    gathered = groups.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("changes"))
+    joined = responses.select("doc_id", "response").join(gathered, "doc_id", "left")
+    put = F.when(F.col("changes").isNull(), F.col("response")).otherwise(F.aggregate("changes", F.col("response"), put_back))
+    return joined.select("doc_id", put.alias("restored"))

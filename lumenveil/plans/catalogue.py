@@ -13,7 +13,7 @@ from ..functions import rng
 from ..functions.spans import bind, mask
 from ..functions.tables import settled
 from ..functions.tokens import ngrams, offsets, words
-from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, utility
+from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, utility, wordpiece
 from ..sources import readers
 from ..streaming import live
 
@@ -537,6 +537,34 @@ def chosen_levels(spark: SparkSession, sf: str) -> DataFrame:
     return api.shown(api.perturb_chosen(items, vocab, CONFIG, levels))
 
 
+#: Heads of up to five and ends of up to four characters that three or more words share, and their single characters.
+_PIECES = r"""w AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]')) AS word FROM documents),
+    vocab AS MATERIALIZED (SELECT left(word, k) AS piece FROM w, range(1, 6) r(k) WHERE length(word) >= k GROUP BY ALL HAVING count(*) > 2
+    UNION SELECT '##' || right(word, k) FROM w, range(1, 5) r(k) WHERE length(word) > k GROUP BY ALL HAVING count(*) > 2)"""
+
+
+@query(f"""WITH RECURSIVE {_PIECES}, part AS MATERIALIZED (SELECT word, s, max(s + k) AS e FROM (SELECT word, unnest(range(0, length(word)::BIGINT)) AS s FROM w WHERE length(word) <= 100), range(1, 6) r(k)
+        WHERE s + k <= length(word) AND (CASE WHEN s > 0 THEN '##' ELSE '' END || substr(word, s + 1, k)) IN (SELECT piece FROM vocab) GROUP BY word, s),
+    walk AS (SELECT word, 0::BIGINT AS place, []::VARCHAR[] AS ps FROM w UNION ALL
+        SELECT walk.word, e, list_append(ps, CASE WHEN s > 0 THEN '##' ELSE '' END || substr(walk.word, s + 1, e - s)) FROM walk JOIN part ON part.word = walk.word AND part.s = walk.place),
+    done AS (SELECT word, ps FROM walk WHERE place = length(word)),
+    t AS (SELECT doc_id, i, word FROM (SELECT doc_id, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+|[^\\p{{L}}\\p{{M}}\\p{{N}}\\s]') AS x FROM documents)))
+    SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n, coalesce(pieces, '') AS pieces FROM documents LEFT JOIN
+    (SELECT doc_id, sum(coalesce(len(ps), 1)) AS n, string_agg(coalesce(array_to_string(ps, ' '), '[UNK]'), ' ' ORDER BY i) AS pieces FROM t LEFT JOIN done USING (word) GROUP BY doc_id) USING (doc_id)""")
+def wordpiece_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Subword tokens of all documents, by a vocabulary of the heads and ends that their words share."""
+    rows = docs(spark, sf).select("doc_id", "text")
+    word = settled(rows.select(F.explode(F.transform(detect.find(F.coalesce("text", F.lit("")), wordpiece.UNIT), lambda u: wordpiece.folded(u["text"], True))).alias("word")).distinct())
+    some = lambda column, least: word.where(F.length("word") >= least).select(column.alias("piece")).groupBy("piece").count().where("count > 2").select("piece")
+    heads = [some(F.left("word", F.lit(k)), k) for k in range(1, 6)]
+    ends = [some(F.concat(F.lit("##"), F.right("word", F.lit(k))), k + 1) for k in range(1, 5)]
+    vocab = heads[0]
+    for part in heads[1:] + ends:
+        vocab = vocab.union(part)
+    encoded = wordpiece.encode(rows, vocab)
+    return encoded.select("doc_id", F.size("encoded").cast("long").alias("n"), F.array_join(F.transform("encoded", lambda t: t["token"]), " ").alias("pieces"))
+
+
 @query("SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
 def users_renest(spark: SparkSession, sf: str) -> DataFrame:
     nested = readers.renested(table(spark, sf, "conversations"), "conv_id", "turn")

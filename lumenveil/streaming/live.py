@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.spans import mask
 from ..operators.detect import detect
@@ -36,3 +40,45 @@ def with_survey(log: DataFrame, surveys: DataFrame) -> DataFrame:
     """Log rows (session, at) with the survey (session, survey) that amends a session's last row."""
     last = log.groupBy("session").agg(F.max("at").alias("at")).join(surveys, "session")
     return log.join(last, ["session", "at"], "left")
+
+
+AMENDED = "session string, at timestamp, entry string, survey string"
+
+
+def amended(steps: DataFrame, wait: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """A stream of log rows (session, at, entry, survey), each once, the one before a survey with it, from a stream of steps
+    (session, at, entry, survey), of which each has an entry or a survey.
+
+    A session's last row is kept as its state until a survey amends it, a newer row comes or `wait` passes on the events' clock.
+    A survey amends the row that is kept, even if its own time is before it. A survey that finds none, because it is repeated or
+    too late, is a row of its own without an entry. Steps of one batch go by their time, entries before surveys of the same time.
+    Steps without a session or a time are left out; those behind the watermark too, as in all event-time streams."""
+    seconds = pd.Timedelta(wait)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        kept = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], kept[0], kept[1], None)], columns=["session", "at", "entry", "survey"])
+            return
+        rows = pd.concat(list(batches))
+        rows = rows.assign(_order=rows["entry"].isna()).sort_values(["at", "_order", "entry", "survey"])
+        for at, entry, survey in zip(rows["at"], rows["entry"], rows["survey"], strict=True):
+            if entry is not None:
+                if kept is not None:
+                    out.append((key[0], kept[0], kept[1], None))
+                kept = (at.to_pydatetime(), entry)
+            else:
+                out.append((key[0], *(kept or (at.to_pydatetime(), None)), survey))
+                kept = None
+        if kept is not None:
+            state.update(kept)
+            end = int((pd.Timestamp(kept[0]) + seconds).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["session", "at", "entry", "survey"])
+
+    some = steps.select("session", "at", "entry", "survey").where("session is not null and at is not null and (entry is not null or survey is not null)")
+    return some.withWatermark("at", late).groupBy("session").applyInPandasWithState(step, AMENDED, "at timestamp, entry string", "append", GroupStateTimeout.EventTimeTimeout)
