@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .common import marks, small_batches, word_hashes
 #: Words here are lower-cased stretches without white space and common punctuation.
 PARTS = marks(b" \t\n\x0b\x0c\r.,;:!?\"'()")
 FOLD = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
+#: Words of a text whose windows are held at once.
+SPAN = 1 << 14
 TABLE = bytes(32 if PARTS[b] else int(FOLD[b]) for b in range(256))
 
 
@@ -29,7 +32,7 @@ class Retrieval:
     short: items of fewer words are searched verbatim.
     verbatim: share of an item's words, in order, that condemns by itself; paraphrase: the share that does if the answer's
     words are there as well, in order, to the share `answer`. The answer is the item's last fifth, 3 words at least.
-    block: benchmark items searched in one pass. common: a word that a larger share of documents has is common."""
+    gate: least cosine of a window with a part of an item that makes it a candidate. block: benchmark items searched in one pass. common: a word that a larger share of documents has is common."""
 
     buckets: int = 1 << 15
     rank: int = 32
@@ -40,6 +43,7 @@ class Retrieval:
     verbatim: float = 0.85
     paraphrase: float = 0.7
     answer: float = 0.6
+    gate: float = 0.5
     block: int = 2000
     common: float = 0.1
 
@@ -190,6 +194,7 @@ class Index:
         self.rare = Lexicon(rare)
         self.hashes: list[np.ndarray] = []
         self.chunks: list[list[tuple[int, int, np.ndarray]]] = []  # of each item: length of window, first word, unit vector
+        parted: dict[int, list[tuple[int, int, np.ndarray]]] = {}  # of each length of window: item, first word, unit vector
         need, pairs = [], []
         for k, h in enumerate(hashes(pa.array([t for _, t in items], pa.string()))):
             own = self.rare.places(h)[1]
@@ -203,8 +208,20 @@ class Index:
                 v = latent[bucket(h[a:z], config.buckets)].sum(axis=0)
                 if (norm := float(np.linalg.norm(v))) > 0:
                     mine.append((min(config.windows, key=lambda n: abs(n - (z - a))), a, v / norm))
+                    if len(h) >= config.short:
+                        n = min(config.windows, key=lambda n: abs(n - (z - a))) if z - a >= config.windows[0] else -(-(z - a) // 4) * 4
+                        parted.setdefault(n, []).append((k, a, v / norm))
             self.chunks.append(mine)
         self.own = [np.unique(h) for h in self.hashes]
+        self.parts = {n: (np.array([k for k, _, _ in x]), np.array([a for _, a, _ in x]), np.stack([v for _, _, v in x], axis=1)) for n, x in sorted(parted.items())}
+        self.all = Lexicon(np.concatenate([np.zeros(1, np.uint64), *self.own]))
+        bits = np.zeros((len(self.all.words) + 1, -(-len(items) // 8)), np.uint8)  # of each word: the items that have it
+        for k, own in enumerate(self.own):
+            bits[np.searchsorted(self.all.words, own), k >> 3] |= 1 << (k & 7)
+        self.bits = bits
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.reach = int(max(self.size, default=0)) + 2 * config.windows[-1]
+        self.enough = np.array([self.least(k) for k in range(len(items))], np.int64)
         self.need = np.array(need, np.int64)
         self.span = np.array([len(w) + 2 * config.windows[-1] for w in self.words], np.int64)
         self.open = [k for k, n in enumerate(need) if n <= 0]
@@ -240,25 +257,93 @@ class Index:
                 mine.append((max(0, lo - reach), min(len(h), hi + reach)))
         return out
 
-    def search(self, text: Callable[[], str | None], h: np.ndarray) -> list[tuple[int, float, float, int]]:
-        """(item_id, cosine, share of its words in order, first word of the window) for each item that the text leaks."""
-        found: list[tuple[int, float, float, int]] = []
+    def search(self, text: Callable[[], str | None], h: np.ndarray) -> list[tuple[int, float, float, int, str]]:
+        """(item_id, cosine, share of its words in order, first word of the window, way) for each item that the text leaks; way is
+        `latent` for those that the cosine search finds, `words` for others that counting words finds."""
+        held: list[list[bytes]] = []
+
+        def lowered() -> list[bytes]:
+            if not held:
+                held.append(terms(text()))
+            return held[0]
+
+        found = self.by_latent(lowered, h)
+        return [(*found[k], "latent") for k in sorted(found)] + [(*x, "words") for x in self.by_words(lowered, h, found)]
+
+    def leaked(self, text: Callable[[], str | None], h: np.ndarray) -> bool:
+        """Whether search() would find anything."""
+        lowered = lru_cache(1)(lambda: terms(text()))
+        return bool(self.by_latent(lowered, h)) or next(self.by_words(lowered, h, {}), None) is not None
+
+    def by_latent(self, lowered: Callable[[], list[bytes]], h: np.ndarray) -> dict[int, tuple[int, float, float, int]]:
+        """What the cosine search finds, by item: of each window of each length, moved by a quarter, the parts of items at a cosine of
+        `gate` or more; of these the windows whose surroundings hold enough of the item's words are checked, the nearest first."""
+        found: dict[int, tuple[int, float, float, int]] = {}
+        for lo in range(0, len(h), SPAN):
+            # Stretches overlap by the longest surroundings, so that those of every leak lie in one of them.
+            part = h[lo : lo + SPAN + self.reach]
+            item, first, length, near = self.nearest(part)
+            if not len(item):
+                continue
+            good = self.holding(part, item, first, length)
+            for i in good[np.argsort(-near[good], kind="stable")].tolist():
+                k = int(item[i])
+                if k not in found and (x := self.judged(k, lowered(), max(0, lo + int(first[i])), int(length[i]), float(near[i]))):
+                    found[k] = x
+        return found
+
+    def nearest(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(item, where its first word would stand, length of window, cosine) of all windows and parts of items within the gate."""
+        out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+        of = self.latent[bucket(h, self.config.buckets)]
+        for n, (item, start, vectors) in self.parts.items():
+            step = n // 4
+            padded = np.zeros((-(-len(h) // step) + 3, step, of.shape[1]), np.float32)
+            padded.reshape(-1, of.shape[1])[: len(h)] = of
+            quarter = padded.sum(axis=1)
+            v = quarter[:-3] + quarter[1:-2] + quarter[2:-1] + quarter[3:]
+            v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-9
+            cosine = v @ vectors
+            i, c = np.nonzero(cosine >= self.config.gate)
+            out.append((item[c], i * step - start[c], np.full(len(i), n), cosine[i, c].astype(np.float64)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def holding(self, h: np.ndarray, item: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which candidates have surroundings, those that judged() looks at, that hold as many of the item's words as any leak has:
+        counted in steps of four words first, which count too many at most, then word by word, repeated ones once."""
+        at, k = self.all.places(h)
+        word = np.full(-(-len(h) // 4) * 4 + 4, len(self.all.words))  # the last row of bits is of no word
+        word[at] = k
+        has = np.unpackbits(self.bits[word], axis=1, bitorder="little")
+        four = has.reshape(-1, 4, has.shape[1])
+        count = np.zeros((len(four) + 1, has.shape[1]), np.int32)
+        np.cumsum(four[:, 0] + four[:, 1] + four[:, 2] + four[:, 3], axis=0, out=count[1:])
+        begin, end = np.maximum(0, np.maximum(0, first) - length // 2), np.minimum(len(h), np.maximum(0, first) + self.size[item] + length)
+        some = np.flatnonzero(count[-(-end // 4), item] - count[begin // 4, item] >= self.enough[item])
+        return some[np.array([self.common(int(item[i]), word[begin[i] : end[i]], has[begin[i] : end[i], item[i]]) for i in some.tolist()], bool)]
+
+    def common(self, k: int, word: np.ndarray, has: np.ndarray) -> bool:
+        """Whether enough of an item's words may be among the given ones: its distinct ones that are there, and all that it repeats;
+        has: which of the given ones are its words."""
+        if np.count_nonzero(has) < self.enough[k]:
+            return False
+        seen = np.sort(word[has != 0])
+        return 1 + np.count_nonzero(seen[1:] != seen[:-1]) + self.size[k] - len(self.own[k]) >= self.enough[k]
+
+    def by_words(self, lowered: Callable[[], list[bytes]], h: np.ndarray, known: dict) -> Iterator[tuple[int, float, float, int]]:
+        """What counting words finds of the items that are not known: whatever passes the checks, at any cosine."""
         spots = self.spots(h) if len(h) else {}
-        lowered: list[bytes] | None = None
-        for k in sorted(spots):
+        for k in sorted(spots.keys() - known.keys()):
             for lo, hi in spots[k]:
                 n, first = self.candidates(k, h, lo, hi)
                 if not len(first):
                     continue
-                if lowered is None:
-                    lowered = terms(text())
                 near = self.cosines(k, h, first)
                 order = np.argsort(-near, kind="stable")
-                best = next((x for i in order.tolist() if (x := self.judged(k, lowered, int(first[i]), n, float(near[i])))), None)
+                best = next((x for i in order.tolist() if (x := self.judged(k, lowered(), int(first[i]), n, float(near[i])))), None)
                 if best:
-                    found.append(best)
+                    yield best
                     break
-        return found
 
     def candidates(self, k: int, h: np.ndarray, lo: int, hi: int) -> tuple[int, np.ndarray]:
         """The length of an item's windows, and the first words of those in lo..hi whose surroundings, which judged() looks at,
@@ -307,7 +392,8 @@ class Decontaminator:
 
     Items are searched in blocks of `block`, each in a pass over all documents: what a task holds does not grow with the benchmark.
     Null and empty texts leak nothing; null or empty items are not looked for, and items of fewer than 5 words verbatim. Repeated
-    rows and items are each found. Empty tables give no rows.
+    rows and items are each found. Empty tables give no rows. Texts are searched whole, in stretches of 2**14 words. leaks() reads
+    doc_id and text alone, clean() keeps all columns.
     """
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, config: Retrieval = Retrieval()):
@@ -333,7 +419,7 @@ class Decontaminator:
         return [(latent, self.spark.sparkContext.broadcast(b)) for b in zip(self.blocks, self.rare, strict=True)]
 
     def leaks(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, item_id, cosine, in_order, first_word): a row for each row of docs (doc_id, text) and item that it leaks."""
+        """(doc_id, item_id, cosine, in_order, first_word, way): a row for each row of docs (doc_id, text) and item that it leaks."""
         config, out = self.config, None
         for latent, block in self._shared():
 
@@ -341,10 +427,10 @@ class Decontaminator:
                 index = Index(*block.value, latent.value, config)
                 for b in batches:
                     rows = [(doc, *x) for doc, text, h in zip(b.column("doc_id").to_pylist(), b.column("text"), hashes(b.column("text")), strict=True) for x in index.search(text.as_py, h)]
-                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "cosine", "in_order", "first_word"])
+                    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "item_id", "cosine", "in_order", "first_word", "way"])
 
-            part = docs.select("doc_id", "text").mapInArrow(found, "doc_id long, item_id long, cosine double, in_order double, first_word long")
+            part = docs.select("doc_id", "text").mapInArrow(found, "doc_id long, item_id long, cosine double, in_order double, first_word long, way string")
             out = part if out is None else out.union(part)
         return out
 
@@ -356,7 +442,7 @@ class Decontaminator:
             def kept(batches: Iterator[pa.RecordBatch], latent=latent, block=block) -> Iterator[pa.RecordBatch]:
                 index = Index(*block.value, latent.value, config)
                 for b in batches:
-                    yield b.filter(pa.array([not index.search(t.as_py, h) for t, h in zip(b.column("text"), hashes(b.column("text")), strict=True)], pa.bool_()))
+                    yield b.filter(pa.array([not index.leaked(t.as_py, h) for t, h in zip(b.column("text"), hashes(b.column("text")), strict=True)], pa.bool_()))
 
             docs = docs.mapInArrow(kept, docs.schema)
         return docs
