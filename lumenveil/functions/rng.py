@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +45,11 @@ def normal(u: Column, v: Column) -> Column:
 def gamma_whole(us: Column, rate: float) -> Column:
     """Gamma noise of whole shape: the sum of as many exponential draws as the array us has numbers."""
     return F.aggregate(us, F.lit(0.0), lambda a, u: a - F.log(F.greatest(u, F.lit(1e-15)))) / rate
+
+
+def stream(keys: np.ndarray, n: int) -> np.ndarray:
+    """n numbers in (0, 1) for each 64-bit key, inside a task: a row depends on its key only."""
+    x = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / (1 << 52) + 2.0**-53

@@ -13,7 +13,7 @@ from ..functions import rng
 from ..functions.spans import bind, mask
 from ..functions.tables import settled
 from ..functions.tokens import ngrams, offsets, words
-from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, utility, wordpiece
+from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, substitute, utility, wordpiece
 from ..sources import readers
 from ..streaming import live
 
@@ -364,6 +364,80 @@ def unsanitized_upper_bound(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.round(attacks.unsanitized_rate(words(F.col("text"))), 9).alias("rate"))
 
 
+def mechanism_tokens(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Words of all documents (doc_id, pos, token, word, sensitive) and the vocabulary: a word's vector is the one that a hash picks, one
+    word in twenty-one has none, nor have numbers; sensitive are the rarest nine tenths of distinct words."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    place = corpus.numbered(e.select("vec_id"), ["vec_id"]).select(F.col("number").cast("long").alias("_place"), F.concat(F.lit("v"), "vec_id").alias("_word"))
+    known = settled(corpus.vocabulary(docs(spark, sf)))
+    rare = corpus.rare_words(known).select("word", F.lit(True).alias("_rare"))
+    at = F.when(~F.col("word").rlike(substitute.NUMBER), F.floor(rng.uniform("word", F.col("word")) * e.count() * 1.05))
+    table_of = known.join(rare, "word", "left").withColumn("_place", at).join(place, "_place", "left")
+    table_of = table_of.select(F.col("word").alias("token"), F.col("_word").alias("word"), F.coalesce("_rare", F.lit(False)).alias("sensitive"))
+    tokens = docs(spark, sf).select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "token")).join(table_of, "token")
+    return tokens, e.select(F.concat(F.lit("v"), "vec_id").alias("cand"), "vec")
+
+
+def attacked(tokens: DataFrame, vocab: DataFrame, numbers: bool | None) -> DataFrame:
+    """Each document's share of words that the five nearest of their replacements give away, and how many words are new."""
+    hits = settled(substitute.inverted(tokens, vocab, 5, numbers))
+    new = hits.groupBy("doc_id").agg(F.count_if(F.col("token") != F.col("new_token")).alias("replaced"))
+    rates = attacks.rates(hits.where("hit is not null")).select("doc_id", F.round("rate", 9).alias("rate"), F.round("rate_exp_stop", 9).alias("rate_exp_stop"))
+    return new.join(rates, "doc_id", "left")
+
+
+_MECH = f"""{_VOCAB}, y AS (SELECT word FROM (SELECT word, row_number() OVER (ORDER BY cnt DESC, f.d, f.p) AS rn, count(*) OVER () AS n FROM v) WHERE rn > n - (floor(0.9 * n) + 1)),
+    e AS MATERIALIZED (SELECT 'v' || vec_id AS cand, [x::DOUBLE FOR x IN embedding] AS vec, row_number() OVER (ORDER BY vec_id) - 1 AS place, row_number() OVER (ORDER BY 'v' || vec_id) - 1 AS number FROM embeddings),
+    k AS (SELECT v.word AS token, e.cand AS word, y.word IS NOT NULL AS sensitive FROM v LEFT JOIN y ON v.word = y.word
+        LEFT JOIN e ON place = CASE WHEN NOT regexp_matches(v.word, '{substitute.NUMBER}') THEN floor({U("'word'", "v.word")} * (SELECT count(*) FROM embeddings) * 1.05) END),
+    tok AS MATERIALIZED (SELECT doc_id, pos, token, k.word AS word, sensitive FROM (SELECT doc_id, pos, word AS token FROM t) JOIN k USING (token)),
+    d AS MATERIALIZED (SELECT a.cand AS query, b.cand AS cand, list_distance(a.vec, b.vec) AS d FROM e a, e b),
+    o AS MATERIALIZED (SELECT query, cand, d, row_number() OVER (PARTITION BY query ORDER BY round(d, 12), cand) AS rank FROM d)"""
+_ATTACK = f"""h AS (SELECT doc_id, token, new_token, CASE WHEN route = 'keep' OR route = 'number' THEN true ELSE o.query IS NOT NULL END AS hit FROM n LEFT JOIN (SELECT * FROM o WHERE rank <= 5) o ON n.new_word = o.query AND n.word = o.cand)
+    SELECT doc_id, count_if(token <> new_token) AS replaced, round(count_if(hit) / count(*), 9) AS rate,
+    round(count_if(hit AND NOT lower(token) IN ({STOP_SQL}) AND NOT regexp_matches(token, '^[[:punct:]]+$')) / count(*), 9) AS rate_exp_stop FROM h GROUP BY doc_id"""
+_SEED = lambda what: U("42", "doc_id", "pos", f"'{what}'")
+
+
+@query(f"""WITH {_MECH}, x AS (SELECT query, cand, exp(-(d - min(d) OVER q) / CASE WHEN max(d) OVER q > min(d) OVER q THEN max(d) OVER q - min(d) OVER q ELSE 1e-6 END) AS w FROM d WINDOW q AS (PARTITION BY query)),
+    c AS MATERIALIZED (SELECT query, cand, sum(w) OVER (PARTITION BY query ORDER BY cand ROWS UNBOUNDED PRECEDING) AS cum FROM x), s AS (SELECT query, max(cum) AS total FROM c GROUP BY query),
+    r AS MATERIALIZED (SELECT *, CASE WHEN word IS NULL THEN 'any' WHEN sensitive OR {_SEED("route")} < 0.3 THEN 'draw' ELSE 'keep' END AS route FROM tok),
+    g AS (SELECT doc_id, pos, token, word, route, {_SEED("draw")} * total AS target FROM r JOIN s ON word = s.query WHERE route = 'draw'),
+    n AS (SELECT doc_id, token, word, route, c.cand AS new_word, c.cand AS new_token FROM g ASOF JOIN c ON g.word = c.query AND g.target <= c.cum
+        UNION ALL SELECT doc_id, token, NULL, route, e.cand, e.cand FROM r JOIN e ON number = floor({_SEED("any")} * (SELECT count(*) FROM embeddings)) WHERE route = 'any'
+        UNION ALL SELECT doc_id, token, word, route, NULL, token FROM r WHERE route = 'keep'), {_ATTACK}""")
+def santext_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole-vocabulary substitution of all documents, attacked."""
+    tokens, vocab = mechanism_tokens(spark, sf)
+    return attacked(substitute.santext(tokens, vocab, 2.0, 42, F.col("sensitive")), vocab, True)
+
+
+@query(f"""WITH {_MECH}, z AS (SELECT * FROM o WHERE rank <= 20), x AS (SELECT query, cand, rank, exp(-(d - min(d) OVER q) / CASE WHEN max(d) OVER q > min(d) OVER q THEN max(d) OVER q - min(d) OVER q ELSE 1e-6 END) AS w FROM z WINDOW q AS (PARTITION BY query)),
+    c AS MATERIALIZED (SELECT query, cand, sum(w) OVER q / sum(w) OVER (PARTITION BY query) AS cum FROM x WINDOW q AS (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING)),
+    r AS MATERIALIZED (SELECT *, CASE WHEN word IS NOT NULL AND NOT lower(token) IN ({STOP_SQL}) THEN 'draw' WHEN regexp_matches(token, '{substitute.NUMBER}') AND abs(try_cast(token AS DOUBLE)) < 1e15 THEN 'number' ELSE 'keep' END AS route FROM tok),
+    g AS (SELECT doc_id, pos, token, word, route, {_SEED("draw")} - 1e-12 AS target FROM r WHERE route = 'draw'),
+    n AS (SELECT doc_id, token, word, route, c.cand AS new_word, c.cand AS new_token FROM g ASOF JOIN c ON g.word = c.query AND g.target <= c.cum
+        UNION ALL SELECT doc_id, token, word, route, NULL, CASE WHEN route = 'number' THEN (round_even(try_cast(token AS DOUBLE), 0)::BIGINT + floor({_SEED("number")} * 1000)::BIGINT)::VARCHAR ELSE token END FROM r WHERE route <> 'draw'), {_ATTACK}""")
+def custext_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Mapped substitution of all documents, attacked; a number is compared with itself."""
+    tokens, vocab = mechanism_tokens(spark, sf)
+    return attacked(substitute.custext(tokens, vocab, 2.0, 42), vocab, True)
+
+
+@query()
+def rantext_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Noisy-radius substitution of all documents, attacked; numbers are not."""
+    tokens, vocab = mechanism_tokens(spark, sf)
+    return attacked(substitute.rantext(tokens, vocab, 8.0, 42), vocab, None)
+
+
+@query()
+def snd_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Projected noise on all documents, attacked."""
+    tokens, vocab = mechanism_tokens(spark, sf)
+    return attacked(substitute.snd(tokens, vocab, 1.0, 42), vocab, True)
+
+
 _TRI = "list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])"
 
 

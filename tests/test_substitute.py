@@ -1,0 +1,143 @@
+"""Four mechanisms over documents against plain Python, and the attack on them."""
+
+import collections
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenveil.functions import rng
+from lumenveil.operators import substitute
+
+TOKENS = "doc_id long, pos int, token string, word string, extra string"
+
+
+def vocabulary(spark, n, dims=6, seed=1):
+    vec = np.random.default_rng(seed).normal(size=(n, dims)).astype(np.float32)
+    names = [f"v{i:03d}" for i in range(n)]
+    return spark.createDataFrame([(c, v.tolist()) for c, v in zip(names, vec, strict=True)], "cand string, vec array<float>"), names, vec.astype(np.float64)
+
+
+def places(spark, words, docs=4):
+    rows = [(i % docs, i // docs, w or "odd", w, None) for i, w in enumerate(words)]
+    return spark.createDataFrame(rows, TOKENS).repartition(3)
+
+
+def rows_of(df):
+    return {(r["doc_id"], r["pos"]): r for r in df.collect()}
+
+
+def uniforms(spark, df, *what):
+    return {(r["doc_id"], r["pos"]): r for r in df.select("doc_id", "pos", *[rng.uniform(42, F.col("doc_id"), F.col("pos"), w).alias(w) for w in what]).collect()}
+
+
+def test_whole_vocabulary_draws_invert_the_distribution_in_any_blocks(spark):
+    vocab, names, vec = vocabulary(spark, 23)
+    words = [names[i % 23] if i % 5 else None for i in range(120)] + [names[0]] * 60
+    tokens = places(spark, words)
+    u = uniforms(spark, tokens, "route", "draw", "any")
+    sensitive = F.col("word") == names[0]
+    out = rows_of(substitute.santext(tokens, vocab, 2.0, 42, sensitive))
+    assert len(out) == len(words)
+    for key, r in out.items():
+        if r["word"] is None:
+            assert (r["route"], r["new_word"]) == ("any", names[int(u[key]["any"] * 23)])
+        elif r["word"] == names[0] or u[key]["route"] < 0.3:
+            d = np.linalg.norm(vec - vec[names.index(r["word"])], axis=1)
+            run = np.exp(-(d - d.min()) / (d.max() - d.min())).cumsum()
+            assert (r["route"], r["new_word"]) == ("draw", names[int(np.searchsorted(run, u[key]["draw"] * run[-1]))])
+            assert r["new_token"] == r["new_word"]
+        else:
+            assert (r["route"], r["new_word"], r["new_token"]) == ("keep", None, r["token"])
+    assert rows_of(substitute.santext(tokens, vocab, 2.0, 42, sensitive, block=5)) == out
+
+
+def test_mapped_words_stops_and_numbers(spark):
+    vocab, names, vec = vocabulary(spark, 30)
+    rows = [(0, i, w, w, None) for i, w in enumerate(names)]
+    rows += [(1, 0, "the", names[3], None), (1, 1, "2.5", None, None), (1, 2, "nan", None, None), (1, 3, "odd", None, "x"), (1, 4, "1e5", None, None), (1, 5, "1d", None, None), (1, 6, "", None, None), (None, 7, "12", None, None)]
+    tokens = spark.createDataFrame(rows, TOKENS)
+    u = uniforms(spark, tokens, "draw", "number")
+    out = rows_of(substitute.custext(tokens, vocab, 3.0, 42, k=7))
+    assert len(out) == len(rows)
+    for i, word in enumerate(names):
+        d = np.linalg.norm(vec - vec[i], axis=1)
+        near = np.argsort(d, kind="stable")[:7]
+        run = np.exp(-1.5 * (d[near] - d[near[0]]) / (d[near[-1]] - d[near[0]])).cumsum()
+        assert out[0, i]["new_word"] == names[near[np.searchsorted(run / run[-1], u[0, i]["draw"])]], word
+    assert [out[1, p]["route"] for p in range(7)] == ["keep", "number", "keep", "keep", "number", "keep", "keep"]
+    assert out[1, 1]["new_token"] == str(2 + math.floor(u[1, 1]["number"] * 1000))
+    assert out[1, 4]["new_token"] == str(100000 + math.floor(u[1, 4]["number"] * 1000))
+    assert (out[1, 3]["new_token"], out[1, 3]["extra"], out[None, 7]["route"]) == ("odd", "x", "number")
+    assert rows_of(substitute.custext(tokens, vocab, 3.0, 42, k=7, keep_stops=False))[1, 0]["route"] == "draw"
+
+
+@pytest.mark.parametrize("block", [16_384, 11])
+def test_noisy_radius_stays_in_reach_and_follows_the_weights(spark, block):
+    """One word a thousand and more times: each draw lies within its own radius, and the counts fit the weights that the radii give."""
+    vocab, names, vec = vocabulary(spark, 40)
+    tokens = places(spark, [names[7]] * 1500 + [names[8], None]).unionByName(spark.createDataFrame([(9, 0, "77", names[1], None)], TOKENS))
+    out = rows_of(substitute.rantext(tokens, vocab, 3.0, 42, block=block))
+    keys = {(r["doc_id"], r["pos"]): r["k"] for r in tokens.select("doc_id", "pos", F.xxhash64(F.lit(42), "doc_id", "pos", F.lit("radius")).alias("k")).collect()}
+    tt = 0.01658 * math.log(19.0647 * 3 - 38.1294) + 9.3111
+    beta = (vec.max(0) - vec.min(0)) / tt
+    assert out[9, 0]["route"] == "number" and 1 <= int(out[9, 0]["new_token"]) <= 1000
+    seen, expected = collections.Counter(), np.zeros(40)
+    d = np.linalg.norm(vec - vec[7], axis=1)
+    for key, r in out.items():
+        if r["word"] != names[7]:
+            continue
+        at = rng.stream(np.array([keys[key]], np.int64), 6)[0] - 0.5
+        radius = float(np.sqrt(((beta * np.log(1 - 2 * np.abs(at))) ** 2).sum()))
+        assert r["route"] == "draw" and d[names.index(r["new_word"])] < radius
+        w = np.where(d < radius, np.exp(1.5 * (1 - d / radius)), 0)
+        seen[r["new_word"]] += 1
+        expected += w / w.sum()
+    got = np.array([seen[c] for c in names])
+    big = expected >= 5
+    chi = ((got - expected)[big] ** 2 / expected[big]).sum()
+    assert big.sum() > 1 and chi < big.sum() + 5 * math.sqrt(2 * big.sum()) + 5
+    assert [r["route"] for r in out.values() if r["word"] is None] == ["keep"]
+
+
+@pytest.mark.parametrize("rate", [0.2, 5.0])
+def test_projected_noise_equals_a_search_for_every_token(spark, rate):
+    """Little noise leaves nearly all tokens unsearched, much searches most; both give the nearest word of the moved vector."""
+    vocab, names, vec = vocabulary(spark, 30, seed=3)
+    tokens = places(spark, [names[i % 30] for i in range(200)] + [None, None])
+    out = rows_of(substitute.snd(tokens, vocab, rate, 42, scale=0.05))
+    keys = {(r["doc_id"], r["pos"]): r["k"] for r in tokens.select("doc_id", "pos", F.xxhash64(F.lit(42), "doc_id", "pos", F.lit("sphere")).alias("k")).collect()}
+    changed = 0
+    for key, r in out.items():
+        if r["word"] is None:
+            assert (r["route"], r["new_token"]) == ("keep", "odd")
+            continue
+        u = rng.stream(np.array([keys[key]], np.int64), 18)[0]
+        way = np.sqrt(-2 * np.log(u[6:12])) * np.cos(2 * np.pi * u[12:])
+        moved = vec[names.index(r["word"])] + 0.05 / rate * -np.log(u[:6]).sum() * way / np.linalg.norm(way)
+        assert r["new_word"] == names[int(np.linalg.norm(vec - moved, axis=1).argmin())]
+        changed += r["new_word"] != r["word"]
+    assert (changed > 20) == (rate < 1)
+
+
+def test_inversion_of_replaced_kept_and_numbers(spark):
+    vocab, names, vec = vocabulary(spark, 12)
+    near = lambda i: [names[j] for j in np.argsort(np.linalg.norm(vec - vec[i], axis=1))[:3]]
+    rows = [(0, i, names[i], names[i], "draw", names[(i + 1) % 12], names[(i + 1) % 12]) for i in range(12)]
+    rows += [(0, 12, "odd", None, "any", names[0], names[0]), (0, 13, "is", None, "keep", None, "is"), (0, 14, "7", None, "number", None, "9")]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, token string, word string, route string, new_word string, new_token string")
+    for numbers in (True, None):
+        hit = {r["pos"]: r["hit"] for r in substitute.inverted(df, vocab, 3, numbers).collect()}
+        assert [hit[i] for i in range(12)] == [names[i] in near((i + 1) % 12) for i in range(12)]
+        assert (hit[12], hit[13], hit[14]) == (False, True, numbers)
+
+
+def test_empty_tables(spark):
+    vocab, names, _ = vocabulary(spark, 5)
+    none = spark.createDataFrame([], TOKENS)
+    some = places(spark, [names[0], None])
+    runs = [lambda t, v: substitute.santext(t, v, 2.0, 1, F.lit(True)), lambda t, v: substitute.custext(t, v, 2.0, 1), lambda t, v: substitute.snd(t, v, 1.0, 1), lambda t, v: substitute.rantext(t, v, 2.0, 1)]
+    for run in runs:
+        assert run(none, vocab).count() == 0
+        assert [r["new_token"] for r in run(some, vocab.limit(0)).collect() if r["word"] is None] == ["odd"]
