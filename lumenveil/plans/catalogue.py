@@ -13,7 +13,7 @@ from ..functions import rng
 from ..functions.spans import bind, mask
 from ..functions.tables import settled
 from ..functions.tokens import ngrams, offsets, words
-from ..operators import attacks, corpus, detect, knn, leakage, mechanisms, perturb, restore, risk, substitute, utility, wordpiece
+from ..operators import attacks, corpus, detect, dictionary, knn, leakage, mechanisms, perturb, restore, risk, substitute, utility, wordpiece
 from ..sources import readers
 from ..streaming import live
 
@@ -591,6 +591,20 @@ def restore_responses_all(spark: SparkSession, sf: str) -> DataFrame:
     return restored.select(F.shiftright("doc_id", 20).alias("conv_id"), F.col("doc_id").bitwiseAND((1 << 20) - 1).alias("turn"), "restored")
 
 
+_TERMS = f"""p AS (SELECT {WORDS.format("lower(text)")} AS w FROM benchmark), k AS (SELECT DISTINCT term FROM (SELECT unnest(w) AS term FROM p UNION ALL SELECT unnest([array_to_string(w[i:i+1], ' ') FOR i IN range(1, len(w))]) FROM p) WHERE length(term) > 3)"""
+
+
+@query(f"""WITH {_TERMS}, d AS (SELECT doc_id, lower(text) AS text FROM documents), h AS (SELECT term, doc_id, (length(text) - length(replace(text, term, ''))) // length(term) AS n FROM k JOIN d ON contains(text, term))
+    SELECT term, count(*) AS docs, sum(n)::BIGINT AS hits FROM h GROUP BY term""")
+def dictionary_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and word pairs of the benchmark as a dictionary of terms, found anywhere in all documents, inside words too."""
+    w = table(spark, sf, "benchmark").select(words(F.lower("text")).alias("w"))
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1)))
+    terms = w.select(F.explode(F.concat("w", pairs)).alias("term")).where("length(term) > 3").distinct()
+    found = dictionary.apart(dictionary.places(docs(spark, sf), terms), "doc_id", "term")
+    return found.groupBy("doc_id", "term").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("hits"))
+
+
 _MERGED = [("the", 2), ("idiot", 5), ("que", 0), ("License", 4), ("http", None)]
 
 
