@@ -1,0 +1,101 @@
+"""Steps whose work must grow no faster than their input."""
+
+import hashlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lumenveil.config import PrivacyConfig
+from lumenveil.functions import rng
+from lumenveil.operators import attacks, knn, mechanisms, perturb, substitute
+from lumenveil.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+
+
+def shared_vocabulary(spark, words=240, vectors=7):
+    """Words that share few vectors; two vectors have the same direction, so their words tie."""
+    way = np.random.default_rng(3).normal(size=(vectors, 4))
+    way[1] = way[0] * 2
+    rows = [(f"w{(i * 37) % words:03d}", way[i % vectors].tolist()) for i in range(words)]
+    return spark.createDataFrame(rows, "cand string, vec array<double>"), dict(rows)
+
+
+def test_words_that_share_vectors_are_searched_once(spark):
+    vocab, rows = shared_vocabulary(spark)
+    vectors, of = knn.sharing(vocab)
+    assert vectors.count() == 7 and of.count() == len(rows)
+    for k in (1, 5, 60, 100, 300):
+        lists = {r["query"]: [(n["cand"], round(n["score"], 9)) for n in r["near"]] for r in knn.nearest_lists(vectors, knn.grouped(vocab, k, of), k, block=3).collect()}
+        for query, got in lists.items():
+            score = {w: round(float(np.dot(rows[query], v) / (np.linalg.norm(rows[query]) * np.linalg.norm(v) + 1e-12)), 9) for w, v in rows.items()}
+            assert got == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_draws_among_shared_vectors(spark):
+    """Each word draws from the list that a search of all words gives it."""
+    vocab, rows = shared_vocabulary(spark)
+    tokens = spark.createDataFrame([(i, i % 5, w, 4.05, i % 11 == 0) for i, w in enumerate([*rows] * 2 + [None, "none"])], "doc_id long, pos int, word string, eps_eff double, high boolean")
+    config = PrivacyConfig()
+    got = {r["doc_id"]: r["new"] for r in perturb.draws(tokens, vocab, config, "doc_id", "pos").collect()}
+    near = knn.nearest_lists(vocab.withColumnRenamed("cand", "query"), vocab, perturb.SHORT)
+    plain = tokens.join(near, F.col("word") == F.col("query"), "left")
+    wanted = perturb.neighbours_wanted(F.col("eps_eff"), F.col("high"), config)
+    norm = perturb.norms(F.col("near"), wanted, F.col("high"))
+    noise = lambda i: -F.log(-F.log(F.greatest(rng.uniform(42, F.col("doc_id"), F.col("pos"), i + 1, "gumbel"), F.lit(1e-15))))
+    best = F.array_max(F.transform(norm, lambda x, i: F.struct((F.col("eps_eff") * x["norm"] / 2 + noise(i)).alias("g"), x["cand"].alias("cand"))))["cand"]
+    assert got == {r["doc_id"]: r["c"] for r in plain.select("doc_id", best.alias("c")).collect()}
+
+
+def test_noise_is_that_of_keys():
+    keys = ["", "42|7|0", "é|x", "k" * 40, "k" * 60, "42|123456789012|99999"]
+    counts = np.array([3, 0, 12, 105, 11, 1200])
+    want = [int(hashlib.md5(f"{k}|{i}|gumbel".encode()).hexdigest()[:13], 16) / (1 << 52) for k, n in zip(keys, counts, strict=True) for i in range(1, n + 1)]
+    assert rng.uniform_ranks(keys, counts, "gumbel").tolist() == want
+    assert len(rng.uniform_ranks([], np.zeros(0, np.int64), "gumbel")) == 0
+
+
+def clustered(spark):
+    way = np.random.default_rng(5).normal(size=(90, 6))
+    way[40:50] = way[3]  # many words in one place
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(way)], "cand long, vec array<double>"), way
+
+
+def test_sums_over_the_whole_vocabulary_without_lists(spark):
+    vocab, _ = clustered(spark)
+    words = vocab.withColumnRenamed("cand", "query")
+    probs = mechanisms.whole_vocabulary(words, vocab, 2.0).groupBy("query").agg(F.max("prob").alias("top"), F.sum(F.col("prob") * F.col("prob")).alias("squares"), F.count("*").alias("n"))
+    want = {r["query"]: r for r in probs.collect()}
+    sums = substitute.whole_sums(words, vocab, 2.0, block=16)
+    got = {r["query"]: r for r in sums.collect()}
+    assert set(got) == set(want) and all(got[q]["n"] == r["n"] == 90 and abs(got[q]["top"] - r["top"]) < 1e-9 and abs(got[q]["squares"] - r["squares"]) < 1e-9 for q, r in want.items())
+    plan = catalogue.QUERIES["santext_probs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_adjacency_sums_without_lists(spark):
+    vocab, _ = clustered(spark)
+    words = vocab.select(F.col("cand").alias("query"), "vec", (F.col("cand") % 7 * 0.6).alias("radius"))
+    lists = mechanisms.adjacent_lists(words, vocab, 8.0).where(F.size("near") > 0)
+    want = {r["query"]: (len(r["near"]), max(x["prob"] for x in r["near"])) for r in lists.collect()}
+    got = {r["query"]: (r["n"], r["top"]) for r in substitute.adjacent_sums(words, vocab, 8.0, block=16).collect()}
+    assert set(got) == set(want) and all(got[q][0] == n and abs(got[q][1] - top) < 1e-9 for q, (n, top) in want.items())
+
+
+def test_distances_of_equal_vectors_are_zero():
+    v = np.random.default_rng(1).normal(size=(50, 64)) * 100
+    assert (np.diag(knn.euclid(v, v)) == 0).all() and (knn.euclid(v, np.repeat(v[:1], 9, 0))[0] == 0).all()
+
+
+def test_running_rates_carry_no_words(spark):
+    rows = spark.range(60).select((F.col("id") % 6).alias("doc_id"), F.col("id").alias("pos"), F.lit("word").alias("token"), (F.col("id") % 4 == 0).alias("hit"))
+    own = attacks.rates(rows, cumulative=True, listed=False)
+    assert own.columns == ["doc_id", "rate", "rate_exp_stop"]
+    assert sorted(map(tuple, own.collect())) == sorted((r["doc_id"], r["rate"], r["rate_exp_stop"]) for r in attacks.rates(rows, cumulative=True).collect())
+
+
+def test_arrays_of_words_are_computed_once(spark):
+    """The levels of a document's words are hashed by one expression in the plan; a filter inferred from explode() had a second one."""
+    for name in ("token_budget", "high_risk_propagation"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") <= 1, name
