@@ -126,3 +126,16 @@ def test_survey_amends_the_last_row(spark, tmp_path):
     assert q.awaitTermination(120)
     got = sorted((r["session"], r["entry"] or "", r["survey"] or "") for r in spark.table("amended_log").collect())
     assert got == [("a", "", "again"), ("a", "a0", ""), ("a", "a5", "good"), ("b", "b1", "its clock is slow"), ("b", "b2", ""), ("c", "", "too late"), ("c", "c2", ""), ("d", "", "alone"), ("z", "z", "")]
+
+
+def test_subwords_of_a_text_of_many_different_words(spark):
+    """40000 different words in one text: a search through the text's words for each would be 800 million steps."""
+    words = ["".join("abcdefghij"[int(c)] for c in str(n)) for n in range(100_000, 140_000)]
+    vocab = spark.createDataFrame([(p,) for p in "abcdefghij"] + [(f"##{p}",) for p in "abcdefghi"], "piece string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "Ab xj")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r["encoded"] for r in wordpiece.encode(docs, vocab).collect()}
+    plain = [t for w in words for t in (["[UNK]"] if "j" in w[1:] else [w[0], *[f"##{c}" for c in w[1:]]])]
+    assert [t["token"] for t in got[1]] == plain
+    assert [tuple(t) for t in got[2]] == [("a", "A", 0, 1), ("##b", "b", 1, 2), ("[UNK]", "xj", 3, 5)]
+    assert time.time() - began < 90
