@@ -5,12 +5,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumenveil import api
 from lumenveil.config import PrivacyConfig
 from lumenveil.functions import rng
+from lumenveil.functions.spans import OPEN, SHUT, counted
 from lumenveil.operators import attacks, corpus, detect, knn, levels, mechanisms, perturb, risk
 
 SF = "/root/testdata/sf0.001"
@@ -198,3 +200,25 @@ def test_one_document_holds_most_words(spark):
     for d in (1, 10, 13):
         want = sum(any(float(x @ y) >= 0.7 for _, y in b[d]) for _, x in a[d])
         assert [r[1:3] for r in got if r[0] == d] == [(want, len(a[d]))] or not a[d]
+
+
+def test_levels_of_odd_spans(spark, monkeypatch):
+    """Empty spans give no level and spans end with the text, in chunks of any size; private characters are blanks."""
+    given = ["é7 \U0001d538b", "", f"{OPEN}xthe{SHUT} 9", "Thé the 12345", None]
+    entity = lambda a, b, source="x": (a, b, "", "PERSON", 1.0, source)
+    rows = [(i, t, [entity(1, 1), entity(3, 99)] if i in (0, 3) else []) for i, t in enumerate(given)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, entities {detect.ENTITIES}")
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(levels, "CHUNK", size)
+        got = {r["doc_id"]: r for r in levels.levelled(docs, [("the", 2), ("thé", None)]).collect()}
+        assert [got[i]["levels"] for i in range(5)] == [".3.55", "", "..222..3", "0005222555555", ""]
+        assert [(t["token"], t["start"], t["end"], t["level"]) for t in got[0]["levelled"]] == [("é7", 0, 2, 3), ("\U0001d538b", 3, 5, 5)]
+        assert [(t["token"], t["level"]) for t in got[2]["levelled"]] == [("xthe", 2), ("9", 3)]
+
+
+def test_matches_are_counted_off():
+    texts = pa.array([None, "", "ab", f"é{OPEN}\U0001d538x{SHUT}{OPEN}y{SHUT}", f"{OPEN}é{SHUT} "]).slice(1)
+    size, row, start, end, match = counted(texts)
+    assert (size.tolist(), row.tolist(), start.tolist(), end.tolist()) == ([0, 2, 4, 3], [2, 2, 3], [1, 3, 0], [3, 4, 1])
+    assert match.to_pylist() == ["\U0001d538x", "y", "é"]
+    assert [len(x) for x in counted(pa.array([], pa.string()))] == [0] * 5
