@@ -99,3 +99,20 @@ def test_arrays_of_words_are_computed_once(spark):
     for name in ("token_budget", "high_risk_propagation"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("md5(") <= 1, name
+
+
+def test_predictions_meet_tokens_in_documents(spark, monkeypatch):
+    """As the join of tokens and predictions has it: with gaps, nulls, several predictions for a place, places in any order."""
+    draw = np.random.default_rng(2)
+    word = lambda: [None, "", "Ab", "aB", "é\U0001d538", "x"][draw.integers(6)]
+    tokens = [(int(d) if d else None, int(p), word()) for d, p in draw.integers([0, 0], [9, 400], (700, 2))]
+    predictions = [(int(d) if d else None, int(p), int(r), word()) for d, p, r in draw.integers([0, 0, 1], [12, 400, 4], (1500, 3))]
+    a = spark.createDataFrame([*tokens, (1, None, "x")], "doc_id long, pos int, token string").repartition(3)
+    b = spark.createDataFrame([*predictions, (1, None, 1, "x")], "doc_id long, pos int, rank int, token string")
+    for stretch, at_once in ((1 << 16, 1 << 18), (50, 60)):
+        monkeypatch.setattr(attacks, "STRETCH", stretch)
+        monkeypatch.setattr(attacks, "AT_ONCE", at_once)
+        for k in (1, 2):
+            want = attacks.mask_inference(a, b, k).groupBy("doc_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("n"))
+            assert sorted(map(tuple, attacks.inferred(a, b, k).collect())) == sorted(map(tuple, want.collect()))
+    assert attacks.inferred(a.limit(0), b).count() == attacks.inferred(a, b.limit(0)).count() == 0
