@@ -20,13 +20,15 @@ BUCKET_BITS = 17
 class Lines:
     """chars: characters of a shingle; one starts at each character. rows: minwise shingles of a band. bands: of a line; with 3 and 6,
     a pair of similarity 0.8 shares a band with probability 0.986, one of 0.9 with 0.9996. least: similarity in hundredths.
-    small: lines of a band that are all held against each other; larger bands go another way, which finds the same."""
+    small: lines of a band that are all held against each other; larger bands go another way, which finds the same: lines
+    go against `hubs` of the largest component that they meet there, then all pairs that are left."""
 
     chars: int = 12
     rows: int = 3
     bands: int = 6
     least: int = 80
     small: int = 24
+    hubs: int = 8
 
 
 def shingle_set(line: Column, chars: int) -> Column:
@@ -115,9 +117,15 @@ def groups(lines: DataFrame, marked: DataFrame, config: Lines) -> DataFrame:
     root = with_links(linked(pairs, texts, config), root)
     discard(members)
     if posts is not None:
-        rest = materialize(mixed(rooted_lines(posts, root), "t"), "line-posts")
-        root = with_links(linked(met_in_prefixes(rest, config), texts, config), root)
-        discard(posts, rest)
+        left = lambda: materialize(mixed(rooted_lines(posts.drop("root"), root), "t"), "line-posts")
+        posts, last = left(), posts
+        discard(last)
+        if crowded(posts):
+            root = with_links(linked(met_in_main(posts, config), texts, config), root)
+            posts, last = left(), posts
+            discard(last)
+        root = with_links(linked(met_in_prefixes(posts, config), texts, config), root)
+        discard(posts)
     discard(texts)
     return root
 
@@ -193,13 +201,35 @@ def prefixes(lines: DataFrame, config: Lines) -> DataFrame:
     return posts
 
 
+def crowded(posts: DataFrame) -> bool:
+    """Whether all pairs of lines of different components that share a prefix member are more than twice the posts."""
+    share = posts.groupBy("t", "root").agg(F.count("*").alias("c"))
+    each = share.groupBy("t").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    total = each.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+    return (total["pairs"] or 0) > 2 * (total["n"] or 0)
+
+
+def met_in_main(posts: DataFrame, config: Lines) -> DataFrame:
+    """Pairs (a, b) of each line with `hubs` lines of the largest component among those that share a prefix member with it, if
+    it is in another: a few pairs for a post. Near copies of one text become one component by them, without their square."""
+    one = [F.min_by(F.struct("id", "n", "i"), F.xxhash64("id", F.lit(k))) for k in range(config.hubs)]
+    share = posts.groupBy("t", "root").agg(F.count("*").alias("c"), F.array_distinct(F.array(*one)).alias("hubs"))
+    main = share.groupBy("t").agg(F.max_by(F.struct("root", "hubs"), F.struct("c", "root")).alias("m"))
+    met = posts.join(main, "t").where(F.col("root") != F.col("m.root")).select("id", F.col("n").alias("x"), F.col("i").alias("j"), F.explode("m.hubs").alias("hub"))
+    return met.where(enough(config, F.col("hub.n"), F.col("hub.i"))).select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
+
+
+def enough(config: Lines, y: Column, k: Column) -> Column:
+    """What follows from places j and k on in sets of x and y members can make them alike."""
+    return (100 + config.least) * F.least(F.col("x") - F.col("j"), y - k) >= config.least * (F.col("x") + y)
+
+
 def met_in_prefixes(posts: DataFrame, config: Lines) -> DataFrame:
     """Pairs (a, b) of lines of different components that share a prefix member and whose sets can still be alike: what they
     share stands from their first common member on. Where what comes before a member is common to both as well, the pair
     has been met there: lines that share a run of members meet once, not at each."""
     one, two = posts.select("t", F.col("id").alias("a"), F.col("root").alias("p"), F.col("n").alias("x"), F.col("i").alias("j"), F.col("before").alias("u")), posts.select("t", F.col("id").alias("b"), F.col("root").alias("q"), F.col("n").alias("y"), F.col("i").alias("k"), F.col("before").alias("v"))
-    enough = (100 + config.least) * F.least(F.col("x") - F.col("j"), F.col("y") - F.col("k")) >= config.least * (F.col("x") + F.col("y"))
-    return one.join(two, "t").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & enough & ~F.arrays_overlap("u", "v")).select("a", "b").distinct()
+    return one.join(two, "t").where((F.col("a") > F.col("b")) & (F.col("p") != F.col("q")) & enough(config, F.col("y"), F.col("k")) & ~F.arrays_overlap("u", "v")).select("a", "b").distinct()
 
 
 def without_surplus(docs: DataFrame, config: Lines = Lines()) -> DataFrame:

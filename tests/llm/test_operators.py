@@ -555,3 +555,22 @@ def test_op8_rival_families_in_one_node(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df, neardup.Join(tiny=4, small=40)).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_op5_near_copies_meet_few_others(spark, monkeypatch):
+    """Lines near one text, around the threshold to each other, become one component before all pairs of other components are made."""
+    rng = np.random.default_rng(5)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    base, lines = letters(400), []
+    for _ in range(240):
+        line = list(base)
+        for at in rng.integers(0, 400, 2):
+            line[at] = letters(1)
+        lines.append("".join(line))
+    comp = joined([frozenset(x[i : i + 12] for i in range(len(x) - 11)) for x in lines], lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    met, pairs = [], linededup.met_in_prefixes
+    monkeypatch.setattr(linededup, "met_in_prefixes", lambda posts, config: met.append(pairs(posts, config).count()) or pairs(posts, config))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df, linededup.Lines(small=3)).collect()}
+    assert len(got) > 100 and got == {i: c for i, c in enumerate(comp) if i != c}
+    assert sum(met) < 240, met
