@@ -18,6 +18,8 @@ PARTS = marks(b" \t\n\x0b\x0c\r.,;:!?\"'()")
 FOLD = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
 #: Words of a text whose windows are held at once.
 SPAN = 1 << 14
+#: Candidates whose words are counted at once.
+COUNTED = 1 << 12
 TABLE = bytes(32 if PARTS[b] else int(FOLD[b]) for b in range(256))
 
 
@@ -221,6 +223,7 @@ class Index:
         self.bits = bits
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.reach = int(max(self.size, default=0)) + 2 * config.windows[-1]
+        self.repeated = np.array([n - len(own) for n, own in zip(self.size.tolist(), self.own, strict=True)], np.int64)
         self.enough = np.array([self.least(k) for k in range(len(items))], np.int64)
         self.need = np.array(need, np.int64)
         self.span = np.array([len(w) + 2 * config.windows[-1] for w in self.words], np.int64)
@@ -304,31 +307,41 @@ class Index:
             v = quarter[:-3] + quarter[1:-2] + quarter[2:-1] + quarter[3:]
             v /= np.sqrt(np.einsum("ij,ij->i", v, v))[:, None] + 1e-9
             cosine = v @ vectors
-            i, c = np.nonzero(cosine >= self.config.gate)
+            i, c = np.divmod(np.flatnonzero(cosine >= self.config.gate), cosine.shape[1])
             out.append((item[c], i * step - start[c], np.full(len(i), n), cosine[i, c].astype(np.float64)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def holding(self, h: np.ndarray, item: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Which candidates have surroundings, those that judged() looks at, that hold as many of the item's words as any leak has:
-        counted in steps of four words first, which count too many at most, then word by word, repeated ones once."""
-        at, k = self.all.places(h)
-        word = np.full(-(-len(h) // 4) * 4 + 4, len(self.all.words))  # the last row of bits is of no word
-        word[at] = k
-        has = np.unpackbits(self.bits[word], axis=1, bitorder="little")
+        """Which candidates have surroundings, those that judged() looks at, that hold as many of the item's words as any leak has. Only
+        the words of items are looked at: counted in steps of four first, which counts too many at most, then one by one, where a
+        word that stands there twice counts once and all that an item repeats is taken to be there."""
+        at, word = self.all.places(h)
+        has = np.zeros((-(-len(at) // 4) * 4 + 4, self.bits.shape[1] * 8), np.uint8)
+        has[: len(at)] = np.unpackbits(self.bits[word], axis=1, bitorder="little")
         four = has.reshape(-1, 4, has.shape[1])
         count = np.zeros((len(four) + 1, has.shape[1]), np.int32)
         np.cumsum(four[:, 0] + four[:, 1] + four[:, 2] + four[:, 3], axis=0, out=count[1:])
-        begin, end = np.maximum(0, np.maximum(0, first) - length // 2), np.minimum(len(h), np.maximum(0, first) + self.size[item] + length)
-        some = np.flatnonzero(count[-(-end // 4), item] - count[begin // 4, item] >= self.enough[item])
-        return some[np.array([self.common(int(item[i]), word[begin[i] : end[i]], has[begin[i] : end[i], item[i]]) for i in some.tolist()], bool)]
-
-    def common(self, k: int, word: np.ndarray, has: np.ndarray) -> bool:
-        """Whether enough of an item's words may be among the given ones: its distinct ones that are there, and all that it repeats;
-        has: which of the given ones are its words."""
-        if np.count_nonzero(has) < self.enough[k]:
-            return False
-        seen = np.sort(word[has != 0])
-        return 1 + np.count_nonzero(seen[1:] != seen[:-1]) + self.size[k] - len(self.own[k]) >= self.enough[k]
+        first = np.maximum(0, first)
+        upto = np.zeros(len(h) + 1, np.int64)
+        upto[at + 1] = 1
+        np.cumsum(upto, out=upto)
+        begin = upto[np.minimum(len(h), np.maximum(0, first - length // 2))]
+        end = upto[np.minimum(len(h), first + self.size[item] + length)]
+        some = np.flatnonzero((count[-(-end // 4), item] - count[begin // 4, item] >= self.enough[item]) & (begin < end))
+        before = np.full(len(at), -1)  # where each word stood last
+        order = np.argsort(word, kind="stable")
+        again = np.flatnonzero(word[order[1:]] == word[order[:-1]])
+        before[order[again + 1]] = order[again]
+        good = [np.zeros(0, np.int64)]
+        for lo in range(0, len(some), COUNTED):
+            part = some[lo : lo + COUNTED]
+            size = end[part] - begin[part]
+            own = np.cumsum(size) - size
+            place = np.arange(int(size.sum())) + np.repeat(begin[part] - own, size)
+            new = has[place, np.repeat(item[part], size)].view(bool) & (before[place] < np.repeat(begin[part], size))
+            distinct = np.add.reduceat(new, own, dtype=np.int64)
+            good.append(part[distinct + self.repeated[item[part]] >= self.enough[item[part]]])
+        return np.concatenate(good)
 
     def by_words(self, lowered: Callable[[], list[bytes]], h: np.ndarray, known: dict) -> Iterator[tuple[int, float, float, int]]:
         """What counting words finds of the items that are not known: whatever passes the checks, at any cosine."""
