@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,7 @@ SKETCH = ["b0", "b1", "n_set", *[f"o{i}" for i in range(ODD)]]
 class Join:
     """width: words in a shingle. least: similarity in hundredths that links two sets. trees: independent trees, each with a
     coordinate of its own at the root. small: up to so many sets, all pairs of a node are held against each other's sketches;
-    tiny: up to so many, in Spark's own functions. early: coordinates that the first levels of a larger node follow; later
+    tiny: up to so many, in Spark's own functions. early: coordinates that the first levels of a larger node follow, once it is parted by sizes; later
     levels follow `1 / similarity` on average, the chosen-path rate, so that sets below the threshold die out. deepest: levels at most. coords: minwise tokens of a set. far: sketches of two sets
     that are linked differ in at most so many of `coords` two-bit places (at similarity 0.8, 27 of 64 leave out 5 in 10**7). Sizes
     and parity bits of two sets leave out no link: see close()."""
@@ -152,7 +153,7 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
     Rows with equal sets are one class from the start. Each class enters each tree's node by its minwise token there.
     In a node every class is held against the node's least class first; classes that this links into one component need no
     more comparison, so a node of thousands of near copies costs a pass and not its square. What is left of a node is compared
-    exhaustively if it is small, or if one component has all its sets but a few, and otherwise branches by further minwise tokens; after `deepest` levels, whatever its size. Each link is confirmed on whole texts.
+    exhaustively if it is small, or if one component has all its sets but a few, and otherwise is parted by sizes first, which loses nothing, and then branches by further minwise tokens; after `deepest` levels, whatever its size. Each link is confirmed on whole texts.
     A pair of similarity s shares a root node with probability s in each tree: at 0.8 and 12 trees, 4 in 10**9 share none.
 
     Texts that are null or without words have no shingles and are alone; a row's ids may repeat (rows of equal text are
@@ -205,7 +206,11 @@ def groups(docs: DataFrame, config: Join = Join()) -> DataFrame:
             discard(others, last_texts)
         discard(star, pairs, nearest, blocks, texts, more, live)
         wide = rooted.where((F.col("n") > config.small) & (F.col("others") > config.small)).select("node", "digest", *SKETCH)
-        rate = F.lit(config.early[depth]) if depth < len(config.early) else F.lit(100 // config.least) + (F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(config.least)) < 100 % config.least).cast("int")
+        if depth == 0:
+            grown = wide.select("node", "digest", *SKETCH, F.explode(size_cells(config)).alias("i"))
+            nodes = grown.select(F.xxhash64("node", "i").alias("node"), "digest", *SKETCH)
+            continue
+        rate = F.lit(config.early[depth - 1]) if depth <= len(config.early) else F.lit(100 // config.least) + (F.pmod(F.xxhash64("node", F.lit("rate")), F.lit(config.least)) < 100 % config.least).cast("int")
         picks = F.transform(F.sequence(F.lit(1), rate), lambda k: F.pmod(F.xxhash64("node", k), F.lit(config.coords)).cast("int"))
         grown = wide.join(classes.select("digest", "tokens"), "digest")
         grown = grown.select("node", "digest", *SKETCH, "tokens", F.explode(F.array_distinct(picks)).alias("i"))
@@ -253,6 +258,13 @@ def linked(some: list[tuple[DataFrame, DataFrame | None]], root: DataFrame | Non
     return root
 
 
+def size_cells(config: Join):
+    """The two cells that a set of n_set members is in: a step of sizes and the next. Sizes of linked sets are less than a step
+    apart, so each two linked sets share a cell; a step is a little wider than they can be, for rounding."""
+    step = F.floor(F.log("n_set") / (math.log(100 / config.least) * 1.0001))
+    return F.array(step, step + 1)
+
+
 def in_blocks(rows: DataFrame, config: Join) -> DataFrame:
     """(node, digest, sketch, root): nodes of over `small` sets in blocks of about so many of the main component's sets; the
     others, `small` of them at most, are in each block, so that they are held against every set. As many rows again at most."""

@@ -574,3 +574,22 @@ def test_op5_near_copies_meet_few_others(spark, monkeypatch):
     got = {r["doc_id"]: r["kept_doc_id"] for r in linededup.surplus(df, linededup.Lines(small=3)).collect()}
     assert len(got) > 100 and got == {i: c for i, c in enumerate(comp) if i != c}
     assert sum(met) < 240, met
+
+
+def test_op8_large_nodes_are_parted_by_size(spark):
+    """Sets whose sizes allow a link share a cell, whatever the sizes; sets two steps apart share none."""
+    sizes = [*range(1, 400), *range(400, 40000, 97), 50000, 62500, 78125, 10**6, 1250000]
+    df = spark.createDataFrame([(n,) for n in sizes], "n_set long")
+    cells = {r[0]: set(r[1]) for r in df.select("n_set", neardup.size_cells(neardup.Join())).collect()}
+    for n in sizes:
+        for m in sizes:
+            if n <= m and 80 * m <= 100 * n:
+                assert cells[n] & cells[m], (n, m)
+            elif m > 1.57 * n:
+                assert not cells[n] & cells[m], (n, m)
+    texts = [" ".join(f"w{i % 7} v{i}" for i in range(k)) for k in (30, 31, 60, 61, 120, 121, 240, 241)]
+    docs = spark.createDataFrame([(i, texts[i % 8] + (" end" * (i // 8))) for i in range(80)], "doc_id long, text string")
+    few = neardup.Join(small=3, tiny=2)
+    sets = [neardup.shingles(r["text"], 2) for r in docs.orderBy("doc_id").collect()]
+    want = joined(sets, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+    assert [r["component_id"] for r in neardup.near_duplicates(docs, few).orderBy("doc_id").collect()] == want
